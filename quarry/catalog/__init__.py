@@ -1,3 +1,4 @@
 """Importing this package registers every named query."""
 
 from quarry.catalog import ledger  # noqa: F401
+from quarry.catalog import warehouse  # noqa: F401

@@ -98,7 +98,7 @@ def week_to_number(week_text: ColumnOrName) -> Column:
     """Week label to number: digits -> int, wild/division/champ/super -> 19..22."""
     w = F.lower(_c(week_text))
     return (
-        F.when(w.rlike("^[0-9]+$"), F.try_cast(w, "int"))
+        F.when(w.rlike("^[0-9]+$"), w.try_cast("int"))
         .when(w.like("%wild%"), F.lit(19))
         .when(w.like("%division%"), F.lit(20))
         .when(w.like("%champ%"), F.lit(21))

@@ -45,6 +45,7 @@ def local_session(cores: int = 8, app: str = "quarry", shuffle_partitions: int |
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
     )
