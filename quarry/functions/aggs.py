@@ -44,9 +44,14 @@ def ratio_of_sums(num, den, digits: int = RATIO_DIGITS) -> Column:
     return exact_ratio(exact_sum(num), exact_sum(den), digits)
 
 
+def money_div(total, n, digits: int = MONEY_DIGITS) -> Column:
+    """An exact DECIMAL amount divided by a count, rounded half-up once, as DOUBLE."""
+    return F.round(_c(total).cast(MONEY_TYPE) / F.nullif(_c(n), F.lit(0)).cast("decimal(20,0)"), digits).cast("double")
+
+
 def exact_avg(x, digits: int = MONEY_DIGITS) -> Column:
-    """Mean as exact sum / count, rounded (NULL for no non-null values)."""
-    return F.round(exact_sum(x).cast("double") / F.nullif(F.count(_c(x)).cast("double"), F.lit(0.0)), digits)
+    """Mean as exact sum / count, rounded half-up once (NULL for no non-null values)."""
+    return money_div(exact_sum(x), F.count(_c(x)), digits)
 
 
 def rate(flag, digits: int = RATIO_DIGITS) -> Column:
@@ -72,8 +77,18 @@ def sql_ratio_of_sums(num: str, den: str, digits: int = RATIO_DIGITS) -> str:
             f"nullif(CAST({sql_exact_sum(den)} AS DOUBLE), 0.0), {digits})")
 
 
+def sql_money_div(total: str, n: str, digits: int = MONEY_DIGITS) -> str:
+    """Half-up rounding of total/n in integer arithmetic (DuckDB divides decimals in DOUBLE)."""
+    s = f"CAST(CAST({total} AS DECIMAL(38,6)) * 1000000 AS HUGEINT)"
+    unit = 10 ** (6 - digits)
+    c = f"CAST(nullif({n}, 0) AS HUGEINT)"
+    q = (f"(CASE WHEN {s} >= 0 THEN (2 * {s} + {c} * {unit}) // (2 * {c} * {unit}) "
+         f"ELSE -((-2 * {s} + {c} * {unit}) // (2 * {c} * {unit})) END)")
+    return f"(CAST({q} AS DOUBLE) / {10 ** digits}.0)"
+
+
 def sql_exact_avg(x: str, digits: int = MONEY_DIGITS) -> str:
-    return f"round(CAST({sql_exact_sum(x)} AS DOUBLE) / nullif(CAST(count({x}) AS DOUBLE), 0.0), {digits})"
+    return sql_money_div(sql_exact_sum(x), f"count({x})", digits)
 
 
 def sql_rate(flag: str, digits: int = RATIO_DIGITS) -> str:
