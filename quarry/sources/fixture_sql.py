@@ -138,3 +138,51 @@ def with_fixtures(body: str, *names: str, extra: str = "") -> str:
     if not ctes:
         return body.strip()
     return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
+
+
+_add("housing", """
+SELECT * FROM (
+  SELECT o_orderkey AS UniqueID, CAST(o_custkey AS VARCHAR) AS ParcelID,
+         CASE WHEN o_orderkey % 10 <> 0 THEN c_name || ', ' || n_name END AS PropertyAddress,
+         o_orderdate AS SaleDate, o_totalprice AS SalePrice, o_orderpriority AS LegalReference,
+         CASE o_orderkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN 'Yes' ELSE 'No' END AS SoldAsVacant,
+         c_name || ', ' || n_name || ', ' || r_name AS OwnerAddress, r_name AS TaxDistrict
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey) h
+UNION ALL
+SELECT UniqueID + 1000000000, ParcelID, PropertyAddress, SaleDate, SalePrice, LegalReference, SoldAsVacant,
+       OwnerAddress, TaxDistrict
+FROM (
+  SELECT o_orderkey AS UniqueID, CAST(o_custkey AS VARCHAR) AS ParcelID,
+         CASE WHEN o_orderkey % 10 <> 0 THEN c_name || ', ' || n_name END AS PropertyAddress,
+         o_orderdate AS SaleDate, o_totalprice AS SalePrice, o_orderpriority AS LegalReference,
+         CASE o_orderkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN 'Yes' ELSE 'No' END AS SoldAsVacant,
+         c_name || ', ' || n_name || ', ' || r_name AS OwnerAddress, r_name AS TaxDistrict
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey) d
+WHERE UniqueID % 20 = 0""")
+
+_add("nation_geo", """
+SELECT n_nationkey, n_name AS location, CASE WHEN n_nationkey <> 0 THEN r_name END AS continent
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+
+_add("covid_deaths", """
+SELECT g.continent, g.location, d.date, CAST(p.population AS DECIMAL(18,0)) AS population,
+       sum(d.new_cases) OVER (PARTITION BY d.n_nationkey ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total_cases,
+       d.new_cases,
+       CAST(sum(d.deaths) OVER (PARTITION BY d.n_nationkey ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR) AS total_deaths,
+       CAST(d.deaths AS VARCHAR) AS new_deaths
+FROM (SELECT c_nationkey AS n_nationkey, o_orderdate AS date, CAST(count(*) AS DOUBLE) AS new_cases,
+             count(*) FILTER (WHERE o_orderstatus = 'F') AS deaths
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) d
+JOIN nation_geo g ON d.n_nationkey = g.n_nationkey
+JOIN (SELECT c_nationkey AS n_nationkey, count(*) * 1000 AS population FROM customer GROUP BY 1) p
+  ON d.n_nationkey = p.n_nationkey""", "nation_geo")
+
+_add("covid_vaccinations", """
+SELECT g.location, d.date, d.new_vaccinations
+FROM (SELECT c_nationkey AS n_nationkey, o_orderdate AS date,
+             CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS new_vaccinations
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+      GROUP BY 1, 2) d
+JOIN nation_geo g ON d.n_nationkey = g.n_nationkey""", "nation_geo")

@@ -229,3 +229,72 @@ def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
         (k % 100).alias("weather_humidity"),
         detail.alias("weather_detail"),
     )
+
+
+# ------------------------------------------------------------------ housing sales (cleaning)
+DUPLICATE_EVERY_NTH = 20
+DUPLICATE_ID_OFFSET = 10**9
+
+
+def housing(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales rows from orders; every 20th sale appears twice with a new UniqueID."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    c = table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey")
+    n = table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf, "region", "r_regionkey", "r_name")
+    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    x = o.join(c, o.o_custkey == c.c_custkey).join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("o_orderkey")
+    vacant = F.when(k % 4 == 0, "Y").when(k % 4 == 1, "N").when(k % 4 == 2, "Yes").otherwise("No")
+    base = x.select(
+        k.alias("UniqueID"),
+        F.col("o_custkey").cast("string").alias("ParcelID"),
+        F.when(k % 10 != 0, F.concat_ws(", ", "c_name", "n_name")).alias("PropertyAddress"),
+        F.col("o_orderdate").alias("SaleDate"),
+        F.col("o_totalprice").alias("SalePrice"),
+        F.col("o_orderpriority").alias("LegalReference"),
+        vacant.alias("SoldAsVacant"),
+        F.concat_ws(", ", "c_name", "n_name", "r_name").alias("OwnerAddress"),
+        F.col("r_name").alias("TaxDistrict"),
+    )
+    dup = base.where(F.col("UniqueID") % DUPLICATE_EVERY_NTH == 0) \
+        .withColumn("UniqueID", F.col("UniqueID") + DUPLICATE_ID_OFFSET)
+    return base.unionByName(dup)
+
+
+# ------------------------------------------------------------------ covid-style series (exploration)
+def _nation_geo(spark, sf):
+    n = table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf, "region", "r_regionkey", "r_name")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        "n_nationkey", F.col("n_name").alias("location"),
+        F.when(F.col("n_nationkey") != 0, F.col("r_name")).alias("continent"))
+
+
+def covid_deaths(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily orders per nation as cases (failed ones as deaths, text), running totals, population."""
+    from quarry.plans.prefix import keyed_running
+
+    o = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_orderstatus")
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    daily = (o.join(c, o.o_custkey == c.c_custkey)
+             .groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderdate").alias("date"))
+             .agg(F.count(F.lit(1)).cast("double").alias("new_cases"),
+                  F.count_if(F.col("o_orderstatus") == "F").alias("deaths")))
+    pop = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.count(F.lit(1)) * 1000).alias("population"))
+    run = keyed_running(daily, ["n_nationkey"], bucket=F.trunc(F.to_date("date"), "month"), order=["date"],
+                        sums={"total_cases": F.col("new_cases"), "total_deaths_n": F.col("deaths")})
+    return (run.join(_nation_geo(spark, sf), "n_nationkey").join(pop, "n_nationkey")
+            .select("continent", "location", "date", F.col("population").cast("decimal(18,0)").alias("population"),
+                    "total_cases", "new_cases", F.col("total_deaths_n").cast("string").alias("total_deaths"),
+                    F.col("deaths").cast("string").alias("new_deaths")))
+
+
+def covid_vaccinations(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_quantity")
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    daily = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+             .groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderdate").alias("date"))
+             .agg(F.sum("l_quantity").cast("long").cast("string").alias("new_vaccinations")))
+    return daily.join(_nation_geo(spark, sf), "n_nationkey").select("location", "date", "new_vaccinations")
