@@ -4,3 +4,4 @@ from quarry.catalog import ledger  # noqa: F401
 from quarry.catalog import warehouse  # noqa: F401
 from quarry.catalog import cohorts  # noqa: F401
 from quarry.catalog import tidy  # noqa: F401
+from quarry.catalog import teams  # noqa: F401

@@ -186,3 +186,24 @@ FROM (SELECT c_nationkey AS n_nationkey, o_orderdate AS date,
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       GROUP BY 1, 2) d
 JOIN nation_geo g ON d.n_nationkey = g.n_nationkey""", "nation_geo")
+
+_add("games", """
+SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS schedule_date,
+       CAST(year(o_orderdate) AS INTEGER) AS schedule_season,
+       CAST(floor((dayofyear(o_orderdate) - 1) / 7) + 1 AS INTEGER) AS schedule_week,
+       floor((dayofyear(o_orderdate) - 1) / 7) + 1 > 50 AS schedule_playoff,
+       CAST(c_nationkey AS VARCHAR) AS team_home_id,
+       CAST((c_nationkey + 1 + o_orderkey % 24) % 25 AS VARCHAR) AS team_away_id,
+       CAST(floor(o_totalprice) % 45 AS INTEGER) AS score_home,
+       CAST(floor(o_totalprice / 7) % 45 AS INTEGER) AS score_away,
+       CASE o_orderkey % 3 WHEN 0 THEN CAST(c_nationkey AS VARCHAR)
+            WHEN 1 THEN CAST((c_nationkey + 1 + o_orderkey % 24) % 25 AS VARCHAR) ELSE 'PICK' END AS team_favorite_id,
+       CASE WHEN o_orderkey % 3 = 2 THEN 0.0 ELSE CAST(-(o_orderkey % 14) AS DOUBLE) / 2.0 END AS spread_favorite,
+       CAST(35 + o_orderkey % 20 AS DOUBLE) + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.0 END AS over_under_line,
+       o_orderkey % 50 = 0 AS stadium_neutral,
+       CASE WHEN o_orderkey % 13 <> 0 THEN CAST(20 + o_orderkey % 70 AS INTEGER) END AS weather_temperature,
+       CAST(o_orderkey % 25 AS INTEGER) AS weather_wind_mph,
+       CASE o_orderkey % 7 WHEN 0 THEN 'Rain' WHEN 1 THEN 'DOME' WHEN 2 THEN 'Snow | Fog' WHEN 3 THEN 'rain showers' END AS weather_detail,
+       CAST(1300 + (c_nationkey * 37) % 400 AS DOUBLE) AS team_home_elo_pre,
+       CAST(1300 + (((c_nationkey + 1 + o_orderkey % 24) % 25) * 37) % 400 AS DOUBLE) AS team_away_elo_pre
+FROM orders JOIN customer ON o_custkey = c_custkey""")

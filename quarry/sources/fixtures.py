@@ -298,3 +298,37 @@ def covid_vaccinations(spark: SparkSession, sf: str) -> DataFrame:
              .groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("o_orderdate").alias("date"))
              .agg(F.sum("l_quantity").cast("long").cast("string").alias("new_vaccinations")))
     return daily.join(_nation_geo(spark, sf), "n_nationkey").select("location", "date", "new_vaccinations")
+
+
+# ------------------------------------------------------------------ games (team statistics)
+def games(spark: SparkSession, sf: str) -> DataFrame:
+    """One game per order: home = customer nation, away derived from the key; text-free score sheet."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    x = o.join(c, o.o_custkey == c.c_custkey)
+    k = F.col("o_orderkey")
+    home = F.col("c_nationkey")
+    away = (home + 1 + k % 24) % 25
+    d = F.to_date("o_orderdate")
+    fav = F.when(k % 3 == 0, home.cast("string")).when(k % 3 == 1, away.cast("string")).otherwise(F.lit("PICK"))
+    return x.select(
+        k.alias("game_id"),
+        d.alias("schedule_date"),
+        F.year(d).alias("schedule_season"),
+        (F.floor((F.dayofyear(d) - 1) / 7) + 1).cast("int").alias("schedule_week"),
+        (F.floor((F.dayofyear(d) - 1) / 7) + 1 > 50).alias("schedule_playoff"),
+        home.cast("string").alias("team_home_id"),
+        away.cast("string").alias("team_away_id"),
+        (F.floor("o_totalprice") % 45).cast("int").alias("score_home"),
+        (F.floor(F.col("o_totalprice") / 7) % 45).cast("int").alias("score_away"),
+        fav.alias("team_favorite_id"),
+        F.when(k % 3 == 2, F.lit(0.0)).otherwise((-(k % 14)).cast("double") / 2.0).alias("spread_favorite"),
+        ((35 + k % 20).cast("double") + F.when(k % 2 == 0, 0.5).otherwise(0.0)).alias("over_under_line"),
+        (k % 50 == 0).alias("stadium_neutral"),
+        F.when(k % 13 != 0, (20 + k % 70).cast("int")).alias("weather_temperature"),
+        (k % 25).cast("int").alias("weather_wind_mph"),
+        F.when(k % 7 == 0, "Rain").when(k % 7 == 1, "DOME").when(k % 7 == 2, "Snow | Fog")
+        .when(k % 7 == 3, "rain showers").alias("weather_detail"),
+        (1300 + (home * 37) % 400).cast("double").alias("team_home_elo_pre"),
+        (1300 + (away * 37) % 400).cast("double").alias("team_away_elo_pre"),
+    )
