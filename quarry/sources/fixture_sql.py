@@ -207,3 +207,17 @@ SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS schedule_date,
        CAST(1300 + (c_nationkey * 37) % 400 AS DOUBLE) AS team_home_elo_pre,
        CAST(1300 + (((c_nationkey + 1 + o_orderkey % 24) % 25) * 37) % 400 AS DOUBLE) AS team_away_elo_pre
 FROM orders JOIN customer ON o_custkey = c_custkey""")
+
+_add("ab_players", """
+SELECT user_id AS userid, CASE WHEN user_id % 2 = 0 THEN 'gate_30' ELSE 'gate_40' END AS version,
+       'v' || CAST(user_id % 4 AS VARCHAR) AS variant, install_date, sum_gamerounds, retention_1, retention_7,
+       events_first_day
+FROM (
+  SELECT e.user_id, max(date_diff('day', f.anchor, CAST(e.ts AS DATE)) = 1) AS retention_1,
+         max(date_diff('day', f.anchor, CAST(e.ts AS DATE)) = 7) AS retention_7,
+         count(*) FILTER (WHERE e.event_type = 'click' AND e.value > 100) AS sum_gamerounds,
+         count(*) FILTER (WHERE date_diff('day', f.anchor, CAST(e.ts AS DATE)) = 0) AS events_first_day,
+         min(f.anchor) AS install_date
+  FROM events e JOIN (SELECT user_id, min(CAST(ts AS DATE)) AS anchor FROM events GROUP BY 1) f
+    ON e.user_id = f.user_id
+  GROUP BY e.user_id) u""")

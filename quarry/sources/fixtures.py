@@ -332,3 +332,24 @@ def games(spark: SparkSession, sf: str) -> DataFrame:
         (1300 + (home * 37) % 400).cast("double").alias("team_home_elo_pre"),
         (1300 + (away * 37) % 400).cast("double").alias("team_away_elo_pre"),
     )
+
+
+# ------------------------------------------------------------------ A/B players
+def ab_players(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per user: arm by parity, day-1/day-7 return flags, rounds = clicks with value > 100,
+    first-day events as the pre-period covariate."""
+    e = table(spark, sf, "events", "user_id", "ts", "event_type", "value").withColumn("d", F.to_date("ts"))
+    first = e.groupBy("user_id").agg(F.min("d").alias("anchor"))
+    x = e.join(first, "user_id").withColumn("dd", F.datediff("d", "anchor"))
+    u = x.groupBy("user_id").agg(
+        F.max(F.col("dd") == 1).alias("retention_1"),
+        F.max(F.col("dd") == 7).alias("retention_7"),
+        F.count_if((F.col("event_type") == "click") & (F.col("value") > 100)).alias("sum_gamerounds"),
+        F.count_if(F.col("dd") == 0).alias("events_first_day"),
+        F.min("anchor").alias("install_date"),
+    )
+    return u.select(
+        F.col("user_id").alias("userid"),
+        F.when(F.col("user_id") % 2 == 0, "gate_30").otherwise("gate_40").alias("version"),
+        F.concat(F.lit("v"), (F.col("user_id") % 4).cast("string")).alias("variant"),
+        "install_date", "sum_gamerounds", "retention_1", "retention_7", "events_first_day")
