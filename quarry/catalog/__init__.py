@@ -6,3 +6,4 @@ from quarry.catalog import cohorts  # noqa: F401
 from quarry.catalog import tidy  # noqa: F401
 from quarry.catalog import teams  # noqa: F401
 from quarry.catalog import experiments  # noqa: F401
+from quarry.catalog import analysis  # noqa: F401

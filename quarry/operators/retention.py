@@ -79,22 +79,30 @@ def _window_flags(windows: dict[str, tuple[int, int]], prefix: str):
             for k, (lo, hi) in windows.items()]
 
 
-def _by_segment(bets: DataFrame, customers: DataFrame, windows, prefix: str) -> DataFrame:
-    days = daily_activity(bets)
+def _by_segment(bets: DataFrame, customers: DataFrame, windows, prefix: str,
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Window flags per customer, averaged per segment (and per ``group_cols`` of the customer's bets)."""
+    keys = ["customer_id", *group_cols]
+    days = daily_activity(bets.withColumn("customer_id", F.struct(*[F.col(k) for k in keys]))) \
+        if group_cols else daily_activity(bets)
     anchors = first_days(days).select("customer_id", "first_bet_date")
-    seg = customers.select("customer_id", "segment")
     per_customer = (days_since_anchor(days, anchors, "first_bet_date")
                     .groupBy("customer_id").agg(*_window_flags(windows, prefix)))
-    users = anchors.join(seg, "customer_id").join(per_customer, "customer_id")
-    return (users.groupBy("segment")
+    users = anchors.join(per_customer, "customer_id")
+    if group_cols:
+        users = users.select(*[F.col(f"customer_id.{k}").alias(k) for k in keys],
+                             *[c for c in users.columns if c != "customer_id"])
+    users = users.join(customers.select("customer_id", "segment"), "customer_id")
+    return (users.groupBy(*group_cols, "segment")
             .agg(F.count(F.lit(1)).alias("users"), *[rate(f"{prefix}_{k}").alias(f"{prefix}_{k}") for k in windows])
-            .orderBy(segment_rank()))
+            .orderBy(*group_cols, segment_rank()))
 
 
 def still_active_by_segment(bets: DataFrame, customers: DataFrame,
-                            windows: dict[str, tuple[int, int]] = STILL_ACTIVE_WINDOWS) -> DataFrame:
+                            windows: dict[str, tuple[int, int]] = STILL_ACTIVE_WINDOWS,
+                            group_cols: Sequence[str] = ()) -> DataFrame:
     """I-R1: share of each segment active in ``(lo, hi]`` days after the first bet."""
-    return _by_segment(bets, customers, windows, "still_active")
+    return _by_segment(bets, customers, windows, "still_active", group_cols)
 
 
 def cumulative_retention_by_segment(bets: DataFrame, customers: DataFrame,

@@ -221,3 +221,40 @@ FROM (
   FROM events e JOIN (SELECT user_id, min(CAST(ts AS DATE)) AS anchor FROM events GROUP BY 1) f
     ON e.user_id = f.user_id
   GROUP BY e.user_id) u""")
+
+_add("run_bets", "SELECT *, CAST(customer_id % 12 AS INTEGER) AS run_id FROM fact_bet", "fact_bet")
+
+_add("asset_prices", """
+SELECT p_brand AS asset, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+       round(avg(l_extendedprice / l_quantity), 4) AS price, round(sum(l_extendedprice), 2) AS market_cap
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
+
+_add("holdings", """
+SELECT p_brand AS asset, CAST(1 + CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS DOUBLE) AS quantity
+FROM (SELECT DISTINCT p_brand FROM part) b""")
+
+_add("matches", """
+SELECT l_orderkey AS gameId, CASE WHEN (l_quantity > 25) <> (l_partkey % 10 = 0) THEN 2 ELSE 1 END AS winner,
+       CAST(l_partkey % 3 AS INTEGER) AS firstBlood, CAST((l_partkey + 1) % 3 AS INTEGER) AS firstTower,
+       CAST((l_partkey + 2) % 3 AS INTEGER) AS firstInhibitor, CAST((l_partkey + 3) % 3 AS INTEGER) AS firstBaron,
+       CAST((l_partkey + 4) % 3 AS INTEGER) AS firstDragon, CAST((l_partkey + 5) % 3 AS INTEGER) AS firstRiftHerald,
+       CAST(floor(l_quantity / 5) AS INTEGER) AS t1_towerKills, CAST(l_linenumber % 4 AS INTEGER) AS t1_inhibitorKills,
+       CAST(floor(l_discount * 100) % 3 AS INTEGER) AS t1_baronKills, CAST(l_quantity % 5 AS INTEGER) AS t1_dragonKills,
+       CAST(l_partkey % 3 AS INTEGER) AS t1_riftHeraldKills, CAST(floor((51 - l_quantity) / 5) AS INTEGER) AS t2_towerKills,
+       CAST((l_partkey + 1) % 4 AS INTEGER) AS t2_inhibitorKills, CAST((l_partkey + 2) % 3 AS INTEGER) AS t2_baronKills,
+       CAST((l_quantity + 2) % 5 AS INTEGER) AS t2_dragonKills, CAST((l_partkey + 1) % 2 AS INTEGER) AS t2_riftHeraldKills
+FROM lineitem""")
+
+_add("movies", """
+SELECT 'Film ' || CAST(l_orderkey AS VARCHAR) AS name, p_brand AS company, p_type AS genre,
+       'Day, ' || CAST(year(l_shipdate) AS VARCHAR) || ' x' AS released,
+       CASE WHEN l_partkey % 50 <> 0 THEN l_extendedprice END AS budget,
+       l_extendedprice * (1 - l_discount) * 3 AS gross, l_quantity AS votes, CAST(p_size AS DOUBLE) AS runtime,
+       CASE WHEN l_partkey % 50 <> 0 THEN p_retailprice END AS score
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+
+_add("champion_entries", """
+SELECT event_type || '_' || CAST(k % 5 AS VARCHAR) AS key, k - 10 AS id,
+       upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || ' ' || CAST(k AS VARCHAR) AS name,
+       (event_id % 2) * 1000000000000 + event_id AS priority
+FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '(-?\\d+)', 1) AS INTEGER) AS k FROM events) e""")

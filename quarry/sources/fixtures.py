@@ -353,3 +353,79 @@ def ab_players(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, "gate_30").otherwise("gate_40").alias("version"),
         F.concat(F.lit("v"), (F.col("user_id") % 4).cast("string")).alias("variant"),
         "install_date", "sum_gamerounds", "retention_1", "retention_7", "events_first_day")
+
+
+# ------------------------------------------------------------------ scenario runs, assets, matches, movies
+RUNS = 12
+
+
+def run_bets(spark: SparkSession, sf: str) -> DataFrame:
+    """``fact_bet`` with ``run_id = customer_id % 12`` (independent simulated runs)."""
+    return fact_bet(spark, sf).withColumn("run_id", (F.col("customer_id") % RUNS).cast("int"))
+
+
+def asset_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly price and market cap per brand from lineitem ⨝ part."""
+    li = table(spark, sf, "lineitem", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    p = table(spark, sf, "part", "p_partkey", "p_brand")
+    x = li.join(p, li.l_partkey == p.p_partkey)
+    return x.groupBy(F.col("p_brand").alias("asset"), F.trunc(F.to_date("l_shipdate"), "month").alias("date")) \
+        .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("price"),
+             F.round(F.sum("l_extendedprice"), 2).alias("market_cap"))
+
+
+def holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantity held per brand: 1 + the brand number."""
+    p = table(spark, sf, "part", "p_brand")
+    return p.select("p_brand").distinct().select(
+        F.col("p_brand").alias("asset"),
+        (1 + F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")).cast("double").alias("quantity"))
+
+
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Match rows from lineitem with a learnable winner (quantity) and 10 % label noise."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount",
+               "l_shipdate")
+    pk, q = F.col("l_partkey"), F.col("l_quantity")
+    flip = (pk % 10 == 0)
+    winner = F.when((q > 25) != flip, 2).otherwise(1).cast("int")
+    cols = [F.col("l_orderkey").alias("gameId"), F.unix_timestamp("l_shipdate").alias("creationTime"),
+            (F.year("l_shipdate") % 10).cast("int").alias("seasonId"), winner.alias("winner")]
+    firsts = ["firstBlood", "firstTower", "firstInhibitor", "firstBaron", "firstDragon", "firstRiftHerald"]
+    cols += [((pk + i) % 3).cast("int").alias(n) for i, n in enumerate(firsts)]
+    cols += [F.floor(q / 5).cast("int").alias("t1_towerKills"), (F.col("l_linenumber") % 4).cast("int").alias("t1_inhibitorKills"),
+             (F.floor(F.col("l_discount") * 100) % 3).cast("int").alias("t1_baronKills"),
+             (q % 5).cast("int").alias("t1_dragonKills"), (pk % 3).cast("int").alias("t1_riftHeraldKills"),
+             F.floor((51 - q) / 5).cast("int").alias("t2_towerKills"), ((pk + 1) % 4).cast("int").alias("t2_inhibitorKills"),
+             ((pk + 2) % 3).cast("int").alias("t2_baronKills"), ((q + 2) % 5).cast("int").alias("t2_dragonKills"),
+             ((pk + 1) % 2).cast("int").alias("t2_riftHeraldKills")]
+    return li.select(*cols)
+
+
+def movies(spark: SparkSession, sf: str) -> DataFrame:
+    """Film-like rows from lineitem ⨝ part: numbers with nulls, strings, release text with the year last."""
+    li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
+               "l_shipdate")
+    p = table(spark, sf, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    x = li.join(p, li.l_partkey == p.p_partkey)
+    hole = F.col("l_partkey") % 50 == 0
+    return x.select(
+        F.concat(F.lit("Film "), F.col("l_orderkey").cast("string")).alias("name"),
+        F.col("p_brand").alias("company"), F.col("p_type").alias("genre"),
+        F.concat(F.lit("Day, "), F.year("l_shipdate").cast("string"), F.lit(" x")).alias("released"),
+        F.when(~hole, F.col("l_extendedprice")).alias("budget"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) * 3).alias("gross"),
+        F.col("l_quantity").alias("votes"), F.col("p_size").cast("double").alias("runtime"),
+        F.when(~hole, F.col("p_retailprice")).alias("score"))
+
+
+def champion_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """One ``{"data": {key: {id, name}}}`` JSON document per event; odd events form the second file (wins)."""
+    e = table(spark, sf, "events", "event_id", "event_type", "props")
+    k = F.from_json("props", "map<string,int>")["k"]
+    key = F.concat(F.col("event_type"), F.lit("_"), (k % 5).cast("string"))
+    cid = k - 10
+    name = F.concat(F.initcap("event_type"), F.lit(" "), k.cast("string"))
+    doc = F.concat(F.lit('{"data": {"'), key, F.lit('": {"id": '), cid.cast("string"), F.lit(', "name": "'), name,
+                   F.lit('"}}}'))
+    return e.select(doc.alias("json"), ((F.col("event_id") % 2) * 1_000_000_000_000 + F.col("event_id")).alias("priority"))
