@@ -8,3 +8,4 @@ from quarry.catalog import teams  # noqa: F401
 from quarry.catalog import experiments  # noqa: F401
 from quarry.catalog import analysis  # noqa: F401
 from quarry.catalog import learning  # noqa: F401
+from quarry.catalog import io  # noqa: F401

@@ -21,7 +21,7 @@ SELECT c_custkey AS customer_id,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'sharp' WHEN 'BUILDING' THEN 'regular'
             WHEN 'MACHINERY' THEN 'regular' WHEN 'FURNITURE' THEN 'casual'
             WHEN 'HOUSEHOLD' THEN 'promo_hunter' END AS segment,
-       round(abs(c_acctbal) / 20.0, 2) AS avg_bet_size,
+       abs(c_acctbal) / 20.0 AS avg_bet_size,
        CAST(1 + c_custkey % 5 AS DOUBLE) AS bets_per_week,
        0.25 AS pref_moneyline, 0.45 AS pref_spread, 0.25 AS pref_total, 0.05 AS pref_parlay,
        CAST(c_custkey % 10 AS DOUBLE) / 10.0 AS promo_sensitivity

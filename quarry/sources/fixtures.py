@@ -54,7 +54,7 @@ def dim_customer(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         k.alias("customer_id"),
         _map(F.col("c_mktsegment"), SEGMENT_OF_MKTSEGMENT).alias("segment"),
-        F.round(F.abs(F.col("c_acctbal")) / 20.0, 2).alias("avg_bet_size"),
+        (F.abs(F.col("c_acctbal")) / 20.0).alias("avg_bet_size"),
         (F.lit(1) + k % 5).cast("double").alias("bets_per_week"),
         F.lit(0.25).alias("pref_moneyline"),
         F.lit(0.45).alias("pref_spread"),
