@@ -99,7 +99,7 @@ AS_OF = "1998-06-30"
 
 
 @register("m1_as_of_snapshot", with_fixtures(f"""
-SELECT asset, arg_max(date, date) AS date, arg_max(price, date) AS price, arg_max(market_cap, date) AS market_cap
+SELECT asset, arg_max(date, date) AS date, round(arg_max(price, date), 6) AS price, arg_max(market_cap, date) AS market_cap
 FROM asset_prices WHERE date <= DATE '{AS_OF}' GROUP BY asset""", "asset_prices"))
 def m1_as_of_snapshot(spark, sf):
     return assets.as_of_snapshot(fx.asset_prices(spark, sf), AS_OF)
@@ -107,7 +107,7 @@ def m1_as_of_snapshot(spark, sf):
 
 @register("m2_market_cap_range", with_fixtures(f"""
 SELECT * FROM (
-  SELECT asset, arg_max(date, date) AS date, arg_max(price, date) AS price, arg_max(market_cap, date) AS market_cap
+  SELECT asset, arg_max(date, date) AS date, round(arg_max(price, date), 6) AS price, arg_max(market_cap, date) AS market_cap
   FROM asset_prices WHERE date <= DATE '{AS_OF}' GROUP BY asset) s
 WHERE market_cap >= 500000 AND market_cap <= 1500000""", "asset_prices"))
 def m2_market_cap_range(spark, sf):

@@ -24,7 +24,7 @@ def as_of_snapshot(prices: DataFrame, as_of: str) -> DataFrame:
     """M1: latest price row per asset on or before ``as_of``."""
     p = prices.where(F.col("date") <= F.to_date(F.lit(as_of)))
     last = p.groupBy("asset").agg(F.max_by(F.struct("date", "price", "market_cap"), "date").alias("s"))
-    return last.select("asset", "s.date", "s.price", "s.market_cap")
+    return last.select("asset", "s.date", _r(F.col("s.price")).alias("price"), "s.market_cap")
 
 
 def market_cap_range(snapshot: DataFrame, min_cap: float | None = None, max_cap: float | None = None) -> DataFrame:

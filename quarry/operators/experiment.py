@@ -68,8 +68,8 @@ def _counts_by_metric(players: DataFrame, metrics: Sequence[str], control: str,
 
 def wilson_interval(s, n, z: float = Z_95):
     """Wilson score interval (low, high) of s successes in n trials; NULL for n = 0."""
-    n = n.cast("double")
-    p = F.try_divide(s.cast("double"), n)
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = s.cast("double") / n
     denom = 1.0 + z * z / n
     center = (p + z * z / (2.0 * n)) / denom
     half = z * F.sqrt(p * (1.0 - p) / n + z * z / (4.0 * n * n)) / denom
@@ -82,7 +82,9 @@ def proportion_summary(players: DataFrame, metrics: Sequence[str] = ("retention_
     """Per metric rates, pp difference, pooled z, Wilson CIs, Wald CI of the difference, Cohen's h."""
     x = players.where(F.col("sum_gamerounds") > 0) if active_only else players
     c = _counts_by_metric(x, metrics, control, treatment)
-    s_c, n_c, s_t, n_t = F.col("s_c"), F.col("n_c").cast("double"), F.col("s_t"), F.col("n_t").cast("double")
+    s_c, s_t = F.col("s_c"), F.col("s_t")
+    n_c = F.nullif(F.col("n_c").cast("double"), F.lit(0.0))
+    n_t = F.nullif(F.col("n_t").cast("double"), F.lit(0.0))
     p_c, p_t = F.try_divide(s_c.cast("double"), n_c), F.try_divide(s_t.cast("double"), n_t)
     pooled = F.try_divide((s_c + s_t).cast("double"), n_c + n_t)
     se_pooled = F.sqrt(pooled * (1.0 - pooled) * (1.0 / n_c + 1.0 / n_t))
@@ -201,7 +203,8 @@ def compare_to_control(players: DataFrame, metric: str = "retention_7", arm_col:
     per = players.groupBy(arm_col).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(metric).cast("long")).alias("s"))
     ctl = per.where(F.col(arm_col) == control).select(F.col("n").alias("n_c"), F.col("s").alias("s_c"))
     x = per.where(F.col(arm_col) != control).crossJoin(F.broadcast(ctl))  # control: one row
-    n, nc = F.col("n").cast("double"), F.col("n_c").cast("double")
+    n = F.nullif(F.col("n").cast("double"), F.lit(0.0))
+    nc = F.nullif(F.col("n_c").cast("double"), F.lit(0.0))
     p, pc = F.try_divide(F.col("s").cast("double"), n), F.try_divide(F.col("s_c").cast("double"), nc)
     pooled = F.try_divide((F.col("s") + F.col("s_c")).cast("double"), n + nc)
     se = F.sqrt(pooled * (1.0 - pooled) * (1.0 / n + 1.0 / nc))

@@ -8,7 +8,7 @@ Plan notes.
   as pandas) and ``try_divide`` so a constant column gives NULL instead of an
   ANSI divide-by-zero (pitfalls P3).
 * Category codes are dense ranks over the DISTINCT values, numbered with
-  ``global_row_number`` (bucketed by leading character) and joined back; the
+  ``global_row_number`` (bucketed by a 6-character prefix) and joined back; the
   whole column is never sorted in one task.
 """
 
@@ -53,16 +53,29 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson correlation of numeric columns as (x, y, corr) rows, self-pairs included."""
-    aggs = []
-    pairs = [(a, b) for a in columns for b in columns]
-    for i, (a, b) in enumerate(pairs):
+    """Pairwise Pearson correlation of numeric columns as (x, y, corr) rows, self-pairs included.
+
+    Only the upper triangle is aggregated (the matrix is symmetric); the
+    diagonal is 1 for a non-constant column and NULL for a constant one.
+    """
+    cols = list(columns)
+    aggs = [F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    upper = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    for i, j in upper:
+        a, b = cols[i], cols[j]
         xa = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
         xb = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-        aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"c{i}"))
+        aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"c{i}_{j}"))
     one = df.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), _r(F.col(f"c{i}")).alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
+
+    def cell(i, j):
+        if i == j:
+            return F.when(F.col(f"s{i}") > 0, F.lit(1.0))
+        lo, hi = min(i, j), max(i, j)
+        return _r(F.col(f"c{lo}_{hi}"))
+
+    rows = [F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), cell(i, j).alias("corr"))
+            for i in range(len(cols)) for j in range(len(cols))]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -75,7 +88,8 @@ def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFr
     """Sorted-category integer code (0-based), NULL -> -1, like pandas ``cat.codes``."""
     out = out or column
     values = df.select(F.col(column).cast("string").alias("__v")).where(F.col("__v").isNotNull()).distinct()
-    codes = global_row_number(values, order=["__v"], bucket=F.substring("__v", 1, 1), name="__code")
+    # A leading prefix sorts like the value itself, so it is a valid bucket of the ordered numbering.
+    codes = global_row_number(values, order=["__v"], bucket=F.substring("__v", 1, 6), name="__code")
     codes = codes.select("__v", (F.col("__code") - 1).cast("int").alias("__code"))
     j = df.join(codes, F.col(column).cast("string") == F.col("__v"), "left")
     return j.withColumn(out, F.coalesce(F.col("__code"), F.lit(-1))).drop("__v", "__code")

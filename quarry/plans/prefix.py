@@ -47,15 +47,21 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Colu
 
 def keyed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str],
                   sums: dict[str, Column], count_name: str | None = None,
-                  frame: str = "rows", nulls_last: bool = False) -> DataFrame:
+                  frame: str = "rows", nulls_last: bool = False,
+                  reset_keys: Sequence[str] = (), reset_suffix: str = "_reset") -> DataFrame:
     """Running sums per ``keys`` ordered by ``order``, split by ``bucket``.
 
     ``sums`` maps output names to the columns to accumulate; ``count_name``
     adds the running row count (a 1-based row index per key for ``rows``).
     ``frame='range'`` gives RANGE semantics (peers share the value, as the
     SQL default frame); ``'rows'`` gives ROWS UNBOUNDED PRECEDING.
+
+    ``reset_keys`` (constant inside a bucket, e.g. the season when buckets are
+    months of a season) additionally yields ``<name><reset_suffix>``: the same
+    running sums restarted at every new ``keys + reset_keys`` group - from the
+    same window pass, only the small offset window differs.
     """
-    keys = list(keys)
+    keys, reset_keys = list(keys), list(reset_keys)
     order_cols = _cols(order)
     x = df.withColumn(_BUCKET, bucket)
     w = Window.partitionBy(*keys, _BUCKET).orderBy(*order_cols)
@@ -66,14 +72,20 @@ def keyed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
         measures[count_name] = F.lit(1)
     for n, c in measures.items():
         x = x.withColumn(_LOCAL + n, F.sum(c).over(w))
-    totals = x.groupBy(*keys, _BUCKET).agg(*[F.sum(c).alias(_OFF + n) for n, c in measures.items()])
+    totals = x.groupBy(*keys, *reset_keys, _BUCKET).agg(*[F.sum(c).alias(_OFF + n) for n, c in measures.items()])
     bo = F.col(_BUCKET).asc_nulls_last() if nulls_last else F.col(_BUCKET).asc_nulls_first()
     wb = Window.partitionBy(*keys).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+    offset_cols = [F.coalesce(F.sum(_OFF + n).over(wb), F.lit(0)).alias(_OFF + n) for n in measures]
+    if reset_keys:
+        wr = Window.partitionBy(*keys, *reset_keys).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+        offset_cols += [F.coalesce(F.sum(_OFF + n).over(wr), F.lit(0)).alias(_OFF + "r_" + n) for n in measures]
     offsets = totals.select(*[F.col(k).alias("__key_" + k) for k in keys], F.col(_BUCKET).alias("__obucket"),
-                            *[F.coalesce(F.sum(_OFF + n).over(wb), F.lit(0)).alias(_OFF + n) for n in measures])
+                            *offset_cols)
     cond = [F.col(k).eqNullSafe(F.col("__key_" + k)) for k in keys] + [F.col(_BUCKET).eqNullSafe(F.col("__obucket"))]
     joined = x.join(offsets, cond, "inner")
     out_cols = [F.col(c) for c in df.columns] + [(F.col(_LOCAL + n) + F.col(_OFF + n)).alias(n) for n in measures]
+    if reset_keys:
+        out_cols += [(F.col(_LOCAL + n) + F.col(_OFF + "r_" + n)).alias(n + reset_suffix) for n in measures]
     return joined.select(*out_cols)
 
 
@@ -91,3 +103,26 @@ def shifted(df: DataFrame, keys: Sequence[str], idx: str, shift: int, cols: Sequ
                     *[F.col(c).alias(c + suffix) for c in cols])
     cond = [F.col(k) == F.col(f"__s_{k}") for k in keys] + [F.col(idx) == F.col("__s_idx")]
     return df.join(src, cond, "left").drop(*[f"__s_{k}" for k in keys], "__s_idx")
+
+
+def lagged(df: DataFrame, keys: Sequence[str], idx: str, lags: dict[str, tuple[str, int]],
+           block: int = 1024) -> DataFrame:
+    """``lag(col, s)`` per key over the 1-based contiguous index ``idx``, without a per-key window.
+
+    Rows are cut into blocks of ``block`` consecutive indices per key; the last
+    ``max(s)`` rows of every block are copied into the next block as a halo,
+    so one window per (key, block) - at most ``block + max(s)`` rows - sees
+    every predecessor it needs. One shuffle, bounded tasks, hot keys spread
+    over as many blocks as they have rows / ``block``.
+    """
+    keys = list(keys)
+    reach = max(s for _, s in lags.values())
+    size = max(block, reach)
+    i = F.col(idx)
+    x = df.withColumn("__blk", F.floor((i - 1) / size)).withColumn("__halo", F.lit(False))
+    halo = x.where(((i - 1) % size) >= size - reach).withColumn("__blk", F.col("__blk") + 1) \
+        .withColumn("__halo", F.lit(True))
+    u = x.unionByName(halo)
+    w = Window.partitionBy(*keys, "__blk").orderBy(idx)
+    u = u.withColumns({name: F.lag(col, s).over(w) for name, (col, s) in lags.items()})
+    return u.where(~F.col("__halo")).drop("__blk", "__halo")

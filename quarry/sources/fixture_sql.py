@@ -90,7 +90,11 @@ SELECT n_name || ' (old)', 'N' || CAST(n_nationkey AS VARCHAR), CAST(n_nationkey
        'n' || CAST(n_nationkey AS VARCHAR), r_name, CAST(NULL AS VARCHAR), r_name,
        r_name || ' ' || CAST(n_nationkey % 3 AS VARCHAR)
 FROM nation JOIN region ON n_regionkey = r_regionkey
-WHERE n_nationkey IN (5, 11)""")
+WHERE n_nationkey IN (5, 11)
+UNION ALL
+SELECT c_name, 'C' || CAST(c_custkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR),
+       r_name, CAST(NULL AS VARCHAR), r_name, r_name || ' ' || CAST(n_nationkey % 3 AS VARCHAR)
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 
 _add("raw_scores", """
 SELECT CASE WHEN e.event_id % 50 = 0 THEN 'TBD'
@@ -226,7 +230,7 @@ _add("run_bets", "SELECT *, CAST(customer_id % 12 AS INTEGER) AS run_id FROM fac
 
 _add("asset_prices", """
 SELECT p_brand AS asset, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-       round(avg(l_extendedprice / l_quantity), 4) AS price, round(sum(l_extendedprice), 2) AS market_cap
+       avg(l_extendedprice / l_quantity) AS price, round(sum(l_extendedprice), 2) AS market_cap
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 
 _add("holdings", """

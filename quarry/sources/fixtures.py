@@ -186,7 +186,19 @@ def raw_teams(spark: SparkSession, sf: str) -> DataFrame:
 
     main = rows(F.col("n_name"), F.when(key % 5 != 0, F.concat(F.col("r_name"), F.lit(" "), (key % 5).cast("string"))))
     alias = rows(F.concat(F.col("n_name"), F.lit(" (old)")), F.lit(None).cast("string")).where(key.isin(*ALIASED_TEAM_KEYS))
-    return main.unionByName(alias)
+    # Every customer is a historical name variant of its nation's team (no division): the list grows with the data.
+    c = table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey")
+    variants = c.join(nr, c.c_nationkey == nr.n_nationkey).select(
+        F.col("c_name").alias("team_name"),
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("team_name_short"),
+        key.cast("string").alias("team_id"),
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("team_id_pfr"),
+        F.col("r_name").alias("team_conference"),
+        F.lit(None).cast("string").alias("team_division"),
+        F.col("r_name").alias("team_conference_pre2002"),
+        F.concat(F.col("r_name"), F.lit(" "), (key % 3).cast("string")).alias("team_division_pre2002"),
+    )
+    return main.unionByName(alias).unionByName(variants)
 
 
 def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,15 +349,22 @@ def games(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ A/B players
 def ab_players(spark: SparkSession, sf: str) -> DataFrame:
     """One row per user: arm by parity, day-1/day-7 return flags, rounds = clicks with value > 100,
-    first-day events as the pre-period covariate."""
-    e = table(spark, sf, "events", "user_id", "ts", "event_type", "value").withColumn("d", F.to_date("ts"))
-    first = e.groupBy("user_id").agg(F.min("d").alias("anchor"))
-    x = e.join(first, "user_id").withColumn("dd", F.datediff("d", "anchor"))
+    first-day events as the pre-period covariate.
+
+    Events are first reduced to one row per (user, day), so a user with a huge
+    share of the events is at most one row per day when joined to its anchor.
+    """
+    e = table(spark, sf, "events", "user_id", "ts", "event_type", "value")
+    daily = e.groupBy("user_id", F.to_date("ts").alias("d")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if((F.col("event_type") == "click") & (F.col("value") > 100)).alias("rounds"))
+    first = daily.groupBy("user_id").agg(F.min("d").alias("anchor"))
+    x = daily.join(first, "user_id").withColumn("dd", F.datediff("d", "anchor"))
     u = x.groupBy("user_id").agg(
         F.max(F.col("dd") == 1).alias("retention_1"),
         F.max(F.col("dd") == 7).alias("retention_7"),
-        F.count_if((F.col("event_type") == "click") & (F.col("value") > 100)).alias("sum_gamerounds"),
-        F.count_if(F.col("dd") == 0).alias("events_first_day"),
+        F.sum("rounds").alias("sum_gamerounds"),
+        F.sum(F.when(F.col("dd") == 0, F.col("events")).otherwise(0)).alias("events_first_day"),
         F.min("anchor").alias("install_date"),
     )
     return u.select(
@@ -370,7 +389,7 @@ def asset_prices(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part", "p_partkey", "p_brand")
     x = li.join(p, li.l_partkey == p.p_partkey)
     return x.groupBy(F.col("p_brand").alias("asset"), F.trunc(F.to_date("l_shipdate"), "month").alias("date")) \
-        .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("price"),
+        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
              F.round(F.sum("l_extendedprice"), 2).alias("market_cap"))
 
 
