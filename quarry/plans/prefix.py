@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET = "__bucket"
-_LOCAL = "__local_"
 _OFF = "__offset_"
 
 
@@ -45,6 +44,28 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Colu
                          nulls_last=nulls_last)
 
 
+def _null_safe_parts(df: DataFrame, exprs: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """Add ``coalesce(e, default)`` and ``isnull(e)`` columns for each expression.
+
+    Plain equality on the pair is a null-safe equality on ``e`` - the same
+    rewrite Spark applies to ``<=>`` join keys - but here the window below can
+    partition by the very same columns, so the join's shuffle is reused by
+    the window instead of shuffling the data twice.
+    """
+    x = df.withColumns(dict(exprs))
+    types = dict(x.select(*exprs.keys()).dtypes)
+    parts, cols = {}, []
+    for name in exprs:
+        t = types[name]
+        default = (F.lit("") if t == "string" else F.lit(False) if t == "boolean"
+                   else F.lit(0).cast(t) if t not in ("date", "timestamp", "timestamp_ntz")
+                   else F.lit("1970-01-01").cast(t))
+        parts[f"{name}__v"] = F.coalesce(F.col(name), default)
+        parts[f"{name}__n"] = F.col(name).isNull()
+        cols += [f"{name}__v", f"{name}__n"]
+    return x.withColumns(parts), cols
+
+
 def keyed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str],
                   sums: dict[str, Column], count_name: str | None = None,
                   frame: str = "rows", nulls_last: bool = False,
@@ -60,32 +81,36 @@ def keyed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     months of a season) additionally yields ``<name><reset_suffix>``: the same
     running sums restarted at every new ``keys + reset_keys`` group - from the
     same window pass, only the small offset window differs.
+
+    Plan: the per-bucket totals (a partial aggregate) and their offsets (a
+    window over one row per bucket) are computed first; the data is shuffled
+    ONCE by (key, bucket) for the join with the offsets, and the running
+    window reuses that partitioning.
     """
     keys, reset_keys = list(keys), list(reset_keys)
-    order_cols = _cols(order)
-    x = df.withColumn(_BUCKET, bucket)
-    w = Window.partitionBy(*keys, _BUCKET).orderBy(*order_cols)
-    w = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows"
-         else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     measures = dict(sums)
     if count_name:
         measures[count_name] = F.lit(1)
-    for n, c in measures.items():
-        x = x.withColumn(_LOCAL + n, F.sum(c).over(w))
-    totals = x.groupBy(*keys, *reset_keys, _BUCKET).agg(*[F.sum(c).alias(_OFF + n) for n, c in measures.items()])
-    bo = F.col(_BUCKET).asc_nulls_last() if nulls_last else F.col(_BUCKET).asc_nulls_first()
-    wb = Window.partitionBy(*keys).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+    x, part = _null_safe_parts(df.withColumn(_BUCKET, bucket),
+                               {**{f"__k{i}": F.col(k) for i, k in enumerate(keys)}, "__b": F.col(_BUCKET)})
+    key_part = part[:-2]
+    b_val, b_null = part[-2], part[-1]
+    totals = x.groupBy(*part, *reset_keys).agg(*[F.sum(c).alias(_OFF + n) for n, c in measures.items()])
+    bo = [F.col(b_null).asc(), F.col(b_val).asc()] if nulls_last else [F.col(b_null).desc(), F.col(b_val).asc()]
+    wb = Window.partitionBy(*key_part).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
     offset_cols = [F.coalesce(F.sum(_OFF + n).over(wb), F.lit(0)).alias(_OFF + n) for n in measures]
     if reset_keys:
-        wr = Window.partitionBy(*keys, *reset_keys).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
+        wr = Window.partitionBy(*key_part, *reset_keys).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
         offset_cols += [F.coalesce(F.sum(_OFF + n).over(wr), F.lit(0)).alias(_OFF + "r_" + n) for n in measures]
-    offsets = totals.select(*[F.col(k).alias("__key_" + k) for k in keys], F.col(_BUCKET).alias("__obucket"),
-                            *offset_cols)
-    cond = [F.col(k).eqNullSafe(F.col("__key_" + k)) for k in keys] + [F.col(_BUCKET).eqNullSafe(F.col("__obucket"))]
-    joined = x.join(offsets, cond, "inner")
-    out_cols = [F.col(c) for c in df.columns] + [(F.col(_LOCAL + n) + F.col(_OFF + n)).alias(n) for n in measures]
+    offsets = totals.select(*part, *offset_cols)
+    joined = x.join(offsets, part, "inner")
+    w = Window.partitionBy(*part).orderBy(*_cols(order))
+    w = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows"
+         else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    out_cols = [F.col(c) for c in df.columns]
+    out_cols += [(F.sum(c).over(w) + F.col(_OFF + n)).alias(n) for n, c in measures.items()]
     if reset_keys:
-        out_cols += [(F.col(_LOCAL + n) + F.col(_OFF + "r_" + n)).alias(n + reset_suffix) for n in measures]
+        out_cols += [(F.sum(c).over(w) + F.col(_OFF + "r_" + n)).alias(n + reset_suffix) for n, c in measures.items()]
     return joined.select(*out_cols)
 
 
@@ -110,19 +135,22 @@ def lagged(df: DataFrame, keys: Sequence[str], idx: str, lags: dict[str, tuple[s
     """``lag(col, s)`` per key over the 1-based contiguous index ``idx``, without a per-key window.
 
     Rows are cut into blocks of ``block`` consecutive indices per key; the last
-    ``max(s)`` rows of every block are copied into the next block as a halo,
-    so one window per (key, block) - at most ``block + max(s)`` rows - sees
-    every predecessor it needs. One shuffle, bounded tasks, hot keys spread
-    over as many blocks as they have rows / ``block``.
+    ``max(s)`` rows of every block are also emitted into the next block as a
+    halo (one ``explode``, so the input plan is evaluated once), and one
+    window per (key, block) - at most ``block + max(s)`` rows - sees every
+    predecessor it needs. One shuffle, bounded tasks, hot keys spread over as
+    many blocks as they have rows / ``block``.
     """
     keys = list(keys)
     reach = max(s for _, s in lags.values())
     size = max(block, reach)
     i = F.col(idx)
-    x = df.withColumn("__blk", F.floor((i - 1) / size)).withColumn("__halo", F.lit(False))
-    halo = x.where(((i - 1) % size) >= size - reach).withColumn("__blk", F.col("__blk") + 1) \
-        .withColumn("__halo", F.lit(True))
-    u = x.unionByName(halo)
+    blk = F.floor((i - 1) / size)
+    own = F.struct(blk.alias("b"), F.lit(False).alias("h"))
+    copy = F.struct((blk + 1).alias("b"), F.lit(True).alias("h"))
+    places = F.when(((i - 1) % size) >= size - reach, F.array(own, copy)).otherwise(F.array(own))
+    u = df.withColumn("__p", F.explode(places)).withColumn("__blk", F.col("__p.b")) \
+        .withColumn("__halo", F.col("__p.h")).drop("__p")
     w = Window.partitionBy(*keys, "__blk").orderBy(idx)
     u = u.withColumns({name: F.lag(col, s).over(w) for name, (col, s) in lags.items()})
     return u.where(~F.col("__halo")).drop("__blk", "__halo")
