@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarry.functions.aggs import sql_exact_avg as AVG
 from quarry.functions.aggs import sql_money_sum as MS
 from quarry.functions.aggs import sql_ratio_of_sums as RS
@@ -76,3 +78,19 @@ SELECT {MS('stake_amount')} AS handle, {MS('gross_profit')} AS gross_profit,
 FROM ledger"""))
 def ik7_topline_economics(spark, sf):
     return kpi.topline_economics(ledger(spark, sf))
+
+
+@register("f3_top15_teams_by_net_profit")
+def f3_top15_teams_by_net_profit(spark, sf):
+    """Head of the by-team table (the reference charts its first 15 rows)."""
+    from quarry.catalog.warehouse import dim_team
+
+    by_team = kpi.profit_by_team(ledger(spark, sf), fx.fact_bet_leg(spark, sf), fx.dim_event(spark, sf),
+                                 dim_team(spark, sf))
+    return kpi.top_k(by_team, 15, F.desc("net_profit"), "team_name")
+
+
+@register("f5_seeded_customer_sample")
+def f5_seeded_customer_sample(spark, sf):
+    """1000 customers, exact and repeatable for the seed (calibration sample); hash-based, so no DuckDB twin."""
+    return kpi.seeded_sample(fx.dim_customer(spark, sf), "customer_id", 1000, seed=7)

@@ -131,3 +131,13 @@ def topline_economics(led: DataFrame) -> DataFrame:
             ("stake_amount", "handle"), ("gross_profit", "gross_profit"), ("promo_cost", "promo_cost"),
             ("payment_fee", "payment_fee"), ("tax", "tax"), ("net_profit", "net_profit")]],
     )
+
+
+def top_k(df: DataFrame, k: int, *order) -> DataFrame:
+    """first ``k`` rows after sorting (planned as TakeOrderedAndProject: a bounded per-task top-k)."""
+    return df.orderBy(*order).limit(k)
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """exactly ``n`` rows, repeatable for a seed: the ``n`` smallest hashes of (key, seed)."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
