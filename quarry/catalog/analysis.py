@@ -217,18 +217,14 @@ encoded AS (
 @register("h14_category_codes", with_fixtures("SELECT name, company, genre, released, budget FROM encoded", "movies",
                                               extra=CODES_SQL))
 def h14_category_codes(spark, sf):
-    df = fx.movies(spark, sf)
-    for c in ENCODED:
-        df = profile.category_codes(df, c)
+    df = profile.category_codes(fx.movies(spark, sf), ENCODED)
     return df.select("name", "company", "genre", "released", "budget")
 
 
 @register("k15_g5_strong_pairs", with_fixtures(_corr_sql("encoded", ENCODED + MOVIE_NUMERIC, threshold=0.5),
                                                "movies", extra=CODES_SQL))
 def k15_g5_strong_pairs(spark, sf):
-    df = fx.movies(spark, sf)
-    for c in ENCODED:
-        df = profile.category_codes(df, c)
+    df = profile.category_codes(fx.movies(spark, sf), ENCODED)
     return profile.strong_pairs(profile.correlation_matrix(df, ENCODED + MOVIE_NUMERIC), 0.5)
 
 

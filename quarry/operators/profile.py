@@ -8,7 +8,7 @@ Plan notes.
   as pandas) and ``try_divide`` so a constant column gives NULL instead of an
   ANSI divide-by-zero (pitfalls P3).
 * Category codes are dense ranks over the DISTINCT values, numbered with
-  ``global_row_number`` (bucketed by a 6-character prefix) and joined back; the
+  ``keyed_running`` per column (bucketed by a 6-character prefix) and joined back; the
   whole column is never sorted in one task.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.prefix import global_row_number
+from quarry.plans.prefix import keyed_running
 
 DIGITS = 6
 
@@ -84,15 +84,25 @@ def strong_pairs(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
     return corr.where(F.col("corr") > threshold).orderBy(F.desc("corr"), "x", "y")
 
 
-def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Sorted-category integer code (0-based), NULL -> -1, like pandas ``cat.codes``."""
-    out = out or column
-    values = df.select(F.col(column).cast("string").alias("__v")).where(F.col("__v").isNotNull()).distinct()
-    # A leading prefix sorts like the value itself, so it is a valid bucket of the ordered numbering.
-    codes = global_row_number(values, order=["__v"], bucket=F.substring("__v", 1, 6), name="__code")
-    codes = codes.select("__v", (F.col("__code") - 1).cast("int").alias("__code"))
-    j = df.join(codes, F.col(column).cast("string") == F.col("__v"), "left")
-    return j.withColumn(out, F.coalesce(F.col("__code"), F.lit(-1))).drop("__v", "__code")
+def category_codes(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """Sorted-category integer code (0-based) per column, NULL -> -1, like pandas ``cat.codes``.
+
+    All columns are numbered in ONE distributed pass: the distinct
+    (column, value) pairs are ranked per column with ``keyed_running``
+    (a 6-character prefix sorts like the value, so it is a valid bucket), and
+    each column is then joined to its own slice of that small code table.
+    """
+    cols = [columns] if isinstance(columns, str) else list(columns)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in cols]))
+    values = df.select(pairs.alias("p")).select("p.col", "p.v").where(F.col("v").isNotNull()).distinct()
+    codes = keyed_running(values, ["col"], bucket=F.substring("v", 1, 6), order=["v"], sums={}, count_name="code")
+    out = df
+    for c in cols:
+        cc = codes.where(F.col("col") == c).select(F.col("v").alias(f"__v_{c}"),
+                                                   (F.col("code") - 1).cast("int").alias(f"__code_{c}"))
+        out = out.join(cc, F.col(c).cast("string") == F.col(f"__v_{c}"), "left") \
+            .withColumn(c, F.coalesce(F.col(f"__code_{c}"), F.lit(-1))).drop(f"__v_{c}", f"__code_{c}")
+    return out
 
 
 def value_shares(df: DataFrame, column: str, by: str | None = None) -> DataFrame:

@@ -12,10 +12,11 @@ structure of the reference lives in the operators, not here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import american_to_decimal
+from quarry.plans.prefix import keyed_running
 from quarry.sources.tables import table
 
 # Fixed values of the fixture mapping (FIXTURES.md §2).
@@ -112,13 +113,18 @@ def fact_bet_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fact_bet_leg(spark: SparkSession, sf: str) -> DataFrame:
-    """Legs from lineitem; ``leg_no`` numbers the lines of one order (a small group)."""
+    """Legs from lineitem; ``leg_no`` numbers the lines of one order.
+
+    The numbering is a distributed ordered scan split by line number, so even
+    an order holding a large share of all lines is not numbered in one task.
+    """
     li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf, "orders", "o_orderkey")
     li = li.join(orders, li.l_orderkey == orders.o_orderkey, "left_semi")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    li = keyed_running(li, ["l_orderkey"], bucket=F.col("l_linenumber"),
+                       order=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
+                              "l_tax", "l_shipdate"], sums={}, count_name="__leg_no")
     market = F.when(F.col("l_returnflag") == "A", "moneyline").when(F.col("l_returnflag") == "R", "spread").otherwise("total")
     is_o = F.col("l_linestatus") == "O"
     selection = (F.when(market == "total", F.when(is_o, "over").otherwise("under"))
@@ -128,7 +134,7 @@ def fact_bet_leg(spark: SparkSession, sf: str) -> DataFrame:
     pk = F.col("l_partkey")
     line = F.when(market == "spread", (pk % 15 - 7).cast("double")).when(market == "total", (35 + pk % 20).cast("double"))
     result = F.when(pk % 3 == 0, "win").when(pk % 3 == 1, "lose").otherwise("push")
-    leg_no = F.row_number().over(w)
+    leg_no = F.col("__leg_no")
     return li.select(
         (F.col("l_orderkey") * 100 + leg_no).alias("bet_leg_id"),
         F.col("l_orderkey").alias("bet_id"),
@@ -285,8 +291,6 @@ def _nation_geo(spark, sf):
 
 def covid_deaths(spark: SparkSession, sf: str) -> DataFrame:
     """Daily orders per nation as cases (failed ones as deaths, text), running totals, population."""
-    from quarry.plans.prefix import keyed_running
-
     o = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_orderstatus")
     c = table(spark, sf, "customer", "c_custkey", "c_nationkey")
     daily = (o.join(c, o.o_custkey == c.c_custkey)
