@@ -85,7 +85,7 @@ def f3_top15_teams_by_net_profit(spark, sf):
     """Head of the by-team table (the reference charts its first 15 rows)."""
     from quarry.catalog.warehouse import dim_team
 
-    by_team = kpi.profit_by_team(ledger(spark, sf), fx.fact_bet_leg(spark, sf), fx.dim_event(spark, sf),
+    by_team = kpi.profit_by_team(ledger(spark, sf), fx.fact_bet_leg(spark, sf, numbered=False), fx.dim_event(spark, sf),
                                  dim_team(spark, sf))
     return kpi.top_k(by_team, 15, F.desc("net_profit"), "team_name")
 

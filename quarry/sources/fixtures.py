@@ -112,19 +112,24 @@ def fact_bet_cost(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def fact_bet_leg(spark: SparkSession, sf: str) -> DataFrame:
+def fact_bet_leg(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
     """Legs from lineitem; ``leg_no`` numbers the lines of one order.
 
     The numbering is a distributed ordered scan split by line number, so even
     an order holding a large share of all lines is not numbered in one task.
+    Callers that never read ``bet_leg_id``/``leg_no`` pass ``numbered=False``
+    and skip that scan (an inner join cannot be pruned away by the optimizer).
     """
     li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf, "orders", "o_orderkey")
     li = li.join(orders, li.l_orderkey == orders.o_orderkey, "left_semi")
-    li = keyed_running(li, ["l_orderkey"], bucket=F.col("l_linenumber"),
-                       order=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount",
-                              "l_tax", "l_shipdate"], sums={}, count_name="__leg_no")
+    if numbered:
+        li = keyed_running(li, ["l_orderkey"], bucket=F.col("l_linenumber"),
+                           order=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+                                  "l_discount", "l_tax", "l_shipdate"], sums={}, count_name="__leg_no")
+    else:
+        li = li.withColumn("__leg_no", F.lit(None).cast("long"))
     market = F.when(F.col("l_returnflag") == "A", "moneyline").when(F.col("l_returnflag") == "R", "spread").otherwise("total")
     is_o = F.col("l_linestatus") == "O"
     selection = (F.when(market == "total", F.when(is_o, "over").otherwise("under"))
