@@ -1,0 +1,24 @@
+"""Broadcast behind a size check, with the shuffle join as the fallback.
+
+``broadcast()`` on a side whose size is not bounded is how a job dies at
+scale: every executor must hold the whole side. Sides that are bounded by
+construction (a literal grid, a one-row aggregate) are broadcast directly in
+the operators. For sides that are *usually* small - a dimension table - this
+helper proves the bound first: it counts at most ``max_rows + 1`` rows (the
+``LIMIT`` stops the scan early) and only then adds the hint. Otherwise the
+frame is returned unchanged and AQE picks the join strategy from runtime
+sizes (``spark.sql.autoBroadcastJoinThreshold``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` (shuffle join)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import american_to_decimal
+from quarry.plans.broadcast import bounded_broadcast
 from quarry.plans.prefix import keyed_running
 from quarry.sources.tables import table
 
@@ -218,7 +219,7 @@ def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation", "n_nationkey", "n_name")
     home = n.select(F.col("n_nationkey").cast("string").alias("home_team_id"), F.col("n_name").alias("home_name"))
     away = n.select(F.col("n_nationkey").cast("string").alias("away_team_id"), F.col("n_name").alias("away_name"))
-    e = e.join(F.broadcast(home), "home_team_id", "left").join(F.broadcast(away), "away_team_id", "left")
+    e = e.join(bounded_broadcast(home), "home_team_id", "left").join(bounded_broadcast(away), "away_team_id", "left")
     k = F.col("event_id")
     date_text = (F.when(k % 50 == 0, F.lit("TBD"))
                  .when(k % 2 == 0, F.date_format("game_date", "yyyy-MM-dd"))
