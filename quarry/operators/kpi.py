@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.aggs import exact_avg, money_sum, ratio_of_sums
 from quarry.functions.scalar import month_start
-from quarry.plans.broadcast import bounded_broadcast
 
 
 def ledger(bets: DataFrame, costs: DataFrame) -> DataFrame:
@@ -91,7 +90,7 @@ def profit_by_team(led: DataFrame, legs: DataFrame, events: DataFrame, teams: Da
     ev = events.select("event_id", "home_team_id", "away_team_id")
     x = exposure_through_legs(led, legs, ev).withColumn(
         "team_id", selected_team("selection", "home_team_id", "away_team_id"))
-    t = bounded_broadcast(teams.select("team_id", "team_name"))
+    t = teams.select("team_id", "team_name")  # a dimension: AQE broadcasts it after measuring it
     return (x.join(t, "team_id")
             .groupBy("team_name").agg(*_profit_aggs())
             .where(F.col("handle") > min_handle)

@@ -31,6 +31,7 @@ def _r(c):
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Count, mean, std, min, quartiles, max per numeric column (``exact=False`` for approximate quartiles)."""
     q = [0.25, 0.5, 0.75]
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
@@ -55,18 +56,21 @@ def null_counts(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlation of numeric columns as (x, y, corr) rows, self-pairs included.
 
-    Only the upper triangle is aggregated (the matrix is symmetric); the
-    diagonal is 1 for a non-constant column and NULL for a constant one.
+    One aggregate over the upper triangle (the matrix is symmetric); the
+    diagonal is 1 for a non-constant column and NULL for a constant one. The
+    aggregation buffer is wide (a few fields per pair), so the session raises
+    ``spark.sql.codegen.maxFields`` to keep it in whole-stage codegen.
     """
     cols = list(columns)
-    aggs = [F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    aggs = [F.stddev_pop(F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]
     upper = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     for i, j in upper:
         a, b = cols[i], cols[j]
-        xa = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        xb = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        xa = F.when(F.col(b).isNotNull(), F.col(a))
+        xb = F.when(F.col(a).isNotNull(), F.col(b))
         aggs.append(F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb)).alias(f"c{i}_{j}"))
-    one = df.agg(*aggs)
+    one = x.agg(*aggs)
 
     def cell(i, j):
         if i == j:

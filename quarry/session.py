@@ -26,6 +26,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Wide one-pass aggregates (profiles, correlation matrices) keep whole-stage codegen.
+    "spark.sql.codegen.maxFields": "4000",
 }
 
 
