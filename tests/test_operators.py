@@ -246,3 +246,34 @@ def test_no_theta_or_cartesian_joins(spark, sf_small):
     for key in ["ik4_profit_by_team", "ir1_still_active_retention", "ir2_cumulative_retention", "iu1_user_uplift"]:
         plan = q[key](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
+
+
+def test_lagged_matches_window_lag(spark):
+    from quarry.plans.prefix import lagged
+
+    rows = [(k, i, float(i * 10 + (1 if k == "a" else 2))) for k in ("a", "b") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "k string, idx long, v double")
+    got = lagged(df, ["k"], "idx", {"v1": ("v", 1), "v5": ("v", 5)}, block=7)
+    w = Window.partitionBy("k").orderBy("idx")
+    ref = df.select("k", "idx", F.lag("v", 1).over(w).alias("v1"), F.lag("v", 5).over(w).alias("v5"))
+    assert sorted(map(tuple, got.select("k", "idx", "v1", "v5").collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_bounded_broadcast(spark):
+    from quarry.plans.broadcast import bounded_broadcast
+
+    small, big = spark.range(10), spark.range(1000)
+    j1 = spark.range(100).join(bounded_broadcast(small, max_rows=50), "id")
+    j2 = spark.range(100).join(bounded_broadcast(big, max_rows=50), "id")
+    assert "broadcast" in j1._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in j2._jdf.queryExecution().logical().toString().lower()
+    assert j1.count() == 10 and j2.count() == 100
+
+
+def test_seeded_sample_exact_and_repeatable(spark):
+    from quarry.operators.kpi import seeded_sample
+
+    df = spark.range(5000).withColumnRenamed("id", "customer_id")
+    a = [r.customer_id for r in seeded_sample(df, "customer_id", 100, seed=7).collect()]
+    b = [r.customer_id for r in seeded_sample(df.repartition(13), "customer_id", 100, seed=7).collect()]
+    assert len(a) == 100 and a == b
