@@ -166,7 +166,7 @@ def random_search(data: DataFrame, draws: int = 5, folds: int = 4, max_iter: int
     maps = [{reg.stepSize: rng.choice(SEARCH_SPACE["stepSize"]), reg.maxDepth: min(rng.choice(SEARCH_SPACE["maxDepth"]), 6),
              reg.subsamplingRate: rng.choice(SEARCH_SPACE["subsamplingRate"])} for _ in range(draws)]
     cv = CrossValidator(estimator=reg, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="rmse"),
-                        numFolds=folds, seed=seed, parallelism=2)
+                        numFolds=folds, seed=seed, parallelism=4)
     m = cv.fit(data)
     rows = [(i, float(p[reg.stepSize]), int(p[reg.maxDepth]), float(p[reg.subsamplingRate]), round(float(v), DIGITS))
             for i, (p, v) in enumerate(zip(maps, m.avgMetrics))]
