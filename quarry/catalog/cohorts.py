@@ -94,8 +94,8 @@ def _w(lo: str, hi: str, col: str) -> str:
 
 @register("ir4_promo_cohort_retention", with_fixtures(f"""
 SELECT cohort_date, cohort_type, count(*) AS users,
-       sum(retained_7d) AS retained_7d, sum(retained_30d) AS retained_30d,
-       sum(retained_60d) AS retained_60d, sum(retained_90d) AS retained_90d,
+       CAST(sum(retained_7d) AS BIGINT) AS retained_7d, CAST(sum(retained_30d) AS BIGINT) AS retained_30d,
+       CAST(sum(retained_60d) AS BIGINT) AS retained_60d, CAST(sum(retained_90d) AS BIGINT) AS retained_90d,
        round(avg(CAST(retained_7d AS DOUBLE)), 6) AS retention_7d, round(avg(CAST(retained_30d AS DOUBLE)), 6) AS retention_30d,
        round(avg(CAST(retained_60d AS DOUBLE)), 6) AS retention_60d, round(avg(CAST(retained_90d AS DOUBLE)), 6) AS retention_90d,
        {MDIV('sum(future_handle_30d)', 'count(*)')} AS avg_future_handle_30d,

@@ -134,8 +134,8 @@ def _rolling_sql(continent_filter: bool) -> str:
 SELECT *, round(CAST(rolling_people_vaccinated AS DOUBLE) / nullif(CAST(population AS DOUBLE), 0) * 100, 6) AS percent_vaccinated
 FROM (
   SELECT dea.continent, dea.location, dea.date, dea.population, vac.new_vaccinations,
-         sum(CAST(vac.new_vaccinations AS BIGINT)) OVER (PARTITION BY dea.location ORDER BY dea.location, dea.date)
-           AS rolling_people_vaccinated
+         CAST(sum(CAST(vac.new_vaccinations AS BIGINT)) OVER (PARTITION BY dea.location ORDER BY dea.location, dea.date)
+           AS BIGINT) AS rolling_people_vaccinated
   FROM covid_deaths dea JOIN covid_vaccinations vac ON dea.location = vac.location AND dea.date = vac.date
   {where}) t ORDER BY location, date""", "covid_deaths", "covid_vaccinations")
 

@@ -23,7 +23,8 @@ SELECT c_custkey AS customer_id,
             WHEN 'HOUSEHOLD' THEN 'promo_hunter' END AS segment,
        abs(c_acctbal) / 20.0 AS avg_bet_size,
        CAST(1 + c_custkey % 5 AS DOUBLE) AS bets_per_week,
-       0.25 AS pref_moneyline, 0.45 AS pref_spread, 0.25 AS pref_total, 0.05 AS pref_parlay,
+       CAST(0.25 AS DOUBLE) AS pref_moneyline, CAST(0.45 AS DOUBLE) AS pref_spread, CAST(0.25 AS DOUBLE) AS pref_total,
+       CAST(0.05 AS DOUBLE) AS pref_parlay,
        CAST(c_custkey % 10 AS DOUBLE) / 10.0 AS promo_sensitivity
 FROM customer""")
 
@@ -31,7 +32,7 @@ _add("fact_bet", """
 SELECT o_orderkey AS bet_id, o_custkey AS customer_id, o_orderdate AS bet_datetime,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'moneyline' WHEN '2-HIGH' THEN 'spread'
             WHEN '5-LOW' THEN 'spread' WHEN '3-MEDIUM' THEN 'total' WHEN '4-NOT SPECIFIED' THEN 'parlay' END AS bet_type,
-       o_totalprice AS stake_amount, 1.9 AS odds_decimal_avg,
+       o_totalprice AS stake_amount, CAST(1.9 AS DOUBLE) AS odds_decimal_avg,
        CASE o_orderstatus WHEN 'O' THEN o_totalprice * 1.9 WHEN 'P' THEN o_totalprice ELSE 0.0 END AS gross_payout,
        CASE o_orderstatus WHEN 'F' THEN 'lose' WHEN 'O' THEN 'win' WHEN 'P' THEN 'push' END AS status
 FROM orders""")
