@@ -66,34 +66,12 @@ def parse_date(x: ColumnOrName) -> Column:
     return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(s, "M/d/yyyy"))
 
 
-def to_day(x: ColumnOrName) -> Column:
-    """``CAST(ts AS DATE)`` for timestamp or timestamp_ntz input."""
-    return F.to_date(_c(x))
-
-
 def month_start(x: ColumnOrName) -> Column:
     """``DATE_TRUNC('month', x)`` as a DATE (avoids the session-zone timestamp, P1)."""
     return F.trunc(F.to_date(_c(x)), "month")
 
 
 # ---------------------------------------------------------------- text
-def split_nth_from_right(x: ColumnOrName, delimiter: str, n: int) -> Column:
-    """``PARSENAME(REPLACE(x, delim, '.'), n)``: n-th part counted from the right, NULL when absent."""
-    return F.nullif(F.split_part(_c(x), F.lit(delimiter), F.lit(-n)), F.lit(""))
-
-
-def before_first(x: ColumnOrName, delimiter: str) -> Column:
-    """Text before the first delimiter; the whole text when there is none (H3)."""
-    return F.substring_index(_c(x), delimiter, 1)
-
-
-def after_first(x: ColumnOrName, delimiter: str) -> Column:
-    """Text after the first delimiter, left-trimmed; NULL when there is none (H3)."""
-    s = _c(x)
-    pos = F.instr(s, delimiter)
-    return F.when(pos > 0, F.ltrim(F.substr(s, pos + F.lit(len(delimiter)))))
-
-
 def week_to_number(week_text: ColumnOrName) -> Column:
     """Week label to number: digits -> int, wild/division/champ/super -> 19..22."""
     w = F.lower(_c(week_text))

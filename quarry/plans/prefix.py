@@ -114,22 +114,6 @@ def keyed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     return joined.select(*out_cols)
 
 
-def shifted(df: DataFrame, keys: Sequence[str], idx: str, shift: int, cols: Sequence[str],
-            suffix: str) -> DataFrame:
-    """Attach the values of ``cols`` from the row ``shift`` positions earlier in the same key.
-
-    ``idx`` is the per-key 1-based row index from ``keyed_running``. The
-    lookup is an equi-join on ``(keys, idx)`` - unique per row, so a hot key
-    is spread over all its index values instead of one window task.
-    Rows without such a predecessor get NULLs.
-    """
-    src = df.select(*[F.col(k).alias(f"__s_{k}") for k in keys],
-                    (F.col(idx) + shift).alias("__s_idx"),
-                    *[F.col(c).alias(c + suffix) for c in cols])
-    cond = [F.col(k) == F.col(f"__s_{k}") for k in keys] + [F.col(idx) == F.col("__s_idx")]
-    return df.join(src, cond, "left").drop(*[f"__s_{k}" for k in keys], "__s_idx")
-
-
 def lagged(df: DataFrame, keys: Sequence[str], idx: str, lags: dict[str, tuple[str, int]],
            block: int = 1024) -> DataFrame:
     """``lag(col, s)`` per key over the 1-based contiguous index ``idx``, without a per-key window.

@@ -277,3 +277,15 @@ def test_seeded_sample_exact_and_repeatable(spark):
     a = [r.customer_id for r in seeded_sample(df, "customer_id", 100, seed=7).collect()]
     b = [r.customer_id for r in seeded_sample(df.repartition(13), "customer_id", 100, seed=7).collect()]
     assert len(a) == 100 and a == b
+
+
+def test_formatting_helpers(spark):
+    from quarry.functions.scalar import clip, fmt_money, fmt_pct, money_compact
+
+    df = spark.createDataFrame([(1234567.0, 0.0484), (-2500.0, 0.5), (12.0, -0.01)], "v double, r double")
+    got = df.select(fmt_money("v").alias("m"), money_compact("v").alias("c"), fmt_pct("r").alias("p"),
+                    clip("r", 0.0, 0.1).alias("k")).collect()
+    assert [g.m for g in got] == ["$1,234,567", "-$2,500", "$12"]
+    assert [g.c for g in got] == ["$1.2M", "$-2.5K", "$12"]
+    assert [g.p for g in got] == ["4.84%", "50.00%", "-1.00%"]
+    assert [g.k for g in got] == [0.0484, 0.1, 0.0]
