@@ -144,10 +144,10 @@ def cuped(players: DataFrame, outcome: str = "retention_7", covariate: str = "ev
           control: str = CONTROL, treatment: str = TREATMENT, arm_col: str = "version") -> DataFrame:
     """CUPED - theta = cov(y, x) / var(x) over all users; y' = y - theta (x - mean x); per-arm means/variances and lifts."""
     x = players.select(arm_col, F.col(outcome).cast("double").alias("y"), F.col(covariate).cast("double").alias("x"))
-    g = x.agg(F.try_divide(F.covar_samp("y", "x"), F.nullif(F.var_samp("x"), F.lit(0.0))).alias("theta"),
-              F.avg("x").alias("x_bar"))
-    adj = x.crossJoin(F.broadcast(g)).withColumn(
-        "y_adj", F.col("y") - F.coalesce(F.col("theta"), F.lit(0.0)) * (F.col("x") - F.col("x_bar")))
+    theta = x.agg(F.try_divide(F.covar_samp("y", "x"), F.nullif(F.var_samp("x"), F.lit(0.0)))).scalar()
+    x_bar = x.agg(F.avg("x")).scalar()
+    adj = x.withColumns({"theta": theta,
+                         "y_adj": F.col("y") - F.coalesce(theta, F.lit(0.0)) * (F.col("x") - x_bar)})
     arm = F.col(arm_col)
 
     def m(col, a):
@@ -201,8 +201,10 @@ def compare_to_control(players: DataFrame, metric: str = "retention_7", arm_col:
                        control: str = "v0", z_crit: float = Z_95) -> DataFrame:
     """Every variant against the control arm: rate, lift, pooled z and a ship/hold/rollback decision."""
     per = players.groupBy(arm_col).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(metric).cast("long")).alias("s"))
-    ctl = per.where(F.col(arm_col) == control).select(F.col("n").alias("n_c"), F.col("s").alias("s_c"))
-    x = per.where(F.col(arm_col) != control).crossJoin(F.broadcast(ctl))  # control: one row
+    ctl = per.where(F.col(arm_col) == control)
+    x = per.where(F.col(arm_col) != control).withColumns({  # control figures as scalar subqueries
+        "n_c": F.coalesce(ctl.agg(F.max("n")).scalar(), F.lit(0)),
+        "s_c": ctl.agg(F.max("s")).scalar()})
     n = F.nullif(F.col("n").cast("double"), F.lit(0.0))
     nc = F.nullif(F.col("n_c").cast("double"), F.lit(0.0))
     p, pc = F.try_divide(F.col("s").cast("double"), n), F.try_divide(F.col("s_c").cast("double"), nc)

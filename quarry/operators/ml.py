@@ -104,12 +104,14 @@ def confusion(pred: DataFrame) -> DataFrame:
 def classification_report(pred: DataFrame) -> DataFrame:
     """K5: per-class precision, recall, F1 and support from the confusion counts (one aggregate)."""
     c = confusion(pred)
-    classes = c.select(F.col("label").alias("cls")).union(c.select(F.col("prediction").alias("cls"))).distinct()
-    x = classes.crossJoin(F.broadcast(c))  # classes x cells: both tiny (k and k^2 rows)
-    agg = x.groupBy("cls").agg(
-        F.sum(F.when((F.col("label") == F.col("cls")) & (F.col("prediction") == F.col("cls")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("prediction") == F.col("cls"), F.col("n")).otherwise(0)).alias("pred_n"),
-        F.sum(F.when(F.col("label") == F.col("cls"), F.col("n")).otherwise(0)).alias("support"))
+    n, hit = F.col("n"), F.col("label") == F.col("prediction")
+    zero = F.lit(0).cast("long")
+    parts = F.array(  # each cell counts toward its true class and its predicted class
+        F.struct(F.col("label").alias("cls"), F.when(hit, n).otherwise(zero).alias("tp"), zero.alias("pred_n"),
+                 n.alias("support")),
+        F.struct(F.col("prediction").alias("cls"), zero.alias("tp"), n.alias("pred_n"), zero.alias("support")))
+    agg = c.select(F.explode(parts).alias("p")).groupBy("p.cls").agg(
+        F.sum("p.tp").alias("tp"), F.sum("p.pred_n").alias("pred_n"), F.sum("p.support").alias("support"))
     p = F.try_divide(F.col("tp").cast("double"), F.col("pred_n").cast("double"))
     r = F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double"))
     return agg.select(F.col("cls").alias("label"), _r(p).alias("precision"), _r(r).alias("recall"),
@@ -172,8 +174,8 @@ def random_search(data: DataFrame, draws: int = 5, folds: int = 4, max_iter: int
             for i, (p, v) in enumerate(zip(maps, m.avgMetrics))]
     df = data.sparkSession.createDataFrame(
         rows, "draw int, step_size double, max_depth int, subsampling_rate double, rmse double")
-    best = df.agg(F.min("rmse").alias("__best"))
-    return df.crossJoin(best).withColumn("is_best", F.col("rmse") == F.col("__best")).drop("__best").orderBy("draw")
+    best = df.agg(F.min("rmse")).scalar()
+    return df.withColumn("is_best", F.col("rmse") == best).orderBy("draw")
 
 
 # ------------------------------------------------------------------ K11, K12

@@ -4,8 +4,7 @@ Plan notes. Everything starts from ``retention.daily_activity`` (one row per
 customer and day, exact money sums), so the customer-keyed join below sees at
 most one row per customer-day. The event windows of the reference - pre 4
 weeks, post 4/13/26 weeks - become conditional sums over ``dd`` in ONE
-aggregate (C15). The ROI bounds (max bet day) are a one-row aggregate crossed
-in by broadcast. The payback series has at most 26 weekly rows, so its
+aggregate (C15). The ROI bounds (max bet day) are a scalar subquery, not a join. The payback series has at most 26 weekly rows, so its
 running total is a small global window (E5); the first crossing (E13) and the
 first sustained run (E14, gaps-and-islands over row order) read that series.
 """
@@ -108,14 +107,16 @@ def uplift_summary(uplift_exact: DataFrame) -> DataFrame:
     return r.withColumn("post_handle_gap", F.round(F.col("promo_post_handle") - F.col("control_post_handle"), 4))
 
 
-def max_bet_day(bets: DataFrame) -> DataFrame:
-    return bets.agg(F.max(F.to_date("bet_datetime")).alias("max_bet_date"))
+def max_bet_day(bets: DataFrame):
+    """Last bet day as a scalar subquery column (no join)."""
+    return bets.agg(F.max(F.to_date("bet_datetime")).alias("max_bet_date")).scalar()
 
 
 def roi_scorecard(uplift_exact: DataFrame, bets: DataFrame, overhead: float = SERVICING_OVERHEAD_PER_USER) -> DataFrame:
     """I-U3: ROI at 4/13/26 weeks over promo users whose window is fully observed."""
-    p = uplift_exact.where(F.col("cohort_type") == "promo").crossJoin(F.broadcast(max_bet_day(bets)))
-    observed = {k: F.col("anchor_date") <= F.date_sub("max_bet_date", n) for k, n in POST_WINDOWS.items()}
+    p = uplift_exact.where(F.col("cohort_type") == "promo")
+    last = max_bet_day(bets)
+    observed = {k: F.col("anchor_date") <= F.date_sub(last, n) for k, n in POST_WINDOWS.items()}
 
     def csum(k, col):
         return F.sum(F.when(observed[k], F.col(col)).otherwise(_zero()))
@@ -158,9 +159,8 @@ def payback_series(bets: DataFrame, costs: DataFrame, horizon_days: int = 180) -
     days = daily_activity(bets, costs)
     anchors = (first_days(days).where(F.col("first_promo_date").isNotNull())
                .select("customer_id", F.col("first_promo_date").alias("anchor_date")))
-    bounds = days.agg(F.max("bet_date").alias("max_bet_date"))
-    eligible = anchors.crossJoin(F.broadcast(bounds)) \
-        .where(F.col("anchor_date") <= F.date_sub("max_bet_date", horizon_days)).select("customer_id", "anchor_date")
+    last = days.agg(F.max("bet_date")).scalar()
+    eligible = anchors.where(F.col("anchor_date") <= F.date_sub(last, horizon_days))
     x = days.join(eligible, "customer_id").withColumn("dd", F.datediff("bet_date", "anchor_date")) \
         .where((F.col("dd") > 0) & (F.col("dd") <= horizon_days))
     weekly = x.groupBy((F.floor(F.col("dd") / 7) + 1).cast("long").alias("wk")) \

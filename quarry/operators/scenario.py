@@ -66,7 +66,5 @@ def calibration_fit(runs: DataFrame, run_col: str = "run_id",
             term = F.pow(F.col(f"{seg}_still_active_{k}") - F.lit(t), 2)
             sq = term if sq is None else sq + term
     scored = runs.select(run_col, F.round(sq, DIGITS).alias("fit_score"))
-    best = scored.agg(F.min_by(run_col, F.struct("fit_score", run_col)).alias("__best"))
-    return scored.crossJoin(F.broadcast(best)).select(run_col, "fit_score",
-                                                      (F.col(run_col) == F.col("__best")).alias("is_best")) \
-        .orderBy("fit_score", run_col)
+    best = scored.agg(F.min_by(run_col, F.struct("fit_score", run_col))).scalar()
+    return scored.select(run_col, "fit_score", (F.col(run_col) == best).alias("is_best")).orderBy("fit_score", run_col)

@@ -152,12 +152,10 @@ def bet_costs(bets: DataFrame, promo_cost: DataFrame | None = None) -> DataFrame
 
 # ------------------------------------------------------------------ I-W8
 def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row holding ``<name>_rows`` for every table (each count is its own scan)."""
-    out = None
-    for name, df in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias(f"{name}_rows"))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    """One row holding ``<name>_rows`` for every table (each count a scalar subquery over its own scan)."""
+    first = next(iter(tables.values()))
+    return first.sparkSession.range(1).select(
+        *[df.agg(F.count(F.lit(1))).scalar().alias(f"{name}_rows") for name, df in tables.items()])
 
 
 # ------------------------------------------------------------------ I-P1
