@@ -28,8 +28,14 @@ def _r(c):
     return F.round(c, DIGITS)
 
 
-def describe(df: DataFrame, columns: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """Count, mean, std, min, quartiles, max per numeric column (``exact=False`` for approximate quartiles)."""
+def describe(df: DataFrame, columns: Sequence[str], exact: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Count, mean, std, min, quartiles, max per numeric column.
+
+    Quartiles come from ``percentile_approx`` sketches by default (mergeable,
+    bounded memory, rank error <= 1/accuracy). ``exact=True`` uses the exact
+    ``percentile``, whose final merge holds every distinct value of a column
+    in one task - only for columns known to have few distinct values.
+    """
     q = [0.25, 0.5, 0.75]
     df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     aggs = []
