@@ -216,10 +216,10 @@ def raw_teams(spark: SparkSession, sf: str) -> DataFrame:
 def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
     """``dim_event`` rendered as a text score sheet (mixed date formats, week names, blanks)."""
     e = dim_event(spark, sf)
-    n = table(spark, sf, "nation", "n_nationkey", "n_name")
+    n = bounded_broadcast(table(spark, sf, "nation", "n_nationkey", "n_name"))  # one size check, two lookups
     home = n.select(F.col("n_nationkey").cast("string").alias("home_team_id"), F.col("n_name").alias("home_name"))
     away = n.select(F.col("n_nationkey").cast("string").alias("away_team_id"), F.col("n_name").alias("away_name"))
-    e = e.join(bounded_broadcast(home), "home_team_id", "left").join(bounded_broadcast(away), "away_team_id", "left")
+    e = e.join(home, "home_team_id", "left").join(away, "away_team_id", "left")
     k = F.col("event_id")
     date_text = (F.when(k % 50 == 0, F.lit("TBD"))
                  .when(k % 2 == 0, F.date_format("game_date", "yyyy-MM-dd"))
