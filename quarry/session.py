@@ -78,3 +78,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cluster_settings(input_bytes: int, executor_cores_total: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Starting values for a large cluster run, sized from the input volume.
+
+    Shuffle partitions are chosen so that one partition of the largest
+    shuffle holds about ``target_partition_bytes`` (spill-free on a few GB of
+    executor memory) and at least two waves of tasks exist; AQE then
+    coalesces small partitions and splits skewed ones at runtime.
+    """
+    partitions = max(2 * executor_cores_total, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(int(partitions)),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
