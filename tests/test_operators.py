@@ -289,3 +289,38 @@ def test_formatting_helpers(spark):
     assert [g.c for g in got] == ["$1.2M", "$-2.5K", "$12"]
     assert [g.p for g in got] == ["4.84%", "50.00%", "-1.00%"]
     assert [g.k for g in got] == [0.0484, 0.1, 0.0]
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key holding every row is still windowed in several tasks (one per bucket), not in one."""
+    rows = [("hot", dt.date(2020, 1, 1) + dt.timedelta(days=i), i, 1.0) for i in range(730)]
+    df = spark.createDataFrame(rows, "k string, d date, id long, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        out = keyed_running(df, ["k"], bucket=F.trunc("d", "month"), order=["d", "id"], sums={"s": F.col("v")},
+                            count_name="n")
+        parts = {r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}
+        assert len(parts) >= 4
+        assert out.agg(F.max("n")).first()[0] == 730
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_hot_team_lags_spread_over_blocks(spark):
+    """Block-halo lags split one key into blocks: every block is its own window task."""
+    from quarry.plans.prefix import lagged
+
+    df = spark.createDataFrame([("hot", i, float(i)) for i in range(1, 5001)], "k string, idx long, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        out = lagged(df, ["k"], "idx", {"prev": ("v", 1), "back17": ("v", 17)}, block=500)
+        parts = {r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}
+        assert len(parts) >= 4
+        r = out.where(F.col("idx") == 501).first()
+        assert (r.prev, r.back17) == (500.0, 484.0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
