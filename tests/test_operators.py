@@ -324,3 +324,13 @@ def test_hot_team_lags_spread_over_blocks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_scans_are_pruned(spark, sf_small):
+    """The orders scan of the flagship query reads only the columns the query uses."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["ik2_profit_by_bet_type"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    schemas = [line for line in plan.split("\n") if "ReadSchema" in line or "FileScan parquet" in line]
+    assert schemas, plan
+    assert all("o_custkey" not in s_ for s_ in schemas)  # the customer key is never needed by this query
