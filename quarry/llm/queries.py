@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, exact_dedup, licenses
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
+#: The vocabulary of op6 and of the pipeline's last stage.
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 @register("op9_exact_dedup", r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
@@ -13,3 +19,16 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""")
 def op9_exact_dedup(spark, sf):
     return exact_dedup.exact_duplicates(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@register("op6_bpe")
+def op6_bpe(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, BPE_FILE), BPE_FILE)
+    return coded.select("doc_id", F.expr("octet_length(token_ids) div 4").alias("n_tokens"),
+                        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op10_license_scan")
+def op10_license_scan(spark, sf):
+    return licenses.license_report(table(spark, sf, "documents", "doc_id", "text"))
