@@ -47,9 +47,7 @@ _WORDS = regex.compile(rf"{_SUFFIXES}| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}
 #: The same for texts of ASCII characters only, on the faster engine.
 _WORDS_ASCII = re.compile(rf"{_SUFFIXES}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _LATER = regex.compile(f"[{LATER}]")
-_WORDS#: The same for texts of ASCII characters only, on the faster engine.
-_WORDS_ASCII = re.compile(rf"{_SUFFIXES}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_LATER = regex.compile(
+_WORDS_LATER = regex.compile(
     rf"(?V1){_SUFFIXES}| ?[\p{{L}}--[{LATER}]]+| ?[\p{{N}}--[{LATER}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{LATER}]]+|\s+(?!\S)|\s+")
 
 
