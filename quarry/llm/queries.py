@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, licenses
+from quarry.llm import bpe, exact_dedup, licenses, lm
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -32,3 +32,9 @@ def op6_bpe(spark, sf):
 @register("op10_license_scan")
 def op10_license_scan(spark, sf):
     return licenses.license_report(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@register("op4_lm_scoring")
+def op4_lm_scoring(spark, sf):
+    part = F.crc32(F.col("doc_id").cast("string")) % 7
+    return lm.score(table(spark, sf, "documents", "doc_id", "text"), train=part != 2, held_out=part == 2)
