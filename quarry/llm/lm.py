@@ -169,16 +169,16 @@ def high(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, LEVELS[level] - 1, 0)
 
 
-def _load(parts: DataFrame, segments: int, wanted: list[int]) -> LogFilter:
-    """The filter of the wanted segments; their size is known to be within the bound."""
+def _load(parts: DataFrame, segments: int, sizes: dict[int, int]) -> LogFilter:
+    """The filter of the segments in ``sizes`` (seg -> words), read one partition at a time; the sum is within the bound."""
     size = np.zeros(segments, np.int64)
-    rows = parts.where(F.col("seg").isin(wanted)).select("seg", "filter").collect() if wanted else []
-    for r in rows:
-        size[r.seg] = len(r["filter"]) // 8
+    for seg, n in sizes.items():
+        size[seg] = n
     start = np.cumsum(size) - size
     words = np.zeros(int(size.sum()) + 1, np.uint64)
-    for r in rows:
-        words[start[r.seg]:start[r.seg] + size[r.seg]] = np.frombuffer(r["filter"], np.uint64)
+    if sizes:
+        for r in parts.where(F.col("seg").isin(list(sizes))).select("seg", "filter").toLocalIterator():
+            words[start[r[0]]:start[r[0]] + size[r[0]]] = np.frombuffer(r[1], np.uint64)
     return LogFilter(size, start, words)
 
 
@@ -222,20 +222,19 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_train, v, n_texts = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)),
                                       F.coalesce(F.max(F.when(F.col("key") == int(np.uint64(END).view(np.int64)), F.col("n"))),
                                                  F.lit(0))).first()
-    top = singles.select("key", "n").orderBy(F.desc("n"), "key").limit(head).collect()
-    common = np.array([r.key for r in top], np.int64).view(np.uint64)
+    top = singles.select("key", "n").orderBy(F.desc("n"), "key").limit(head).toArrow()
+    common = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(common)
-    common, common_n = common[order], np.array([r.n for r in top], np.int64)[order]
-    del top
+    common, common_n = common[order], top["n"].to_numpy()[order]
     one = materialize(filter_segments(singles.select("seg", "key", "n").repartition(segments // 4, "seg")))
     two = materialize(filter_segments(ngram_counts(texts, True, segments)))
     sizes = {r.seg: r.words for r in two.select("seg", "words").collect()}
-    own_words = sum(r.words for r in one.select("words").collect())
-    bound = max_filter_mb * (1 << 17) - own_words
+    single_sizes = {r.seg: r.words for r in one.select("seg", "words").collect()}
+    bound = max_filter_mb * (1 << 17) - sum(single_sizes.values())
     if bound <= 0:
         raise ValueError("the filter of single words goes beyond max_filter_mb")
     share = sc.broadcast((common, common_n))
-    words = sc.broadcast(_load(one, segments, list(range(segments))))
+    words = sc.broadcast(_load(one, segments, single_sizes))
     total = n_train + v + 1
 
     def with_common(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,12 +295,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     groups = _passes(sizes, bound)
     every = None
     for i, group in enumerate(groups):
-        loaded = _load(two, segments, group)
+        loaded = _load(two, segments, {s: sizes[s] for s in group})
         absent = np.setdiff1d(np.fromiter((s for g in groups for s in g), np.int64, len(sizes)), group)
         loaded.size[absent] = -1  # scored in another pass; a segment without any pair (size 0) in the first
         if i:
             loaded.size[np.setdiff1d(np.arange(segments), group)] = -1
         part = model_pass(sc.broadcast(loaded), i == 0)
+        del loaded
         every = part if every is None else every.unionByName(part)
     if len(groups) > 1:
         every = every.groupBy("row").agg(F.max("id").alias("id"), F.max("held_out").alias("held_out"),
