@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, licenses, lm
+from quarry.llm import bpe, exact_dedup, licenses, lm, near_dedup
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -38,3 +38,8 @@ def op10_license_scan(spark, sf):
 def op4_lm_scoring(spark, sf):
     part = F.crc32(F.col("doc_id").cast("string")) % 7
     return lm.score(table(spark, sf, "documents", "doc_id", "text"), train=part != 2, held_out=part == 2)
+
+
+@register("op8_near_dedup")
+def op8_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"), shingle=2, threshold=(80, 100))
