@@ -7,7 +7,9 @@ arithmetic, AQE for runtime join/skew decisions, last-wins map merges).
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,10 +39,18 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the semantic and scale settings to an existing session."""
     for key, value in {**SEMANTIC_CONF, **SCALE_CONF}.items():
         spark.conf.set(key, value)
+    importable(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers find this package where the driver found it (on a cluster, ship it with ``--py-files``)."""
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
+
+
 def local_session(cores: int = 8, app: str = "quarry", shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and the benchmark (never used on a cluster)."""
     builder = (
