@@ -64,7 +64,7 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: Sequence[s
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # the schema is known: no job reads footers for it
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort: bool = True) -> None:
