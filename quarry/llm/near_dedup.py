@@ -9,10 +9,11 @@ stay together in a critical branching process, others part quickly. A node of
 at most ``LEAF`` sets is compared exhaustively: a bit sketch and the set sizes
 discard pairs that are far from the threshold, the others are confirmed on the
 full shingle sets. Larger nodes branch again; from level ``STARS`` on, their sets
-are also compared with one of them, and a node whose sets are all linked already
-needs no further look, so a group of thousands of copies costs a star of links
-and never all pairs. What is left after ``LEVELS`` is compared exhaustively,
-except for sets that are linked already.
+are also compared with one of them, and only sets that are not connected yet need a
+further look: a node within one component is done, one that a component fills
+but for at most ``LEAF`` sets pairs just these with the others. So a group of
+thousands of copies costs stars of links and never all pairs. What is left after
+``LEVELS`` is compared exhaustively, except for sets that are connected already.
 
 With ``t`` trees a pair just at the threshold is missed with probability
 ``(1 - s) ** t``, ``s`` being 0.47 for nodes that end on level 2 and 0.37 on
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import components
@@ -205,32 +206,68 @@ def full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
         .select("node", "shingles")
 
 
-def _linked(docs, facts, pairs, links, size, threshold):
-    """``links`` with what the candidate ``pairs`` add to them; pairs that are connected already need no look."""
-    p, q = threshold
-    found = materialize(candidates(pairs, facts, p / q))
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(full_sets(docs, facts.join(ends, "node").select("node", "low", "n", "d1", "d2"), size))
-    best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    for most in (1, 4, None):
-        if links is not None:
-            comp = components(links)
-            found = materialize(_apart(found, comp))
+class _Links:
+    """The confirmed links so far, their components, and the pairs that were looked at."""
+
+    def __init__(self, docs: DataFrame, facts: DataFrame, shingle: int, threshold: tuple[int, int]):
+        self.docs, self.facts, self.shingle, self.threshold = docs, facts, shingle, threshold
+        self.links = self.seen = None
+        self.comp = facts.select("node", F.col("node").alias("comp")).limit(0)
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component ``comp`` of their ``node``."""
+        return rows.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are not connected yet."""
+        x = self.comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+        y = self.comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        return pairs.join(x, "a", "left").join(y, "b", "left") \
+            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm candidate pairs: first the best one of each set, then all that these have not connected."""
+        p, q = self.threshold
+        found = candidates(pairs, self.facts, p / q)
+        if self.seen is not None:
+            found = self.apart(found.join(self.seen, ["a", "b"], "left_anti"))
+        found = materialize(found)
         if found.isEmpty():
-            break
-        some = found if most is None else found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
-        some = materialize(some.select("a", "b", "agree"))
-        new = confirm(some.select("a", "b"), sets, threshold)
-        links = materialize(new if links is None else links.unionByName(new))
-        found = found.join(some.select("a", "b"), ["a", "b"], "left_anti")
-    return links
+            return
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+        needed = self.facts.join(ends, "node").select("node", "low", "n", "d1", "d2")
+        sets = materialize(full_sets(self.docs, needed, self.shingle))
+        best = found.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+        for some in (best, found.select("a", "b").join(best, ["a", "b"], "left_anti")):
+            some = materialize(self.apart(some))
+            if some.isEmpty():
+                continue
+            new = materialize(confirm(some, sets, self.threshold))
+            self.seen = some if self.seen is None else self.seen.unionByName(some)
+            if not new.isEmpty():
+                self.links = new if self.links is None else self.links.unionByName(new)
+                self.comp = components(self.links)
+
 
+def _open(large: DataFrame, links: _Links) -> tuple[DataFrame, DataFrame]:
+    """Of the large nodes: the rows of those to branch, and the pairs of those that one component all but fills.
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    x, y = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left") \
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+    A node within one component is done. Where at most ``LEAF`` sets lie outside
+    the largest component, these are paired with all others of the node; that
+    ends the node.
+    """
+    rows = links.labelled(large)
+    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    nodes = parts.groupBy("bucket").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main")) \
+        .where("total > most")
+    rows = materialize(rows.join(nodes, "bucket"))
+    few = rows.where(F.col("total") - F.col("most") <= LEAF)
+    x = few.where("comp != main").select("bucket", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("b1").alias("x"))
+    y = few.select("bucket", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("b1").alias("y"))
+    near = _equal_bits("x", "y") >= _agree(64, links.threshold[0] / links.threshold[1])
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cu") != F.col("cv")) & near) \
+        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return rows.where(F.col("total") - F.col("most") > LEAF).select("bucket", "node", "b1"), pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -256,7 +293,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = materialize(classes.join(full.select(F.col("row").alias("node"), "b1", "b2"), "node"))
     single = facts.select("node", "b1").join(full.select(F.col("row").alias("node"), "sig"), "node")
 
-    rows, links, pairs = branch(single, ratio, trees), None, None
+    links = _Links(own, facts, shingle, threshold)
+    rows, pairs = branch(single, ratio, trees), None
     for level in range(1, LEVELS + 1):
         rows = materialize(rows)
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
@@ -268,28 +306,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             near = near.unionByName(stars)
         pairs = near if pairs is None else pairs.unionByName(near)
         large = tagged.where(F.col("size") > LEAF).select("bucket", "node", "b1")
-        if level >= STARS - 1:
-            links = _linked(own, facts, pairs, links, shingle, threshold)
-            pairs = None
-            if links is not None:
-                comp = components(links)
-                large = large.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                open_ = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
-                large = large.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "node", "b1")
-            large = materialize(large)
+        if level >= STARS:
+            links.add(pairs)
+            large, pairs = _open(large, links)
             if large.isEmpty():
+                links.add(pairs)
                 break
         if level == LEVELS:
-            links = _linked(own, facts, _rest(large, links, ratio), links, shingle, threshold)
+            links.add(links.apart(node_pairs(large, ratio)).unionByName(pairs))
             break
         paths = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
         rows = branch(single.join(paths, "node"), ratio, trees)
 
-    if links is None:
-        comp = facts.select("node", F.col("node").alias("comp")).limit(0)
-    else:
-        comp = components(links)
-    tree = facts.select("n", "d1", "d2", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tree = links.labelled(facts.select("n", "d1", "d2", "node", "low"))
     lows = tree.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = tree.join(lows, "comp").select("n", "d1", "d2", "component_id")
     out = sigs.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
@@ -298,12 +327,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("id").eqNullSafe(member).alias("kept"))
 
 
-def _rest(large: DataFrame, links: DataFrame | None, ratio: float) -> DataFrame:
-    """What never split: all pairs of sets in a bucket that are not connected yet."""
-    pairs = node_pairs(large, ratio)
-    return pairs if links is None else _apart(pairs, components(links))
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                          threshold: tuple[int, int] = (4, 5), trees: int = TREES) -> DataFrame:
     """The rows of ``docs`` that stay (one id of each component), with all their columns."""
