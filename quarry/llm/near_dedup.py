@@ -6,14 +6,17 @@ classes are joined. ``COORDINATES`` minhash values stand for a set. Each of
 the coordinates at random (``1 / threshold`` of them on average) and the sets go
 on to the child that shares the value there. Sets as similar as the threshold
 stay together in a critical branching process, others part quickly. A node of
-at most ``LEAF`` sets is compared exhaustively: a bit sketch and the set sizes
-discard pairs that are far from the threshold, the others are confirmed on the
-full shingle sets. Larger nodes branch again; from level ``STARS`` on, their sets
-are also compared with one of them, and only sets that are not connected yet need a
-further look: a node within one component is done, one that a component fills
-but for at most ``LEAF`` sets pairs just these with the others. So a group of
-thousands of copies costs stars of links and never all pairs. What is left after
-``LEVELS`` is compared exhaustively, except for sets that are connected already.
+at most ``LEAF`` sets is compared exhaustively, larger nodes branch again, and
+what is left after ``LEVELS`` is compared exhaustively as well. A bit sketch and
+the set sizes discard pairs that are far from the threshold; the others are
+confirmed on the full shingle sets.
+
+Only components are asked for, so pairs that are connected already need no look.
+At level ``STARS`` the sets of every node are compared with one of them, which
+connects groups of copies by a star each; the exhaustive comparison then takes
+the pairs between components. A large node within one component is done; one that
+a component fills but for at most ``LEAF`` sets pairs just these with the others.
+So a group of thousands of copies never costs all its pairs.
 
 With ``t`` trees a pair just at the threshold is missed with probability
 ``(1 - s) ** t``, ``s`` being 0.47 for nodes that end on level 2 and 0.37 on
@@ -22,6 +25,8 @@ level 3: about 3e-5 and 6e-4 for 16 trees; more similar pairs are missed far les
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +39,9 @@ from quarry.sources.files import materialize
 COORDINATES, TREES, LEAF, STARS, LEVELS = 128, 16, 128, 3, 10
 #: Shingles whose minhashes are computed at once.
 PIECE = 1 << 15
+#: Bits of the mask that keeps texts without a candidate from being shingled anew.
+MASK = 1 << 25
+ROW = ["bucket", "node", "n", "b1", "b2"]
 _FLIP = seeded(21, COORDINATES).astype(np.uint32)[:, None]
 _FACTOR = (seeded(22, COORDINATES).astype(np.uint32) | np.uint32(1))[:, None]
 _PICK = seeded(23, COORDINATES)
@@ -118,7 +126,7 @@ def _children(sig: np.ndarray, owner: np.ndarray, path: np.ndarray, threshold: f
 
 
 def branch(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """(bucket, node, b1): the children of each set's nodes; ``sets`` has node, b1, sig, and the column buckets but for the roots."""
+    """(bucket, node, n, b1, b2): the children of each set's nodes; ``sets`` has node, n, b1, b2, sig and, but for the roots, buckets."""
     roots = seeded(31, trees)
     at_root = "buckets" not in sets.columns
 
@@ -128,7 +136,7 @@ def branch(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
                 continue
             sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sig")])
             node = batch.column("node").to_numpy(zero_copy_only=False)
-            b1 = batch.column("b1").to_numpy(zero_copy_only=False)
+            facts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "b1", "b2")]
             if at_root:
                 owner, path = np.repeat(np.arange(len(node)), trees), np.tile(roots, len(node))
             else:
@@ -136,10 +144,10 @@ def branch(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
                 path = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             owner, child = _children(sig, owner, path, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(child)), pa.array(node[owner]), pa.array(b1[owner])],
-                                             names=["bucket", "node", "b1"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(child)), pa.array(node[owner]), *[pa.array(x[owner]) for x in facts]],
+                                             names=ROW)
 
-    return sets.mapInArrow(run, "bucket long, node long, b1 long")
+    return sets.mapInArrow(run, ", ".join(f"{c} long" for c in ROW))
 
 
 def _agree(bits: int, threshold: float) -> int:
@@ -148,25 +156,15 @@ def _agree(bits: int, threshold: float) -> int:
     return int(bits * p - 5 * (bits * p * (1 - p)) ** 0.5)
 
 
-def _equal_bits(a: str, b: str):
-    return F.lit(64) - F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def node_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the pairs within a bucket that the sketch leaves."""
-    x = rows.select("bucket", F.col("node").alias("a"), F.col("b1").alias("x"))
-    y = rows.select("bucket", F.col("node").alias("b"), F.col("b1").alias("y"))
-    near = (F.col("a") < F.col("b")) & (_equal_bits("x", "y") >= _agree(64, threshold))
-    return x.join(y, (x["bucket"] == y["bucket"]) & near).select("a", "b")
-
-
-def candidates(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, agree) of the distinct pairs that sizes and the whole sketch leave."""
-    side = lambda k: facts.select(F.col("node").alias(k), *[F.col(c).alias(k + c) for c in ("n", "b1", "b2")])
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    agree = _equal_bits("ab1", "bb1") + _equal_bits("ab2", "bb2")
-    fits = F.least("an", "bn") >= F.greatest("an", "bn") * threshold
-    return both.where(fits & (agree >= _agree(128, threshold))).select("a", "b", agree.alias("agree"))
+def pairs_of(left: DataFrame, right: DataFrame, threshold: float, which=None) -> DataFrame:
+    """(a, b, agree), a < b, of the pairs within a bucket that sizes and sketches leave; ``which``: a further condition."""
+    side = lambda df, k: df.select("bucket", *[F.col(c).alias(k + c) for c in df.columns if c != "bucket"])
+    x, y = side(left, "x"), side(right, "y")
+    agree = F.lit(COORDINATES) - F.bit_count(F.col("xb1").bitwiseXOR(F.col("yb1"))) - F.bit_count(F.col("xb2").bitwiseXOR(F.col("yb2")))
+    fits = F.least("xn", "yn") >= F.greatest("xn", "yn") * threshold
+    near = (agree >= _agree(COORDINATES, threshold)) & fits & (F.col("xnode") != F.col("ynode"))
+    return x.join(y, (x["bucket"] == y["bucket"]) & (near if which is None else near & which)) \
+        .select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b"), agree.alias("agree"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -190,20 +188,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the classes in ``needed`` (node, low, n, d1, d2), made again from the texts that stand for them."""
+    """(node, shingles) of the classes in ``needed`` (node, low, n, d1, d2), made again from the texts that stand for them.
+
+    A bit mask of fixed size tells most texts that nobody needs; the join on
+    the digests decides.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MASK))
+    words = needed.select(spot("low").alias("h")) \
+        .groupBy(F.expr("shiftright(h, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("bits")).toArrow()
+    mask = np.zeros(MASK // 64, np.uint64)
+    mask[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(mask)
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), size)
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            hit = (shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1)
+            sets = shingle_sets(batch.column("text").filter(pa.array(hit.astype(bool))), size)
             d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]),
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "d1", "d2", "shingles"])
 
-    ids = needed.select(F.col("low").alias("want")).distinct()
-    texts = docs.join(ids, docs["id"].eqNullSafe(F.col("want")), "left_semi").select("text")
-    return texts.mapInArrow(run, "n long, d1 long, d2 long, shingles binary").join(needed, ["n", "d1", "d2"]) \
-        .select("node", "shingles")
+    return docs.select(spot("id").alias("h"), "text").mapInArrow(run, "n long, d1 long, d2 long, shingles binary") \
+        .join(needed, ["n", "d1", "d2"]).select("node", "shingles") \
+        .groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 class _Links:
@@ -226,16 +235,15 @@ class _Links:
             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
     def add(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs: first the best one of each set, then all that these have not connected."""
-        p, q = self.threshold
-        found = candidates(pairs, self.facts, p / q)
+        """Confirm candidate pairs (a, b, agree): first the best one of each set, then all that these have not connected."""
+        found = self.apart(pairs.distinct())
         if self.seen is not None:
-            found = self.apart(found.join(self.seen, ["a", "b"], "left_anti"))
+            found = found.join(self.seen, ["a", "b"], "left_anti")
         found = materialize(found)
         if found.isEmpty():
             return
         ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-        needed = self.facts.join(ends, "node").select("node", "low", "n", "d1", "d2")
+        needed = materialize(self.facts.join(ends, "node").select("node", "low", "n", "d1", "d2"))
         sets = materialize(full_sets(self.docs, needed, self.shingle))
         best = found.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
         for some in (best, found.select("a", "b").join(best, ["a", "b"], "left_anti")):
@@ -249,25 +257,21 @@ class _Links:
                 self.comp = components(self.links)
 
 
-def _open(large: DataFrame, links: _Links) -> tuple[DataFrame, DataFrame]:
+def _open(large: DataFrame, links: _Links, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of the large nodes: the rows of those to branch, and the pairs of those that one component all but fills.
 
     A node within one component is done. Where at most ``LEAF`` sets lie outside
     the largest component, these are paired with all others of the node; that
     ends the node.
     """
-    rows = links.labelled(large)
-    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    nodes = parts.groupBy("bucket").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main")) \
-        .where("total > most")
+    rows = links.labelled(large.select(ROW))
+    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n_part"))
+    nodes = parts.groupBy("bucket").agg(F.sum("n_part").alias("total"), F.max("n_part").alias("most"),
+                                        F.max_by("comp", "n_part").alias("main")).where("total > most")
     rows = materialize(rows.join(nodes, "bucket"))
-    few = rows.where(F.col("total") - F.col("most") <= LEAF)
-    x = few.where("comp != main").select("bucket", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("b1").alias("x"))
-    y = few.select("bucket", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("b1").alias("y"))
-    near = _equal_bits("x", "y") >= _agree(64, links.threshold[0] / links.threshold[1])
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("cu") != F.col("cv")) & near) \
-        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-    return rows.where(F.col("total") - F.col("most") > LEAF).select("bucket", "node", "b1"), pairs
+    few = rows.where(F.col("total") - F.col("most") <= LEAF).select(*ROW, "comp", "main")
+    pairs = pairs_of(few.where("comp != main"), few, threshold, F.col("xcomp") != F.col("ycomp"))
+    return rows.where(F.col("total") - F.col("most") > LEAF).select(ROW), pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -290,33 +294,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = materialize(signatures(own.withColumn("row", F.monotonically_increasing_id()), "text", shingle))
     full = sigs.where("n > 0")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("low"))
-    facts = materialize(classes.join(full.select(F.col("row").alias("node"), "b1", "b2"), "node"))
-    single = facts.select("node", "b1").join(full.select(F.col("row").alias("node"), "sig"), "node")
+    facts = materialize(classes)
+    single = full.select(F.col("row").alias("node"), "b1", "b2", "sig").join(facts.select("node", "n"), "node")
 
     links = _Links(own, facts, shingle, threshold)
-    rows, pairs = branch(single, ratio, trees), None
+    rows, levels, crossing = branch(single, ratio, trees), [], []
     for level in range(1, LEVELS + 1):
         rows = materialize(rows)
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
-        tagged = materialize(rows.join(sizes, "bucket"))
-        near = node_pairs(tagged.where(F.col("size") <= LEAF), ratio)
-        if level >= STARS:
-            stars = tagged.where((F.col("size") > LEAF) & (F.col("node") != F.col("pivot"))) \
-                .select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            near = near.unionByName(stars)
-        pairs = near if pairs is None else pairs.unionByName(near)
-        large = tagged.where(F.col("size") > LEAF).select("bucket", "node", "b1")
+        levels.append(materialize(rows.join(sizes, "bucket")))
+        if level == STARS:
+            stars = [pairs_of(x.where("node = pivot").select(ROW), x.where("node != pivot").select(ROW), ratio)
+                     for x in [*[y.where(F.col("size") <= LEAF) for y in levels[:-1]], levels[-1]]]
+            links.add(reduce(DataFrame.unionByName, stars))
+        large = levels[-1].where(F.col("size") > LEAF).select(ROW)
         if level >= STARS:
-            links.add(pairs)
-            large, pairs = _open(large, links)
+            large, pairs = _open(large, links, ratio)
+            crossing.append(pairs)
             if large.isEmpty():
-                links.add(pairs)
                 break
         if level == LEVELS:
-            links.add(links.apart(node_pairs(large, ratio)).unionByName(pairs))
+            crossing.append(_crossing(large, links, ratio))
             break
         paths = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
         rows = branch(single.join(paths, "node"), ratio, trees)
+    crossing += [_crossing(x.where(F.col("size") <= LEAF).select(ROW), links, ratio) for x in levels]
+    links.add(reduce(DataFrame.unionByName, crossing))
 
     tree = links.labelled(facts.select("n", "d1", "d2", "node", "low"))
     lows = tree.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -327,6 +330,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("id").eqNullSafe(member).alias("kept"))
 
 
+def _crossing(rows: DataFrame, links: _Links, ratio: float) -> DataFrame:
+    """All pairs within a node that no component holds together yet."""
+    rows = links.labelled(rows)
+    return pairs_of(rows, rows, ratio, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode")))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                          threshold: tuple[int, int] = (4, 5), trees: int = TREES) -> DataFrame:
     """The rows of ``docs`` that stay (one id of each component), with all their columns."""
