@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.files import materialize
+
 _BUCKET = "__bucket"
 _OFF = "__offset_"
 
@@ -138,3 +140,23 @@ def lagged(df: DataFrame, keys: Sequence[str], idx: str, lags: dict[str, tuple[s
     w = Window.partitionBy(*keys, "__blk").orderBy(idx)
     u = u.withColumns({name: F.lag(col, s).over(w) for name, (col, s) in lags.items()})
     return u.where(~F.col("__halo")).drop("__blk", "__halo")
+
+
+def range_numbered(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
+    """``row_number() OVER (ORDER BY order)`` by one range-partitioned sort, whatever the keys look like.
+
+    Rows are dealt by ranges of the whole order, so no key, date or prefix is
+    ever one task as long as its rows differ in the order. The sorted rows are
+    written once, since range bounds come from a sample and must not be drawn
+    again; the totals before each partition (one row a partition) are added.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = _cols(order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    done = materialize(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+                       .withColumns({"__part": F.spark_partition_id(), "__at": at}))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = done.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")) \
+        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return done.join(F.broadcast(offsets), "__part") \
+        .withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
