@@ -261,8 +261,6 @@ def _with_column(batch: pa.RecordBatch, values: pa.Array, name: str) -> pa.Recor
 
 
 def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"column {name!r} is already there")
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
@@ -273,8 +271,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     truncation or padding: an added token's string in a text becomes its id.
     Null counts as empty, an empty text has no ids (an empty binary). Rows and
     other columns stay as they are, repeated rows too; a column of the new name
-    is refused.
+    is replaced.
     """
+    docs = docs.drop(ids_col)
     shared = df_broadcast(docs, read_spec(path))
 
     def run(batches):
@@ -288,6 +287,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of each row's token ids (null: empty)."""
+    df = df.drop(text_col)
     shared = df_broadcast(df, read_spec(path))
 
     def run(batches):

@@ -341,4 +341,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay (one id of each component), with all their columns."""
     keep = near_duplicates(docs, id_col, text_col, shingle, threshold, trees).where("kept") \
         .select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, licenses, lm, near_dedup
+from quarry.llm import bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -43,3 +43,48 @@ def op4_lm_scoring(spark, sf):
 @register("op8_near_dedup")
 def op8_near_dedup(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents", "doc_id", "text"), shingle=2, threshold=(80, 100))
+
+
+@register("op3_line_dedup", r"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, trim(regexp_replace(ls[i], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+s AS (SELECT doc_id, i, norm, len(norm) - len(replace(norm, ' ', '')) + 1 AS w,
+             row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM l WHERE norm <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY q) AS upto FROM s),
+span AS (SELECT a.doc_id, a.q AS first, min(b.q) AS last FROM c a JOIN c b
+         ON a.doc_id = b.doc_id AND b.q >= a.q AND b.upto - (a.upto - a.w) >= 50 GROUP BY ALL
+         UNION SELECT b.doc_id, max(a.q), b.q FROM c a JOIN c b
+         ON a.doc_id = b.doc_id AND b.q >= a.q AND b.upto - (a.upto - a.w) >= 50 GROUP BY b.doc_id, b.q),
+body AS (SELECT span.doc_id, first, last, string_agg(norm, chr(10) ORDER BY q) AS t
+         FROM span JOIN c ON c.doc_id = span.doc_id AND q BETWEEN first AND last GROUP BY ALL),
+late AS (SELECT doc_id, first, last FROM body
+         QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, first) > 1),
+gone AS (SELECT DISTINCT c.doc_id, c.i FROM late JOIN c ON c.doc_id = late.doc_id AND c.q BETWEEN first AND last),
+kept AS (SELECT l.doc_id, l.i FROM l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i),
+cut AS (SELECT kept.doc_id, string_agg(ls[kept.i], chr(10) ORDER BY kept.i) AS text, count(*) AS n FROM kept
+        JOIN raw USING (doc_id) GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(cut.text, '') END AS text,
+       CAST(coalesce(len(raw.ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(raw.ls) - coalesce(cut.n, 0), 0) AS INTEGER) AS n_deleted
+FROM documents d LEFT JOIN raw USING (doc_id) LEFT JOIN cut USING (doc_id)""")
+def op3_line_dedup(spark, sf):
+    return line_dedup.dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
+
+
+@register("op2_source_mix", r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+                            md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+x AS (SELECT max(tokens) AS top, CAST(max(tokens) AS DOUBLE) / min(tokens) AS ratio FROM s WHERE tokens > 0),
+b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(CASE WHEN ratio <= 2 THEN 0 ELSE 1 END AS DOUBLE) AS hi FROM x
+      UNION ALL SELECT i + 1, CASE WHEN pow(ratio, 1 - (lo + hi) / 2) <= 2 THEN lo ELSE (lo + hi) / 2 END,
+                       CASE WHEN pow(ratio, 1 - (lo + hi) / 2) <= 2 THEN (lo + hi) / 2 ELSE hi END FROM b, x WHERE i < 60),
+a AS (SELECT hi FROM b WHERE i = 60),
+r AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(CAST(top AS DOUBLE) / tokens, 1 - hi) ELSE 1 END AS repeats FROM s, x, a),
+p AS (SELECT source, floor(repeats) AS epochs, floor((repeats - floor(repeats)) * tokens) AS rest FROM r),
+o AS (SELECT doc_id, source, n_tokens, sum(n_tokens) OVER (PARTITION BY source ORDER BY h, n_tokens ROWS UNBOUNDED PRECEDING) AS used FROM d)
+SELECT doc_id, o.source, n_tokens, CAST(epochs + CASE WHEN used <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source""")
+def op2_source_mix(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "n_tokens", "copies")
