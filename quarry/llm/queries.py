@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup
+from quarry.llm import bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -88,3 +88,15 @@ FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source""")
 def op2_source_mix(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "n_tokens", "copies")
+
+
+def scored_toxicity(docs, labels):
+    """``docs`` with ``toxicity``, learned from the labels whose crc32(doc_id) mod 5 is not 0."""
+    return toxicity.score(docs, labels, train=F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark, sf):
+    scored = scored_toxicity(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+                         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
