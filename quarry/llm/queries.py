@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity
+from quarry.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -100,3 +100,8 @@ def op7_toxicity(spark, sf):
     scored = scored_toxicity(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "labels", "doc_id", "toxic"))
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
                          F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
