@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity
+from quarry.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -105,3 +105,14 @@ def op7_toxicity(spark, sf):
 @register("op5_nearest_neighbours")
 def op5_nearest_neighbours(spark, sf):
     return ann.nearest(table(spark, sf, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+#: The rules that op1 is given.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@register("op1_url_filter")
+def op1_url_filter(spark, sf):
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return urls.judge(table(spark, sf, "pages", "page_id", "url"), table(spark, sf, "labels", "doc_id", "quality", "toxic"),
+                      URL_RULES, bad=bad)
