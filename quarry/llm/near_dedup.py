@@ -15,8 +15,8 @@ Only components are asked for, so pairs that are connected already need no look.
 At level ``STARS`` the sets of every node are compared with one of them, which
 connects groups of copies by a star each; the exhaustive comparison then takes
 the pairs between components. A large node within one component is done; one that
-a component fills but for at most ``LEAF`` sets pairs just these with the others.
-So a group of thousands of copies never costs all its pairs.
+a component fills but for at most ``LEAF`` sets has just these compared with the
+component, once for all nodes. So a group of thousands of copies never costs all its pairs.
 
 With ``t`` trees a pair just at the threshold is missed with probability
 ``(1 - s) ** t``, ``s`` being 0.47 for nodes that end on level 2 and 0.37 on
@@ -151,9 +151,9 @@ def branch(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
 
 
 def _agree(bits: int, threshold: float) -> int:
-    """The fewest equal bits that count as near the threshold: five standard deviations below the mean."""
+    """The fewest equal bits that count as near the threshold: four standard deviations below the mean."""
     p = (1 + threshold) / 2
-    return int(bits * p - 5 * (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p - 4 * (bits * p * (1 - p)) ** 0.5)
 
 
 def pairs_of(left: DataFrame, right: DataFrame, threshold: float, which=None) -> DataFrame:
@@ -257,21 +257,25 @@ class _Links:
                 self.comp = components(self.links)
 
 
-def _open(large: DataFrame, links: _Links, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of the large nodes: the rows of those to branch, and the pairs of those that one component all but fills.
+def _open(large: DataFrame, links: _Links, sketches: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the large nodes: the rows of those to branch; the pairs of those that one component all but fills; who met which component.
 
     A node within one component is done. Where at most ``LEAF`` sets lie outside
-    the largest component, these are paired with all others of the node; that
-    ends the node.
+    the largest component, these are compared with that component, once however
+    many nodes they share with it, and with each other; that ends the node.
     """
     rows = links.labelled(large.select(ROW))
     parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n_part"))
     nodes = parts.groupBy("bucket").agg(F.sum("n_part").alias("total"), F.max("n_part").alias("most"),
                                         F.max_by("comp", "n_part").alias("main")).where("total > most")
     rows = materialize(rows.join(nodes, "bucket"))
-    few = rows.where(F.col("total") - F.col("most") <= LEAF).select(*ROW, "comp", "main")
-    pairs = pairs_of(few.where("comp != main"), few, threshold, F.col("xcomp") != F.col("ycomp"))
-    return rows.where(F.col("total") - F.col("most") > LEAF).select(ROW), pairs
+    outside = rows.where((F.col("total") - F.col("most") <= LEAF) & (F.col("comp") != F.col("main")))
+    met = materialize(outside.select(F.col("main").alias("bucket"), *ROW[1:]).distinct())
+    members = links.labelled(sketches).select(F.col("comp").alias("bucket"), *ROW[1:])
+    others = outside.select(*ROW, "comp")
+    pairs = pairs_of(met, members, threshold).unionByName(
+        pairs_of(others, others, threshold, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode"))))
+    return rows.where(F.col("total") - F.col("most") > LEAF).select(ROW), pairs, met.select("node", F.col("bucket").alias("met"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -298,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = full.select(F.col("row").alias("node"), "b1", "b2", "sig").join(facts.select("node", "n"), "node")
 
     links = _Links(own, facts, shingle, threshold)
-    rows, levels, crossing = branch(single, ratio, trees), [], []
+    rows, levels, crossing, met = branch(single, ratio, trees), [], [], None
     for level in range(1, LEVELS + 1):
         rows = materialize(rows)
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
@@ -309,16 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links.add(reduce(DataFrame.unionByName, stars))
         large = levels[-1].where(F.col("size") > LEAF).select(ROW)
         if level >= STARS:
-            large, pairs = _open(large, links, ratio)
+            large, pairs, more = _open(large, links, single.drop("sig"), ratio)
             crossing.append(pairs)
+            met = more if met is None else met.unionByName(more)
             if large.isEmpty():
                 break
         if level == LEVELS:
-            crossing.append(_crossing(large, links, ratio))
+            crossing.append(_crossing(large, links, met, ratio))
             break
         paths = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
         rows = branch(single.join(paths, "node"), ratio, trees)
-    crossing += [_crossing(x.where(F.col("size") <= LEAF).select(ROW), links, ratio) for x in levels]
+    crossing += [_crossing(x.where(F.col("size") <= LEAF).select(ROW), links, met, ratio) for x in levels]
     links.add(reduce(DataFrame.unionByName, crossing))
 
     tree = links.labelled(facts.select("n", "d1", "d2", "node", "low"))
@@ -330,10 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("id").eqNullSafe(member).alias("kept"))
 
 
-def _crossing(rows: DataFrame, links: _Links, ratio: float) -> DataFrame:
-    """All pairs within a node that no component holds together yet."""
-    rows = links.labelled(rows)
-    return pairs_of(rows, rows, ratio, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode")))
+def _crossing(rows: DataFrame, links: _Links, met: DataFrame, ratio: float) -> DataFrame:
+    """All pairs within a node that no component holds together yet and whose set and component have not met."""
+    known = met.groupBy("node").agg(F.collect_set("met").alias("met"))
+    rows = links.labelled(rows).join(known, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
+    new = ~F.expr("array_contains(xmet, ycomp)") & ~F.expr("array_contains(ymet, xcomp)")
+    return pairs_of(rows, rows, ratio, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode")) & new)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
