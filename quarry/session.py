@@ -31,7 +31,7 @@ SCALE_CONF = {
     # Wide one-pass aggregates (profiles, correlation matrices) keep whole-stage codegen.
     "spark.sql.codegen.maxFields": "4000",
     # Rows sent to Python at once: bounds the memory of workers on long texts.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -45,9 +45,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let the Python workers find this package where the driver found it (on a cluster, ship it with ``--py-files``)."""
+    """The Python workers' environment: this package where the driver found it (on a cluster, ship it with ``--py-files``)."""
     env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[1])
+    # Workers are reused from stage to stage: large blocks go back to the system when freed.
+    env.update({"MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2",
+                "ARROW_DEFAULT_MEMORY_POOL": "system"})
     env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, env.get("PYTHONPATH", "").split(os.pathsep))]))
 
 
