@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 #: Bytes of a word that is encoded by scans.
 SHORT = 48
 #: Distinct words that a Python worker remembers; beyond, it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Characters of text that are cut into words at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 NO_RANK = np.iinfo(np.int32).max
 
 # Letters and numbers of later Unicode versions, which the tokenizer's tables count as neither.

@@ -110,8 +110,8 @@ def _children(sig: np.ndarray, owner: np.ndarray, path: np.ndarray, threshold: f
     """(owner, child) of the coordinates that the nodes ``path`` pick; a node that would pick none takes one."""
     limit = np.uint64(min(1.0, 1 / threshold / COORDINATES) * float(1 << 63) * 2 * 0.999999)
     owners, children = [], []
-    for i in range(0, len(path), 1 << 14):
-        p, o = path[i:i + (1 << 14)], owner[i:i + (1 << 14)]
+    for i in range(0, len(path), 1 << 12):
+        p, o = path[i:i + (1 << 12)], owner[i:i + (1 << 12)]
         draw = mix(p[:, None] ^ _PICK)
         chosen = draw < limit
         none = ~chosen.any(1)
