@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.aggs import sql_money_div
 from quarry.operators import assets, profile, scenario
 from quarry.operators.retention import STILL_ACTIVE_WINDOWS
 from quarry.plans.registry import register
@@ -69,7 +70,7 @@ BAND_METRICS = ["handle", "hold", "net_margin", "promo_rate"] + CELLS
 def _bands_sql() -> str:
     parts = [f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM runs" for m in BAND_METRICS]
     return with_fixtures(f"""
-SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.1), 6) AS p10,
+SELECT metric, {sql_money_div('sum(CAST(value AS DECIMAL(24,6)))', 'count(value)', 6)} AS mean, round(quantile_cont(value, 0.1), 6) AS p10,
        round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90
 FROM ({" UNION ALL ".join(parts)}) l WHERE value IS NOT NULL GROUP BY metric ORDER BY metric""",
                          *RUN_FIXTURES, extra=RUN_KPIS_SQL)

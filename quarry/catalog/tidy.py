@@ -107,22 +107,22 @@ def ie2_peak_prevalence(spark, sf):
 
 
 @register("ie3_max_deaths_by_location", with_fixtures("""
-SELECT location, max(CAST(total_deaths AS INTEGER)) AS total_death_count FROM covid_deaths
+SELECT location, max(CAST(total_deaths AS BIGINT)) AS total_death_count FROM covid_deaths
 WHERE continent IS NOT NULL GROUP BY location ORDER BY total_death_count DESC""", "covid_deaths"))
 def ie3_max_deaths_by_location(spark, sf):
     return exploration.max_deaths_by(_deaths(spark, sf), "location")
 
 
 @register("ie3_max_deaths_by_continent", with_fixtures("""
-SELECT continent, max(CAST(total_deaths AS INTEGER)) AS total_death_count FROM covid_deaths
+SELECT continent, max(CAST(total_deaths AS BIGINT)) AS total_death_count FROM covid_deaths
 WHERE continent IS NOT NULL GROUP BY continent ORDER BY total_death_count DESC""", "covid_deaths"))
 def ie3_max_deaths_by_continent(spark, sf):
     return exploration.max_deaths_by(_deaths(spark, sf), "continent")
 
 
 @register("ie4_global_numbers", with_fixtures("""
-SELECT sum(new_cases) AS total_cases, CAST(sum(CAST(new_deaths AS INTEGER)) AS BIGINT) AS total_deaths,
-       round(CAST(sum(CAST(new_deaths AS INTEGER)) AS DOUBLE) / nullif(sum(new_cases), 0) * 100, 6) AS death_percentage
+SELECT sum(new_cases) AS total_cases, CAST(sum(CAST(new_deaths AS BIGINT)) AS BIGINT) AS total_deaths,
+       round(CAST(sum(CAST(new_deaths AS BIGINT)) AS DOUBLE) / nullif(sum(new_cases), 0) * 100, 6) AS death_percentage
 FROM covid_deaths WHERE continent IS NOT NULL""", "covid_deaths"))
 def ie4_global_numbers(spark, sf):
     return exploration.global_numbers(_deaths(spark, sf))

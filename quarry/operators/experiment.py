@@ -109,12 +109,12 @@ def proportion_summary(players: DataFrame, metrics: Sequence[str] = ("retention_
 
 # ------------------------------------------------------------------ J7
 # Cumulative Poisson(1) probabilities for k = 0..7 (replicate weights).
-POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
 
 
 def poisson_weight(user_col: str, replicate_col: str, seed: int = 42):
     """Poisson(1) replicate weight from a uniform hash of (user, replicate, seed)."""
-    u = (F.abs(F.xxhash64(F.col(user_col), F.col(replicate_col), F.lit(seed))) % 1_000_000_007).cast("double") \
+    u = F.pmod(F.xxhash64(F.col(user_col), F.col(replicate_col), F.lit(seed)), F.lit(1_000_000_007)).cast("double") \
         / 1_000_000_007.0
     w = F.lit(len(POISSON1_CDF))
     for k in reversed(range(len(POISSON1_CDF))):

@@ -55,9 +55,9 @@ def peak_prevalence(deaths: DataFrame) -> DataFrame:
 
 
 def max_deaths_by(deaths: DataFrame, by: str) -> DataFrame:
-    """I-E3: ``MAX(CAST(total_deaths AS INT))`` per location or continent."""
+    """I-E3: ``MAX(total_deaths)`` per location or continent."""
     return (deaths.where(F.col("continent").isNotNull())
-            .groupBy(by).agg(F.max(F.col("total_deaths").cast("int")).alias("total_death_count"))
+            .groupBy(by).agg(F.max(F.col("total_deaths").cast("long")).alias("total_death_count"))
             .orderBy(F.desc("total_death_count")))
 
 
@@ -65,7 +65,7 @@ def global_numbers(deaths: DataFrame) -> DataFrame:
     """I-E4: total cases, total deaths and death percentage."""
     d = deaths.where(F.col("continent").isNotNull())
     cases = F.sum("new_cases")
-    dead = F.sum(F.col("new_deaths").cast("int"))
+    dead = F.sum(F.col("new_deaths").cast("long"))
     return d.agg(cases.alias("total_cases"), dead.cast("long").alias("total_deaths"),
                  _r(pct(dead.cast("double"), cases)).alias("death_percentage"))
 

@@ -60,7 +60,7 @@ def assemble(df: DataFrame, features: Sequence[str], label: str, label_shift: in
 
 def hash_folds(df: DataFrame, key_cols: Sequence[str], folds: int, seed: int = SEED) -> DataFrame:
     """Repeatable fold number from a hash of the row's key columns (same answer after any recomputation)."""
-    return df.withColumn("fold", (F.abs(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))) % folds).cast("int"))
+    return df.withColumn("fold", F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(folds)).cast("int"))
 
 
 def _accuracy(pred: DataFrame) -> float:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.aggs import exact_sum
+from quarry.functions.aggs import MONEY_TYPE, exact_sum, money_div
 from quarry.operators.retention import STILL_ACTIVE_WINDOWS, still_active_by_segment
 
 SEGMENTS = ("sharp", "regular", "casual", "promo_hunter")
@@ -52,7 +52,7 @@ def sensitivity_bands(runs: DataFrame, metrics: Sequence[str], quantiles: Sequen
     """I-V2: mean and interpolated quantiles per metric across runs, NULLs dropped."""
     long = runs.unpivot([], list(metrics), "metric", "value").where(F.col("value").isNotNull())
     q = F.percentile("value", F.array(*[F.lit(v) for v in quantiles]))
-    agg = long.groupBy("metric").agg(F.round(F.avg("value"), DIGITS).alias("mean"), q.alias("__q"))
+    agg = long.groupBy("metric").agg(money_div(F.sum(F.col("value").cast(MONEY_TYPE)), F.count("value"), DIGITS).alias("mean"), q.alias("__q"))
     return agg.select("metric", "mean", *[F.round(F.col("__q")[i], DIGITS).alias(f"p{int(v * 100)}")
                                           for i, v in enumerate(quantiles)]).orderBy("metric")
 
