@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.functions.aggs import sql_money_div
 from quarry.operators import cleaning, exploration
 from quarry.plans.registry import register
 from quarry.sources import fixtures as fx
@@ -90,7 +91,7 @@ def ie1_mortality_rate(spark, sf):
 
 @register("ie1_prevalence", with_fixtures(f"""
 SELECT continent, location, date, total_cases, population,
-       round(total_cases / nullif(CAST(population AS DOUBLE), 0) * 100, 6) AS prevalence
+       {sql_money_div('total_cases * 100', 'population', 6)} AS prevalence
 FROM covid_deaths WHERE lower(location) LIKE '{LOCATION_PATTERN}' AND continent IS NOT NULL ORDER BY 1, 2""",
                                          "covid_deaths"))
 def ie1_prevalence(spark, sf):
@@ -131,7 +132,7 @@ def ie4_global_numbers(spark, sf):
 def _rolling_sql(continent_filter: bool) -> str:
     where = "WHERE dea.continent IS NOT NULL" if continent_filter else ""
     return with_fixtures(f"""
-SELECT *, round(CAST(rolling_people_vaccinated AS DOUBLE) / nullif(CAST(population AS DOUBLE), 0) * 100, 6) AS percent_vaccinated
+SELECT *, {sql_money_div('rolling_people_vaccinated * 100', 'population', 6)} AS percent_vaccinated
 FROM (
   SELECT dea.continent, dea.location, dea.date, dea.population, vac.new_vaccinations,
          CAST(sum(CAST(vac.new_vaccinations AS BIGINT)) OVER (PARTITION BY dea.location ORDER BY dea.location, dea.date)

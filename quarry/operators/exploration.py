@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.aggs import money_div
 from quarry.functions.scalar import pct
 from quarry.plans.prefix import keyed_running
 
@@ -40,7 +41,7 @@ def prevalence(deaths: DataFrame, location_like: str = "%states%") -> DataFrame:
     """I-E1: (total_cases / population) * 100 for matching locations with a continent."""
     return (deaths.where(_like_ci("location", location_like) & F.col("continent").isNotNull())
             .select("continent", "location", "date", "total_cases", "population",
-                    _r(pct(F.col("total_cases"), F.col("population").cast("double"))).alias("prevalence"))
+                    money_div(F.col("total_cases") * 100, F.col("population").cast("long"), RATIO_DIGITS).alias("prevalence"))
             .orderBy("continent", "location"))
 
 
@@ -85,7 +86,7 @@ def rolling_vaccinations(deaths: DataFrame, vaccinations: DataFrame, continent_r
                         sums={"rolling_people_vaccinated": F.col("new_vaccinations").cast("long")}, frame="range")
     return run.select(
         "continent", "location", "date", "population", "new_vaccinations", "rolling_people_vaccinated",
-        _r(pct(F.col("rolling_people_vaccinated").cast("double"), F.col("population").cast("double")))
+        money_div(F.col("rolling_people_vaccinated") * 100, F.col("population").cast("long"), RATIO_DIGITS)
         .alias("percent_vaccinated")).orderBy("location", "date")
 
 

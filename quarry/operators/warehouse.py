@@ -159,34 +159,25 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ I-P1
-def profile_columns(df: DataFrame, key_check_ratio: float = 0.8) -> DataFrame:
+def profile_columns(df: DataFrame) -> DataFrame:
     """Column profile: type, null count/share and exact single-column key candidates.
 
-    Pass 1 is one aggregate over the table: row count, null counts and an
-    HLL distinct estimate per column (mergeable partial aggregates, no row
-    expansion). Only columns whose estimate is within reach of the row count
-    get an exact distinct count in pass 2, so wide tables do not pay one
-    exact ``COUNT(DISTINCT)`` per column. The 1-row result of pass 1 is read
-    on the driver to choose the pass-2 columns.
+    The cells are counted by (column, value) with map-side partial counts, then by
+    column, so every column gets the exact test in one pass and no value of a column
+    has to fit into one task. A column of an empty table is no key.
     """
-    cols = df.columns
-    p1 = df.agg(F.count(F.lit(1)).alias("__rows"),
-                *[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(cols)],
-                *[F.approx_count_distinct(c).alias(f"a_{i}") for i, c in enumerate(cols)]).first()
-    rows = p1["__rows"]
-    cand = [i for i, c in enumerate(cols) if p1[f"n_{i}"] == 0 and rows and p1[f"a_{i}"] >= key_check_ratio * rows]
-    exact = {}
-    if cand:
-        r2 = df.agg(*[F.countDistinct(cols[i]).alias(f"d_{i}") for i in cand]).first()
-        exact = {i: r2[f"d_{i}"] for i in cand}
-    types = dict(df.dtypes)
-    data = [(c, types[c], int(rows), int(p1[f"n_{i}"]),
-             (p1[f"n_{i}"] / rows) if rows else 0.0, bool(i in exact and exact[i] == rows))
-            for i, c in enumerate(cols)]
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        data, "column_name string, column_type string, row_count long, null_count long, null_pct double, "
-              "is_key_candidate boolean")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value"))
+                                          for i, c in enumerate(df.columns)])).alias("cell")).select("cell.*")
+    values = cells.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = values.groupBy("i").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
+                                    F.count("value").alias("distinct"))
+    names = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)],
+                                            "i int, column_name string, column_type string")
+    rows, nulls = F.coalesce("rows", F.lit(0)), F.coalesce("nulls", F.lit(0))
+    return names.join(found, "i", "left").select(
+        "column_name", "column_type", rows.alias("row_count"), nulls.alias("null_count"),
+        F.coalesce(F.try_divide(nulls.cast("double"), rows.cast("double")), F.lit(0.0)).alias("null_pct"),
+        F.coalesce(F.col("distinct") == F.col("rows"), F.lit(False)).alias("is_key_candidate"))
 
 
 def composite_key_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:

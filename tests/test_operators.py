@@ -259,17 +259,6 @@ def test_lagged_matches_window_lag(spark):
     assert sorted(map(tuple, got.select("k", "idx", "v1", "v5").collect())) == sorted(map(tuple, ref.collect()))
 
 
-def test_bounded_broadcast(spark):
-    from quarry.plans.broadcast import bounded_broadcast
-
-    small, big = spark.range(10), spark.range(1000)
-    j1 = spark.range(100).join(bounded_broadcast(small, max_rows=50), "id")
-    j2 = spark.range(100).join(bounded_broadcast(big, max_rows=50), "id")
-    assert "broadcast" in j1._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in j2._jdf.queryExecution().logical().toString().lower()
-    assert j1.count() == 10 and j2.count() == 100
-
-
 def test_seeded_sample_exact_and_repeatable(spark):
     from quarry.operators.kpi import seeded_sample
 
