@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 
 from quarry.session import ensure_checkpoint_dir
 
+#: Removes the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 # ------------------------------------------------------------------ A1, A3
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, header: bool = True,
@@ -56,14 +59,21 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: Sequence[s
     """A4: ``CREATE OR REPLACE TABLE t AS SELECT ...`` - write Parquet (overwrite) and read it back.
 
     Reading the written files cuts the lineage: later stages restart from
-    the table, not from the original plan, also after executor loss.
+    the table, not from the original plan, also after executor loss. So the
+    shuffle files behind the table are of no more use, and Spark removes them
+    when the write ends.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "table")
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        w = df.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)  # the schema is known: no job reads footers for it
 
 
