@@ -88,8 +88,13 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.packbits((x & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _short(h: np.ndarray) -> bytes:
+    """Each minhash as 16 bits: equal ones stay equal; another set shares a value by chance once in 65536, which comparing sorts out."""
+    return (mix(h.astype(np.uint64) + np.uint64(2)) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def signatures(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``row``, ``id`` and the set's n, digest (d1, d2), sketch (b1, b2) and minhashes of each row of ``docs``."""
+    """``row``, ``id`` and the set's n, digest (d1, d2), sketch (b1, b2) and shortened minhashes of each row of ``docs``."""
 
     def run(batches):
         for batch in batches:
@@ -100,7 +105,7 @@ def signatures(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]),
-                 pa.array([x.tobytes() for x in h], pa.binary())], names=["row", "id", "n", "d1", "d2", "b1", "b2", "sig"])
+                 pa.array([_short(x) for x in h], pa.binary())], names=["row", "id", "n", "d1", "d2", "b1", "b2", "sig"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"row long, id {kind}, n long, d1 long, d2 long, b1 long, b2 long, sig binary")
@@ -134,7 +139,7 @@ def branch(sets: DataFrame, threshold: float, trees: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sig")])
+            sig = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column("sig")])
             node = batch.column("node").to_numpy(zero_copy_only=False)
             facts = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "b1", "b2")]
             if at_root:
@@ -211,8 +216,8 @@ def full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "d1", "d2", "shingles"])
 
     return docs.select(spot("id").alias("h"), "text").mapInArrow(run, "n long, d1 long, d2 long, shingles binary") \
-        .join(needed, ["n", "d1", "d2"]).select("node", "shingles") \
-        .groupBy("node").agg(F.first("shingles").alias("shingles"))
+        .join(needed, ["n", "d1", "d2"]) \
+        .groupBy("n", "d1", "d2").agg(F.first("node").alias("node"), F.first("shingles").alias("shingles")).select("node", "shingles")
 
 
 class _Links:
@@ -299,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = sigs.where("n > 0")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("low"))
     facts = materialize(classes)
-    single = full.select(F.col("row").alias("node"), "b1", "b2", "sig").join(facts.select("node", "n"), "node")
+    single = materialize(full.select(F.col("row").alias("node"), "b1", "b2", "sig").join(facts.select("node", "n"), "node"))
 
     links = _Links(own, facts, shingle, threshold)
     rows, levels, crossing, met = branch(single, ratio, trees), [], [], None
