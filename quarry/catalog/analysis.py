@@ -107,12 +107,16 @@ def m1_as_of_snapshot(spark, sf):
 
 
 @register("m2_market_cap_range", with_fixtures(f"""
-SELECT * FROM (
-  SELECT asset, arg_max(date, date) AS date, round(arg_max(price, date), 6) AS price, arg_max(market_cap, date) AS market_cap
-  FROM asset_prices WHERE date <= DATE '{AS_OF}' GROUP BY asset) s
-WHERE market_cap >= 500000 AND market_cap <= 1500000""", "asset_prices"))
+SELECT asset, date, price, market_cap FROM (
+  SELECT *, avg(CAST(market_cap AS DECIMAL(28, 6))) OVER () AS mean_cap FROM (
+    SELECT asset, arg_max(date, date) AS date, round(arg_max(price, date), 6) AS price, arg_max(market_cap, date) AS market_cap
+    FROM asset_prices WHERE date <= DATE '{AS_OF}' GROUP BY asset) s) m
+WHERE market_cap >= mean_cap * 0.5 AND market_cap <= mean_cap * 1.5""", "asset_prices"))
 def m2_market_cap_range(spark, sf):
-    return assets.market_cap_range(assets.as_of_snapshot(fx.asset_prices(spark, sf), AS_OF), 500000, 1500000)
+    """Assets within half of the mean market cap on either side: bounds that follow the data at every size."""
+    snapshot = assets.as_of_snapshot(fx.asset_prices(spark, sf), AS_OF)
+    mean = snapshot.agg(F.avg(F.col("market_cap").cast("decimal(28,6)")).cast("double")).scalar()
+    return assets.market_cap_range(snapshot, mean * 0.5, mean * 1.5)
 
 
 @register("m3_portfolio_performance", with_fixtures("""

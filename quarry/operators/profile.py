@@ -7,9 +7,9 @@ Plan notes.
   side masked to the rows where the other side is present (pairwise complete,
   as pandas) and ``try_divide`` so a constant column gives NULL instead of an
   ANSI divide-by-zero (pitfalls P3).
-* Category codes are dense ranks over the DISTINCT values, numbered with
-  ``keyed_running`` per column (bucketed by a 6-character prefix) and joined back; the
-  whole column is never sorted in one task.
+* Category codes are dense ranks over the DISTINCT values, numbered by one
+  range-partitioned sort of (column, value) and joined back; no column and no
+  common prefix is sorted in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.plans.prefix import keyed_running
+from quarry.plans.prefix import range_numbered
 
 DIGITS = 6
 
@@ -97,19 +97,20 @@ def strong_pairs(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
 def category_codes(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     """Sorted-category integer code (0-based) per column, NULL -> -1, like pandas ``cat.codes``.
 
-    All columns are numbered in ONE distributed pass: the distinct
-    (column, value) pairs are ranked per column with ``keyed_running``
-    (a 6-character prefix sorts like the value, so it is a valid bucket), and
-    each column is then joined to its own slice of that small code table.
+    All columns are numbered in ONE distributed sort of the distinct (column,
+    value) pairs; a column's codes start at its first number, and each column
+    is then joined to its own slice of that code table.
     """
     cols = [columns] if isinstance(columns, str) else list(columns)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in cols]))
     values = df.select(pairs.alias("p")).select("p.col", "p.v").where(F.col("v").isNotNull()).distinct()
-    codes = keyed_running(values, ["col"], bucket=F.substring("v", 1, 6), order=["v"], sums={}, count_name="code")
+    numbered = range_numbered(values, ["col", "v"], "at")
+    starts = numbered.groupBy("col").agg(F.min("at").alias("start"))
+    codes = numbered.join(starts, "col").select("col", "v", (F.col("at") - F.col("start")).alias("code"))
     out = df
     for c in cols:
         cc = codes.where(F.col("col") == c).select(F.col("v").alias(f"__v_{c}"),
-                                                   (F.col("code") - 1).cast("int").alias(f"__code_{c}"))
+                                                   F.col("code").cast("int").alias(f"__code_{c}"))
         out = out.join(cc, F.col(c).cast("string") == F.col(f"__v_{c}"), "left") \
             .withColumn(c, F.coalesce(F.col(f"__code_{c}"), F.lit(-1))).drop(f"__v_{c}", f"__code_{c}")
     return out
