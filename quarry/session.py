@@ -76,8 +76,9 @@ def local_session(cores: int = 8, app: str = "quarry", shuffle_partitions: int |
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a private folder is created.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder, which is
+    used as is. Only in local mode, where one machine holds everything, a
+    private folder is created when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -90,6 +91,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
