@@ -200,6 +200,22 @@ def test_restored_words():
     assert lexicon.score("the stone 12345 and") < 0.1
 
 
+def test_restored_runs():
+    words = ["stupid", "idiot", "you", "are", "a", "ass", "clown", "the", "hello", "and", "trash", "stone"]
+    grams = defaultdict(int)
+    for w in words:
+        for i in range(len(w) + 1):
+            grams[("^^" + w + "$")[i:i + 3]] += 50
+    lexicon = toxicity.Lexicon({"stup": 0.99, "idiot ": 0.99, "trash ": 0.99, "ass ": 0.99}, dict(grams), 0.01)
+    long = " ".join("thestone" * 8 + "idiot" + "and")
+    assert len(long) > 80
+    for t in ("y o u a r e a s t u p i d c l o w n", "y o u  a r e  s t u p i d", "i  d  i  o  t", "i\nd\ni\no\nt", "a s s", long, long.replace(" ", "."),
+              "hello,1d10t", "so/tr4sh", "x" * 100 + ",1d10t"):
+        assert lexicon.score(f"hello {t}") > 0.9, t
+    for t in ("t h e s t o n e a n d y o u", "hello,st0ne/th3", "1 2 3 4 5 6"):
+        assert lexicon.score(f"hello {t}") < 0.1, t
+
+
 def test_line_dedup_odd_rows(odd, none):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(odd).collect()}
     assert out[3].text == ODD[2][1] and out[4].text == "other" and out[4].n_deleted == 1
