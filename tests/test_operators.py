@@ -323,3 +323,14 @@ def test_scans_are_pruned(spark, sf_small):
     schemas = [line for line in plan.split("\n") if "ReadSchema" in line or "FileScan parquet" in line]
     assert schemas, plan
     assert all("o_custkey" not in s_ for s_ in schemas)  # the customer key is never needed by this query
+
+
+def test_division_matchup_of_all_teams(spark, monkeypatch):
+    from quarry.catalog import teams as catalog
+
+    teams = spark.createDataFrame([("a", "x1", "A", "East", "East"), ("b", "n2", "B (old)", "East", "West")],
+                                  "team_id string, team_id_pfr string, team_name string, team_division string, team_division_pre2002 string")
+    games = spark.createDataFrame([(1, 2005, "a", "b"), (2, 1999, "a", "b")], "game_id int, schedule_season int, team_home_id string, team_away_id string")
+    monkeypatch.setattr(catalog.fx, "raw_teams", lambda *_: teams)
+    monkeypatch.setattr(catalog.fx, "games", lambda *_: games)
+    assert {r.game_id: r.division_matchup for r in catalog.l3_division_matchup(spark, "").collect()} == {1: True, 2: False}
