@@ -11,14 +11,16 @@ matches those whose tokens it holds entirely. Equal token sets are matched once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources.files import literal_rows, materialize
 
-#: Share of the bad urls that hold a combination, its largest size, and the share of bad urls among those that hold it.
-MIN_SUPPORT, MAX_TOKENS, MIN_CONFIDENCE = 0.01, 4, 0.6
+#: Share of the bad urls that hold a combination, and the share of bad urls among those that hold it.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,6 +73,14 @@ def holds(sets: DataFrame, rules: DataFrame, counts: DataFrame) -> DataFrame:
         .where(F.size(F.array_except("items", "tokens")) == 0).drop("token")
 
 
+def without_implied(items: Column) -> Column:
+    """Whether no ending among ``items`` implies another one: with a label or a shorter ending of it, a combination is as sure as without."""
+    ends = F.transform(F.filter(items, lambda x: x.startswith("ends:")), lambda x: F.substring(x, 6, 1 << 30))
+    labels = F.transform(F.flatten(F.transform(ends, lambda x: F.split(x, r"\."))), lambda x: F.concat(F.lit("label:"), x))
+    shorter = F.exists(ends, lambda x: F.exists(ends, lambda y: y.endswith(F.concat(F.lit("."), x))))
+    return ~F.arrays_overlap(items, labels) & ~shorter
+
+
 def mined_rules(sets: DataFrame, min_support: float, min_confidence: float) -> tuple[DataFrame, DataFrame]:
     """Rules (items, support, confidence) from labelled token sets (tokens, bad, n), and the tokens' counts."""
     full = materialize(sets.where(F.size("tokens") > 0))
@@ -78,18 +88,22 @@ def mined_rules(sets: DataFrame, min_support: float, min_confidence: float) -> t
     bad = full.where("bad > 0").select(F.explode(F.expr("array_repeat(tokens, CAST(bad AS INT))")).alias("items"))
     bad = bad.repartition(int(bad.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(bad)
-    sets_found = model.freqItemsets.where(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("items"))
+    sets_found = model.freqItemsets.where(without_implied(F.col("items"))).select(F.array_sort("items").alias("items"))
     found = materialize(sets_found)
-    sure = holds(full, found, counts).groupBy("items").agg((F.sum("bad") / F.sum("n")).alias("confidence"), F.sum("bad").alias("support")) \
-        .where(F.col("confidence") >= min_confidence)
-    sure = materialize(sure)
-    # A rule is spare if a part of it is at least as sure: its own tokens hold the part's.
-    part = sure.select(F.col("items").alias("part"), F.col("confidence").alias("as_sure"))
-    spare = sure.withColumn("token", F.explode("items")) \
-        .join(part.withColumn("token", F.explode("part")), "token") \
-        .where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("as_sure") >= F.col("confidence"))) \
-        .select("items").distinct()
-    return materialize(sure.join(spare, "items", "left_anti")), counts
+    sure = materialize(holds(full, found, counts).groupBy("items").agg((F.sum("bad") / F.sum("n")).alias("confidence"), F.sum("bad").alias("support")))
+    # A rule is spare if a part of it is at least as sure; all parts were found, so each size looks at those with one token less.
+    kept, below = [], None
+    for n in range(1, sure.agg(F.max(F.size("items"))).first()[0] + 1 if not sure.isEmpty() else 1):
+        level = sure.where(F.size("items") == n)
+        if below is None:
+            level = level.withColumn("of_part", F.lit(-1.0))
+        else:
+            parts = level.select("items", F.explode("items").alias("x")).select("items", F.expr("array_remove(items, x)").alias("part"))
+            most = parts.join(below.select(F.col("items").alias("part"), "best"), "part").groupBy("items").agg(F.max("best").alias("of_part"))
+            level = level.join(most, "items", "left")
+        below = materialize(level.withColumn("best", F.greatest("confidence", "of_part")))
+        kept.append(below.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.coalesce("of_part", F.lit(-1.0)))).select(*sure.columns))
+    return materialize(reduce(DataFrame.unionByName, kept, sure.limit(0))), counts
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and held-out labels, and on odd rows."""
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -283,6 +284,21 @@ def test_url_rules(spark):
     assert urls.judge(empty, labels, queries.URL_RULES, bad=F.col("toxic") == 1).count() == 0
 
 
+def test_mined_rules_against_brute_force(spark):
+    rows = [(list("abcde"), 3, 3), *[([x for x in "abcde" if x != y], 0, 2) for y in "abcde"],
+            (sorted(["ends:net", "ends:x.net", "label:x", "label:net", "segment:p"]), 2, 2), (["ends:net", "label:net", "segment:p"], 0, 1), (["segment:p"], 0, 3)]
+    total = sum(b for _, b, _ in rows)
+    sure = {}
+    for items in {c for t, b, _ in rows if b for n in range(1, len(t) + 1) for c in itertools.combinations(t, n)}:
+        held = [(b, n) for t, b, n in rows if set(items) <= set(t)]
+        bad, n = map(sum, zip(*held, strict=True))
+        if bad >= 0.2 * total and bad / n >= 0.6:
+            sure[items] = (bad / n, bad)
+    want = {i: v for i, v in sure.items() if not any(set(j) < set(i) and w[0] >= v[0] for j, w in sure.items())}
+    got, _ = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad long, n long"), 0.2, 0.6)
+    assert {tuple(r["items"]): (r.confidence, r.support) for r in got.collect()} == want and tuple("abcde") in want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
