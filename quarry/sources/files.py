@@ -77,6 +77,12 @@ def materialize(df: DataFrame, path: str | None = None, partition_by: Sequence[s
     return spark.read.schema(df.schema).parquet(path)  # the schema is known: no job reads footers for it
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table written by :func:`materialize` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort: bool = True) -> None:
     """Persist a fact table bucketed (and sorted) by its join key for shuffle-free joins."""
     w = df.write.mode("overwrite").bucketBy(buckets, key)
