@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls
+from quarry.llm import ann, bpe, codes, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -116,3 +116,30 @@ def op1_url_filter(spark, sf):
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     return urls.judge(table(spark, sf, "pages", "page_id", "url"), table(spark, sf, "labels", "doc_id", "quality", "toxic"),
                       URL_RULES, bad=bad)
+
+
+def _rounds_sql(n: int) -> str:
+    """The CTEs of one round: parts a{n} with their nearest entry of b{n}, and the moved entries b{n + 1}."""
+    d = " + ".join(f"(x{i} - y{i}) * (x{i} - y{i})" for i in range(4))
+    kept = ", ".join(f"x{i}" for i in range(4))
+    means = ", ".join(f"CAST(floor(sum(x{i}) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m{i}" for i in range(4))
+    moved = ", ".join(f"coalesce(m{i}, y{i}) AS y{i}" for i in range(4))
+    return f"""
+a{n} AS (SELECT row, part, {kept}, min(CAST({d} AS BIGINT) * 64 + entry) AS best FROM x JOIN b{n} USING (part) GROUP BY ALL),
+b{n + 1} AS (SELECT b.part, b.entry, {moved} FROM b{n} b LEFT JOIN
+             (SELECT part, best % 64 AS entry, {means} FROM a{n} GROUP BY ALL) m USING (part, entry))"""
+
+
+@register("op12_vector_codes", f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label,
+                  list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT row, p AS part, {', '.join(f'e[4 * p + {i + 1}] AS x{i}' for i in range(4))} FROM v, range(16) AS t(p)),
+b0 AS (SELECT part, row - 1 AS entry, {', '.join(f'x{i} AS y{i}' for i in range(4))} FROM x WHERE row <= 64),
+{_rounds_sql(0)},{_rounds_sql(1)},{_rounds_sql(2)},
+c AS (SELECT row, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY row),
+h AS (SELECT sha256(string_agg(concat_ws(',', y0, y1, y2, y3), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN v USING (row), h""")
+def op12_vector_codes(spark, sf):
+    return codes.compressed_report(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
