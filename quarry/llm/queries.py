@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, codes, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls
+from quarry.llm import ann, bpe, codes, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls, variants
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -143,3 +143,18 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM c JOIN v USING (row), h""")
 def op12_vector_codes(spark, sf):
     return codes.compressed_report(table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+
+
+def thinned(words):
+    """Runs (doc_id, word) that lose one letter where 199 divides crc32(``<doc_id>:<word>``); those left with 6 letters or more."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    at = (F.col("h") % F.char_length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    return words.select("word", h.alias("h")).select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("word")).alias("word")) \
+        .where(F.char_length("word") >= 6)
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark, sf):
+    runs = variants.letter_runs(table(spark, sf, "documents", "doc_id", "text"))
+    return variants.variant_groups(variants.frequent_words(thinned(runs)))
