@@ -82,7 +82,7 @@ def rolling_vaccinations(deaths: DataFrame, vaccinations: DataFrame, continent_r
     if continent_required:
         d = d.where(F.col("continent").isNotNull())
     j = d.join(vaccinations.select("location", "date", "new_vaccinations"), ["location", "date"])
-    run = keyed_running(j, ["location"], bucket=F.trunc(F.to_date("date"), "month"), order=["date"],
+    run = keyed_running(j, ["location"], order=["date"],
                         sums={"rolling_people_vaccinated": F.col("new_vaccinations").cast("long")}, frame="range")
     return run.select(
         "continent", "location", "date", "population", "new_vaccinations", "rolling_people_vaccinated",

@@ -4,9 +4,9 @@ Plan notes.
 * ``dim_team`` picks one row per id with ``min_by`` over an ordering struct:
   a partial aggregate, so a team id with a huge number of name variants is
   combined map-side instead of landing in one window task.
-* ``dim_event`` numbers games with ``global_row_number`` (plans/prefix.py):
-  one window per game date plus an offset per date, never a single-task
-  global window. Both name lookups are left joins against ``team_name_map``,
+* ``dim_event`` numbers games with ``range_numbered`` (plans/prefix.py): one
+  range-partitioned sort by the whole order, so neither one date nor the games
+  without a date are one task. Both name lookups are left joins against ``team_name_map``,
   a dimension whose size AQE measures before it decides to broadcast.
 * Settlement groups legs by ``bet_id`` with partial aggregates (product of
   odds, any/all flags), then joins the per-bet result to the bets once.
@@ -28,7 +28,7 @@ from quarry.functions.scalar import (
     to_bool,
     week_to_number,
 )
-from quarry.plans.prefix import global_row_number
+from quarry.plans.prefix import range_numbered
 
 # ------------------------------------------------------------------ I-W1
 def dim_team(raw_teams: DataFrame) -> DataFrame:
@@ -69,12 +69,11 @@ def dim_event(raw_scores: DataFrame, name_map: DataFrame) -> DataFrame:
         "team_favorite_id",
     )
     # Surrogate key over the whole sheet before the validity filter (Q3: ids keep gaps).
-    numbered = global_row_number(
+    numbered = range_numbered(
         s,
         order=[F.col("game_date").asc_nulls_last(), F.col("season").asc_nulls_last(),
                F.col("schedule_week").asc_nulls_last(), F.col("team_home").asc_nulls_last(),
-               F.col("team_away").asc_nulls_last()],
-        bucket=F.col("game_date"), name="event_id", nulls_last=True)
+               F.col("team_away").asc_nulls_last()], name="event_id")
     home = name_map.select(F.col("team_name").alias("team_home"), F.col("team_id").alias("home_team_id"))
     away = name_map.select(F.col("team_name").alias("team_away"), F.col("team_id").alias("away_team_id"))
     j = numbered.join(home, "team_home", "left").join(away, "team_away", "left")

@@ -1,20 +1,19 @@
-"""Distributed ordered scans: global row numbers and keyed running sums.
+"""Distributed ordered scans: global row numbers, keyed running sums, shifts, as-of lookups.
 
 A plain ``row_number().over(Window.orderBy(...))`` runs in ONE task, and a
-``Window.partitionBy(key)`` puts every row of a hot key into one task. Both
-break at scale. The helpers here split the ordered scan by a coarse *bucket*
-(a monotone function of the order, e.g. the day of a timestamp):
-
-1. a window inside each ``(key, bucket)`` gives the local running value;
-2. a grouped aggregate gives one total per ``(key, bucket)`` (map-side
-   combined, so a hot key costs one partial row per task);
-3. a window over those totals - one row per bucket, tiny next to the data -
-   gives each bucket's offset;
-4. an equi-join on ``(key, bucket)`` adds the offset back.
-
-The result equals the single-window answer whenever every peer group of the
-order lies inside one bucket, which holds by construction when the bucket
-is a function of the leading order column.
+``Window.partitionBy(key)`` puts every row of a hot key into one task. The scans
+here deal rows by ranges of the whole order (key, then order columns), so a key,
+a date or the rows without a date never form one task as long as their rows differ
+in the order:
+
+1. the rows are range-partitioned and sorted by key and order, and written once,
+   because range bounds come from a sample and must not be drawn again;
+2. every part reduces to an associative carry: its first and last key, and the
+   totals of the last key's rows;
+3. the carries, one row a part, are scanned: a part whose first key continues the
+   key of the part before starts from that key's totals so far;
+4. windows by (part, key) give the running values inside each part, and the carry,
+   broadcast with one row a part, is added.
 """
 
 from __future__ import annotations
@@ -26,94 +25,85 @@ from pyspark.sql import functions as F
 
 from quarry.sources.files import materialize
 
-_BUCKET = "__bucket"
-_OFF = "__offset_"
+_PART, _AT = "__part", "__at"
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Column,
-                      name: str = "row_number", nulls_last: bool = False) -> DataFrame:
-    """``row_number() OVER (ORDER BY order)`` without a single-task window.
+def ordered_parts(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` dealt by ranges of ``order`` and sorted, as a written table with the part (``__part``) and the place in it (``__at``)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(df.repartitionByRange(parts, *_cols(order)).sortWithinPartitions(*_cols(order))
+                       .withColumns({_PART: F.spark_partition_id(), _AT: at}))
 
-    ``bucket`` must be non-decreasing in ``order`` (typically the leading
-    order column or a truncation of it); NULL buckets sort first, matching an
-    ascending NULLS FIRST leading key; ``nulls_last`` puts them last.
-    """
-    return keyed_running(df, keys=[], bucket=bucket, order=order, sums={}, count_name=name,
-                         nulls_last=nulls_last)
 
+def _carries(done: DataFrame, keys: Sequence[str], measures: Sequence[str], tag: str) -> DataFrame:
+    """(part, first key, totals that its first key has from earlier parts): one row a part."""
+    key = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys])
+    ends = done.groupBy(_PART).agg(F.min_by(key, _AT).alias("first"), F.max_by(key, _AT).alias("last"))
+    tail = done.join(F.broadcast(ends), _PART).where(key.eqNullSafe(F.col("last"))).groupBy(_PART, "first", "last") \
+        .agg(*[F.sum(m).alias(m) for m in measures])
+    so_far = Window.partitionBy("last").orderBy(_PART)
+    before = Window.orderBy(_PART)  # one row a part
+    tail = tail.select(_PART, "first", "last", *[F.sum(m).over(so_far).alias(m) for m in measures])
+    goes_on = F.lag("last").over(before).eqNullSafe(F.col("first"))
+    return tail.select(_PART, F.col("first").alias(f"__first{tag}"),
+                       *[F.when(goes_on, F.lag(m).over(before)).alias(f"{m}{tag}") for m in measures])
 
-def _null_safe_parts(df: DataFrame, exprs: dict[str, Column]) -> tuple[DataFrame, list[str]]:
-    """Add ``coalesce(e, default)`` and ``isnull(e)`` columns for each expression.
 
-    Plain equality on the pair is a null-safe equality on ``e`` - the same
-    rewrite Spark applies to ``<=>`` join keys - but here the window below can
-    partition by the very same columns, so the join's shuffle is reused by
-    the window instead of shuffling the data twice.
-    """
-    x = df.withColumns(dict(exprs))
-    types = dict(x.select(*exprs.keys()).dtypes)
-    parts, cols = {}, []
-    for name in exprs:
-        t = types[name]
-        default = (F.lit("") if t == "string" else F.lit(False) if t == "boolean"
-                   else F.lit(0).cast(t) if t not in ("date", "timestamp", "timestamp_ntz")
-                   else F.lit("1970-01-01").cast(t))
-        parts[f"{name}__v"] = F.coalesce(F.col(name), default)
-        parts[f"{name}__n"] = F.col(name).isNull()
-        cols += [f"{name}__v", f"{name}__n"]
-    return x.withColumns(parts), cols
-
-
-def keyed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str],
-                  sums: dict[str, Column], count_name: str | None = None,
-                  frame: str = "rows", nulls_last: bool = False,
-                  reset_keys: Sequence[str] = (), reset_suffix: str = "_reset") -> DataFrame:
-    """Running sums per ``keys`` ordered by ``order``, split by ``bucket``.
+def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column],
+                  count_name: str | None = None, frame: str = "rows", reset_keys: Sequence[str] = (),
+                  reset_suffix: str = "_reset") -> DataFrame:
+    """Running sums per ``keys`` ordered by ``order``, by one segmented scan (see the module's text).
 
     ``sums`` maps output names to the columns to accumulate; ``count_name``
     adds the running row count (a 1-based row index per key for ``rows``).
     ``frame='range'`` gives RANGE semantics (peers share the value, as the
-    SQL default frame); ``'rows'`` gives ROWS UNBOUNDED PRECEDING.
+    SQL default frame); ``'rows'`` gives ROWS UNBOUNDED PRECEDING. For ``range``
+    the rows are first reduced to one per key and order, and learn the result
+    by an equi-join, so peers need not lie in one part.
 
-    ``reset_keys`` (constant inside a bucket, e.g. the season when buckets are
-    months of a season) additionally yields ``<name><reset_suffix>``: the same
-    running sums restarted at every new ``keys + reset_keys`` group - from the
-    same window pass, only the small offset window differs.
-
-    Plan: the per-bucket totals (a partial aggregate) and their offsets (a
-    window over one row per bucket) are computed first; the data is shuffled
-    ONCE by (key, bucket) for the join with the offsets, and the running
-    window reuses that partitioning.
+    ``reset_keys`` order the rows of a key before ``order`` (e.g. the season) and
+    additionally yield ``<name><reset_suffix>``: the same running sums restarted at
+    every new ``keys + reset_keys`` group, from the same written table.
     """
     keys, reset_keys = list(keys), list(reset_keys)
-    measures = dict(sums)
+    measures = {f"__m_{n}": c for n, c in sums.items()}
     if count_name:
-        measures[count_name] = F.lit(1)
-    x, part = _null_safe_parts(df.withColumn(_BUCKET, bucket),
-                               {**{f"__k{i}": F.col(k) for i, k in enumerate(keys)}, "__b": F.col(_BUCKET)})
-    key_part = part[:-2]
-    b_val, b_null = part[-2], part[-1]
-    totals = x.groupBy(*part, *reset_keys).agg(*[F.sum(c).alias(_OFF + n) for n, c in measures.items()])
-    bo = [F.col(b_null).asc(), F.col(b_val).asc()] if nulls_last else [F.col(b_null).desc(), F.col(b_val).asc()]
-    wb = Window.partitionBy(*key_part).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
-    offset_cols = [F.coalesce(F.sum(_OFF + n).over(wb), F.lit(0)).alias(_OFF + n) for n in measures]
-    if reset_keys:
-        wr = Window.partitionBy(*key_part, *reset_keys).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
-        offset_cols += [F.coalesce(F.sum(_OFF + n).over(wr), F.lit(0)).alias(_OFF + "r_" + n) for n in measures]
-    offsets = totals.select(*part, *offset_cols)
-    joined = x.join(offsets, part, "inner")
-    w = Window.partitionBy(*part).orderBy(*_cols(order))
-    w = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows"
-         else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out_cols = [F.col(c) for c in df.columns]
-    out_cols += [(F.sum(c).over(w) + F.col(_OFF + n)).alias(n) for n, c in measures.items()]
-    if reset_keys:
-        out_cols += [(F.sum(c).over(w) + F.col(_OFF + "r_" + n)).alias(n + reset_suffix) for n, c in measures.items()]
-    return joined.select(*out_cols)
+        measures[f"__m_{count_name}"] = F.lit(1)
+    if frame == "range":
+        return _range_running(df, keys, order, dict(sums), count_name)
+    done = ordered_parts(df.withColumns(measures), [*keys, *reset_keys, *order])
+    levels = [("", keys)] + ([(reset_suffix, [*keys, *reset_keys])] if reset_keys else [])
+    out, results = done, []
+    for tag, level in levels:
+        out = out.join(F.broadcast(_carries(done, level, list(measures), tag or "_all")), _PART)
+    for tag, level in levels:
+        w = Window.partitionBy(_PART, *level).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0)
+        goes_on = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in level]).eqNullSafe(F.col(f"__first{tag or '_all'}"))
+        for m in measures:
+            carry = F.when(goes_on, F.col(m + (tag or "_all")))
+            name = m.removeprefix("__m_") + tag
+            out = out.withColumn(f"__r_{name}", F.sum(m).over(w))
+            local = F.col(f"__r_{name}")
+            results.append(F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(local + carry).alias(name))
+    return out.select(*df.columns, *results)
+
+
+def _range_running(df: DataFrame, keys: list[str], order: Sequence[Column | str], sums: dict[str, Column], count_name: str | None) -> DataFrame:
+    places = {f"__o{i}": c for i, c in enumerate(_cols(order))}
+    x = df.withColumns(places)
+    by = [*keys, *places]
+    totals = x.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias("__n"))
+    names = [*sums, *([count_name] if count_name else [])]
+    run = keyed_running(totals.withColumnsRenamed({n: f"__t_{n}" for n in sums}), keys, list(places),
+                        {**{n: F.col(f"__t_{n}") for n in sums}, **({count_name: F.col("__n")} if count_name else {})})
+    run = run.select(*[F.col(c).alias(f"__j{i}") for i, c in enumerate(by)], *names)
+    same = [F.col(c).eqNullSafe(F.col(f"__j{i}")) for i, c in enumerate(by)]
+    return x.join(run, same).select(*df.columns, *names)
 
 
 def lagged(df: DataFrame, keys: Sequence[str], idx: str, lags: dict[str, tuple[str, int]],
@@ -145,18 +135,11 @@ def lagged(df: DataFrame, keys: Sequence[str], idx: str, lags: dict[str, tuple[s
 def range_numbered(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
     """``row_number() OVER (ORDER BY order)`` by one range-partitioned sort, whatever the keys look like.
 
-    Rows are dealt by ranges of the whole order, so no key, date or prefix is
-    ever one task as long as its rows differ in the order. The sorted rows are
-    written once, since range bounds come from a sample and must not be drawn
-    again; the totals before each partition (one row a partition) are added.
+    The totals before each part (one row a part) are added to the places inside it.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = _cols(order)
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    done = materialize(df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
-                       .withColumns({"__part": F.spark_partition_id(), "__at": at}))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = done.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")) \
-        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return done.join(F.broadcast(offsets), "__part") \
-        .withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+    done = ordered_parts(df, order)
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = done.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n")) \
+        .select(_PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return done.join(F.broadcast(offsets), _PART) \
+        .withColumn(name, F.col("__before") + F.col(_AT) + 1).drop(_PART, _AT, "__before")

@@ -125,8 +125,7 @@ def fact_bet_leg(spark: SparkSession, sf: str, numbered: bool = True) -> DataFra
     orders = table(spark, sf, "orders", "o_orderkey")
     li = li.join(orders, li.l_orderkey == orders.o_orderkey, "left_semi")
     if numbered:
-        li = keyed_running(li, ["l_orderkey"], bucket=F.col("l_linenumber"),
-                           order=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+        li = keyed_running(li, ["l_orderkey"], order=["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
                                   "l_discount", "l_tax", "l_shipdate"], sums={}, count_name="__leg_no")
     else:
         li = li.withColumn("__leg_no", F.lit(None).cast("long"))
@@ -303,7 +302,7 @@ def covid_deaths(spark: SparkSession, sf: str) -> DataFrame:
              .agg(F.count(F.lit(1)).cast("double").alias("new_cases"),
                   F.count_if(F.col("o_orderstatus") == "F").alias("deaths")))
     pop = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.count(F.lit(1)) * 1000).alias("population"))
-    run = keyed_running(daily, ["n_nationkey"], bucket=F.trunc(F.to_date("date"), "month"), order=["date"],
+    run = keyed_running(daily, ["n_nationkey"], order=["date"],
                         sums={"total_cases": F.col("new_cases"), "total_deaths_n": F.col("deaths")})
     return (run.join(_nation_geo(spark, sf), "n_nationkey").join(pop, "n_nationkey")
             .select("continent", "location", "date", F.col("population").cast("decimal(18,0)").alias("population"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalar import american_to_decimal, parse_date, week_to_number
 from quarry.operators import cleaning, experiment, profile, promo, retention, teamstats, warehouse
-from quarry.plans.prefix import global_row_number, keyed_running
+from quarry.plans.prefix import keyed_running, ordered_parts, range_numbered
 
 
 def d(n):
@@ -181,24 +181,24 @@ def test_keyed_running_matches_window(spark):
     rows = [(rng.choice("ab"), dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 90)), i, float(rng.randint(0, 9)))
             for i in range(400)]
     df = spark.createDataFrame(rows, "k string, d date, id long, v double")
-    ours = keyed_running(df, ["k"], bucket=F.trunc("d", "month"), order=["d", "id"], sums={"s": F.col("v")},
+    ours = keyed_running(df, ["k"], order=["d", "id"], sums={"s": F.col("v")},
                          count_name="n")
     w = Window.partitionBy("k").orderBy("d", "id").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.select("id", F.sum("v").over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n"))
     a = {r.id: (r.s, r.n) for r in ours.collect()}
     b = {r.id: (r.s, r.n) for r in ref.collect()}
     assert a == b
-    rng_ours = keyed_running(df, ["k"], bucket=F.trunc("d", "month"), order=["d"], sums={"s": F.col("v")},
+    rng_ours = keyed_running(df, ["k"], order=["d"], sums={"s": F.col("v")},
                              frame="range")
     wr = Window.partitionBy("k").orderBy("d")
     ref2 = {r.id: r.s for r in df.select("id", F.sum("v").over(wr).alias("s")).collect()}
     assert {r.id: r.s for r in rng_ours.collect()} == ref2
 
 
-def test_global_row_number_nulls_last(spark):
+def test_row_numbers_nulls_last(spark):
     df = spark.createDataFrame([(None, "x"), (dt.date(2020, 1, 2), "b"), (dt.date(2020, 1, 1), "z"),
                                 (dt.date(2020, 1, 2), "a")], "d date, s string")
-    got = global_row_number(df, [F.col("d").asc_nulls_last(), "s"], F.col("d"), nulls_last=True)
+    got = range_numbered(df, [F.col("d").asc_nulls_last(), "s"])
     assert [r.s for r in got.orderBy("row_number").collect()] == ["z", "a", "b", "x"]
 
 
@@ -281,13 +281,13 @@ def test_formatting_helpers(spark):
 
 
 def test_hot_key_is_spread_over_tasks(spark):
-    """One key holding every row is still windowed in several tasks (one per bucket), not in one."""
+    """One key holding every row is still windowed in several tasks (one per part), not in one."""
     rows = [("hot", dt.date(2020, 1, 1) + dt.timedelta(days=i), i, 1.0) for i in range(730)]
     df = spark.createDataFrame(rows, "k string, d date, id long, v double")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "16")
-        out = keyed_running(df, ["k"], bucket=F.trunc("d", "month"), order=["d", "id"], sums={"s": F.col("v")},
+        out = keyed_running(df, ["k"], order=["d", "id"], sums={"s": F.col("v")},
                             count_name="n")
         parts = {r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}
         assert len(parts) >= 4
@@ -297,6 +297,37 @@ def test_hot_key_is_spread_over_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("rows", [
+    [("hot", dt.date(2020, 1, 1) + dt.timedelta(days=i), i) for i in range(800)],   # one key
+    [("hot", dt.date(2020, 1, 1 + i % 28), i) for i in range(800)],                 # one month
+    [("hot", dt.date(2020, 1, 1), i) for i in range(800)],                          # one date
+    [("hot", None, i) for i in range(800)],                                         # no dates
+    [(None, None, i) for i in range(800)],                                          # no key, no dates
+    [("a" if i < 3 else "hot" if i < 700 else f"z{i}", dt.date(2020, 1, 1), i) for i in range(800)],
+], ids=["key", "month", "date", "null dates", "null key", "hot among rare keys"])
+def test_running_sums_spread_over_all_parts(spark, rows):
+    """Whatever the rows share, they are dealt over all parts, carries cross the parts, and the sums are those of a window."""
+    df = spark.createDataFrame([(k, d, i, i % 7 if i % 5 else None) for k, d, i in rows], "k string, d date, id long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        held = ordered_parts(df, ["k", "d", "id"]).groupBy("__part").count().collect()
+        assert len(held) >= 15 and max(r["count"] for r in held) <= 150
+        out = keyed_running(df.withColumn("m", F.col("id") % 3), ["k"], ["d", "id"], {"s": F.col("v")}, "n", reset_keys=["m"], reset_suffix="_m")
+        by = Window.partitionBy("k").orderBy("m", "d", "id").rowsBetween(Window.unboundedPreceding, 0)
+        per = Window.partitionBy("k", "m").orderBy("d", "id").rowsBetween(Window.unboundedPreceding, 0)
+        want = df.withColumn("m", F.col("id") % 3).select("id", F.sum("v").over(by).alias("s"), F.count(F.lit(1)).over(by).alias("n"),
+                                                         F.sum("v").over(per).alias("s_m"), F.count(F.lit(1)).over(per).alias("n_m"))
+        assert sorted(out.select("id", "s", "n", "s_m", "n_m").collect()) == sorted(want.collect())
+        peers = keyed_running(df, ["k"], ["d"], {"s": F.col("v")}, "n", frame="range")
+        wide = Window.partitionBy("k").orderBy("d")
+        same = df.select("id", F.sum("v").over(wide).alias("s"), F.count(F.lit(1)).over(wide).alias("n"))
+        assert sorted(peers.select("id", "s", "n").collect()) == sorted(same.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_hot_team_lags_spread_over_blocks(spark):
     """Block-halo lags split one key into blocks: every block is its own window task."""
     from quarry.plans.prefix import lagged
