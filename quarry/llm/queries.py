@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, codes, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls, variants
+from quarry.llm import ann, bpe, chat, codes, exact_dedup, licenses, line_dedup, lm, mixing, near_dedup, toxicity, urls, variants
 from quarry.plans.registry import register
+from quarry.sources.files import literal_rows
 from quarry.sources.tables import table
 
 #: The vocabulary of op6 and of the pipeline's last stage.
@@ -158,3 +159,24 @@ def thinned(words):
 def op11_spelling_variants(spark, sf):
     runs = variants.letter_runs(table(spark, sf, "documents", "doc_id", "text"))
     return variants.variant_groups(variants.frequent_words(thinned(runs)))
+
+
+#: A conversation whose texts are control strings; it is formatted beside those of the table.
+PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@register("op13_chat_format", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(role, k, w, 'g')) + length(role) - length(replace(replace(role, chr(27), ''), chr(10), '')) AS r,
+             length(regexp_replace(text, k, w, 'g')) AS t
+      FROM c, (SELECT '(<)(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>)|(\[)(\\*)(/?INST\])' AS k, '\1\4\2\5\\\3\6' AS w))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + r + t) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op13_chat_format(spark, sf):
+    rows = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    packed = chat.pack(rows.unionByName(literal_rows(spark, PROBE, rows.schema)), BPE_FILE)
+    return chat.read_back(packed, BPE_FILE)
