@@ -143,3 +143,37 @@ def range_numbered(df: DataFrame, order: Sequence[Column | str], name: str = "ro
         .select(_PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return done.join(F.broadcast(offsets), _PART) \
         .withColumn(name, F.col("__before") + F.col(_AT) + 1).drop(_PART, _AT, "__before")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, take: Sequence[str], tie: Sequence[str] = (),
+          inclusive: bool = False) -> DataFrame:
+    """``left`` with the columns ``take`` of the last ``right`` row of the same keys before ``at`` (or at it, if ``inclusive``).
+
+    Both sides are put in one order - keys, ``at``, lookups before or behind the rows of
+    the same moment, then ``tie`` - by one range-partitioned sort; each lookup reads the
+    last value carried to it, from its own part or, by one carry a part, from those before.
+    No key is one task. Of several rows of a moment the last by ``tie`` counts. Rows whose
+    key or moment is null find nothing; lookups without an earlier row get nulls.
+    """
+    keys, take = list(keys), list(take)
+    key = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys])
+    known = F.lit(True)
+    for c in (*keys, at):
+        known = known & F.col(c).isNotNull()
+    shared = [*[F.col(k) for k in keys], F.col(at).alias("__time")]
+    ties = [f"__tie{i}" for i in range(len(tie))]
+    asks = left.select(*shared, F.lit(1 if inclusive else 0).alias("__side"), F.struct(*left.columns).alias("__left"))
+    rows = right.where(known).select(*shared, F.lit(0 if inclusive else 1).alias("__side"), *[F.col(t).alias(n) for t, n in zip(tie, ties, strict=True)],
+                                     F.struct(*take).alias("__row"))
+    done = ordered_parts(asks.unionByName(rows, allowMissingColumns=True), [*keys, "__time", "__side", *ties])
+    ends = done.groupBy(_PART).agg(F.min_by(key, _AT).alias("first"), F.max_by(key, _AT).alias("last"))
+    latest = F.max_by(F.when(key.eqNullSafe(F.col("last")), F.col("__row")), F.when(F.col("__row").isNotNull() & key.eqNullSafe(F.col("last")), F.col(_AT)))
+    tail = done.join(F.broadcast(ends), _PART).groupBy(_PART, "first", "last").agg(latest.alias("row"))
+    so_far = Window.partitionBy("last").orderBy(_PART)
+    before = Window.orderBy(_PART)  # one row a part
+    tail = tail.select(_PART, "first", "last", F.last("row", ignorenulls=True).over(so_far).alias("row"))
+    carry = tail.select(_PART, "first", F.when(F.lag("last").over(before).eqNullSafe(F.col("first")), F.lag("row").over(before)).alias("__carry"))
+    local = F.last("__row", ignorenulls=True).over(Window.partitionBy(_PART, *keys).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0))
+    out = done.join(F.broadcast(carry), _PART).withColumn("__found", local).where("__left IS NOT NULL")
+    found = F.coalesce("__found", F.when(key.eqNullSafe(F.col("first")), F.col("__carry")))
+    return out.select("__left.*", *[found[c].alias(c) for c in take])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalar import american_to_decimal, parse_date, week_to_number
 from quarry.operators import cleaning, experiment, profile, promo, retention, teamstats, warehouse
-from quarry.plans.prefix import keyed_running, ordered_parts, range_numbered
+from quarry.plans.prefix import as_of, keyed_running, ordered_parts, range_numbered
 
 
 def d(n):
@@ -328,6 +328,48 @@ def test_running_sums_spread_over_all_parts(spark, rows):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_as_of_takes_the_last_earlier_row(spark, inclusive):
+    """Against a plain search; one hot key over all parts, ties by the tie column, null keys and moments find nothing."""
+    import random
+
+    rng = random.Random(3)
+    key = lambda: rng.choice(["hot"] * 8 + ["a", "b", None])
+    rows = [(key(), rng.choice([None, *range(60)]), i, rng.choice([None, i])) for i in range(400)]
+    asks = [(i, key(), rng.choice([None, *range(-2, 62)])) for i in range(300)] + [(900, "c", 5), (901, "a", -5)]
+    left, right = spark.createDataFrame(asks, "ask long, k string, at int"), spark.createDataFrame(rows, "k string, at int, id long, v long")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.ask: (r.id, r.v) for r in as_of(left, right, ["k"], "at", ["id", "v"], tie=["id"], inclusive=inclusive).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for ask, k, at in asks:
+        fit = [r for r in rows if None not in (k, at, r[1]) and r[0] == k and (r[1] < at or inclusive and r[1] == at)]
+        want[ask] = max(fit, key=lambda r: (r[1], r[2]))[2:] if fit else (None, None)
+    assert got == want
+    assert as_of(left.where("false"), right, ["k"], "at", ["v"]).count() == 0
+    assert as_of(left, right.where("false"), ["k"], "at", ["v"]).where("v IS NOT NULL").count() == 0
+
+
+def test_forecast_of_teams_without_a_game(spark):
+    """A team without form gets the default spread and no total; bad wind still says Under; earlier form only."""
+    games = spark.createDataFrame([(1, dt.date(2020, 2, 1), "A", "B", "A", -3.0, 40.0, 60, 3), (2, dt.date(2020, 2, 1), "A", "X", "PICK", 0.0, 41.5, 20, 30),
+                                   (3, dt.date(2019, 1, 1), "A", "B", "B", -1.0, 40.0, None, None)],
+                                  "game_id long, schedule_date date, team_home_id string, team_away_id string, team_favorite_id string, "
+                                  "spread_favorite double, over_under_line double, weather_temperature int, weather_wind_mph int") \
+        .withColumns({"weather_detail": F.lit(None).cast("string"), "team_home_elo_pre": F.lit(1500.0), "team_away_elo_pre": F.lit(1555.0)})
+    form = spark.createDataFrame([("A", dt.date(2020, 1, 1), 1, 1600.0, 25.0, 17.0, "strong", "strong"), ("A", dt.date(2020, 1, 1), 2, 1500.0, 20.0, 20.0, "neutral", "neutral"),
+                                  ("B", dt.date(2020, 1, 9), 3, 1400.0, 10.0, 30.0, "weak", "weak"), ("B", dt.date(2020, 2, 1), 4, 1.0, 1.0, 1.0, "weak", "weak")],
+                                 "team string, schedule_date date, game_id long, elo double, score_avg_pts_for_roll_lag double, "
+                                 "score_avg_pts_against_roll_lag double, team_offense_type string, team_defense_type string")
+    got = {r.game_id: r for r in teamstats.forecast(games, form).collect()}
+    assert (got[1].elo_home, got[1].elo_away, got[1].team_winner_predicted) == (1500.0, 1400.0, "PICK")
+    assert got[1].score_total_predicted == round(34.7 + 0.001934 * 1500 + 0.00454 * 1400 - 1.176916 + 1.888973) and got[1].score_predicted == 40.0
+    assert got[2].elo_away is None and got[2].spread_home_predicted == -2.5 and got[2].score_total_predicted is None and got[2].over_under_pick == "Under (41.5)"
+    assert got[3].elo_home is None and got[3].over_under_predicted is None and got[3].team_winner_ats == "A (+1.0)"
+
+
 def test_hot_team_lags_spread_over_blocks(spark):
     """Block-halo lags split one key into blocks: every block is its own window task."""
     from quarry.plans.prefix import lagged
