@@ -61,15 +61,34 @@ def j2_j6_proportion_summary(spark, sf):
     return ex.proportion_summary(_players(spark, sf), with_p=False)
 
 
-@register("j2_p_values")
+# The tail integral of the normal density by Simpson's rule over 20 standard deviations, as another way to the p-value.
+@register("j2_p_values", f"""
+WITH s AS ({SUMMARY_SQL.replace('AS z,', "AS z, (p_c - p_t) / nullif(sqrt(pooled * (1.0 - pooled) * (1.0 / n_c + 1.0 / n_t)), 0.0) AS exact_z,")})
+SELECT metric, any_value(z) AS z,
+       round(sum(2.0 / sqrt(2.0 * pi()) * exp(-pow(abs(exact_z) + i / 500.0, 2) / 2.0) * CASE WHEN i IN (0, 10000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 1500.0), 6) AS p
+FROM s, range(10001) t(i) GROUP BY metric""")
 def j2_p_values(spark, sf):
-    """Same summary with the two-sided p-value (erfc via a pandas UDF; no SQL oracle has erf)."""
+    """Same summary with the two-sided p-value."""
     return ex.proportion_summary(_players(spark, sf), with_p=True).select("metric", "z", "p")
 
 
-@register("j7_bootstrap_ci")
+def _hash_sql(seed: int = 42) -> str:
+    p = ex.HASH_PRIME
+    step = lambda x, a, b: f"(({x}) * ({x}) + {a} * ({x}) + {b}) % {p}"
+    return f"""h0 AS (SELECT version, retention_1, retention_7, b, (userid % {p} * 1103 + b * 7919 + {seed}) % {p} AS h FROM ab_players, range(200) t(b)),
+h1 AS (SELECT * REPLACE ({step('h', 12345, 1)} AS h) FROM h0), h2 AS (SELECT * REPLACE ({step('h', 54321, 7)} AS h) FROM h1),
+w AS (SELECT *, {' + '.join(f"CAST(h >= {c} AS INTEGER)" for c in ex.poisson_cuts())} AS w FROM h2)"""
+
+
+@register("j7_bootstrap_ci", with_fixtures("""
+SELECT version, day, mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
+FROM (SELECT version, day, b, CAST(sum(w * y) AS DOUBLE) / sum(w) AS m, any_value(mean) AS mean
+      FROM (SELECT *, round(avg(CAST(y AS DOUBLE)) OVER (PARTITION BY version, day), 6) AS mean
+            FROM (SELECT version, 'Day 1' AS day, b, w, CAST(retention_1 AS INTEGER) AS y FROM w
+                  UNION ALL SELECT version, 'Day 7', b, w, CAST(retention_7 AS INTEGER) FROM w))
+      GROUP BY version, day, b) GROUP BY version, day, mean""", "ab_players", extra=_hash_sql()))
 def j7_bootstrap_ci(spark, sf):
-    """Hash-seeded Poisson bootstrap; the replicate weights use Spark's xxhash64, so no DuckDB oracle."""
+    """Poisson bootstrap; the replicate weights come from an integer hash that both engines compute."""
     return ex.bootstrap_mean_ci(_players(spark, sf))
 
 

@@ -3,11 +3,10 @@
 Plan notes. Every statistic is a closed form over a handful of sums, so each
 operator is ONE grouped aggregate (map-side combined: a variant holding most
 users costs one partial row per task) followed by column arithmetic on the
-few result rows. The only Python is the normal tail probability (``erfc``),
-an Arrow-batched pandas UDF applied to the one-row-per-metric result - never
-to user rows. The bootstrap (J7) draws Poisson(1) replicate weights from a
-hash of (user, replicate), so it is repeatable and the B replicates are
-summed map-side before anything is shuffled.
+few result rows. The normal tail probability is a column expression (``erfc``).
+The bootstrap (J7) draws Poisson(1) replicate weights from an integer hash of
+(user, replicate), so it is repeatable on any engine; every task sums its
+replicates into arrays (NumPy over Arrow batches) before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 Z_95 = 1.959963984540054   # fixed value: two-sided 95 % normal quantile
 ALPHA = 0.05
@@ -30,25 +29,39 @@ def _r(c):
     return F.round(c, DIGITS)
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal p-value ``erfc(|z| / sqrt(2))`` (no erf in Spark SQL)."""
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v is not None and not math.isnan(v) else None)
+def erfc(x):
+    """Complementary error function of a column, relative error below 1e-12: series below 1.5, continued fraction beyond.
+
+    Both are folds over a fixed sequence, so the expression stays in the JVM.
+    """
+    a = F.abs(x)
+    small, large = F.least(a, F.lit(1.5)), F.greatest(a, F.lit(1.5))
+    # erf = 2/sqrt(pi) exp(-a^2) sum of 2^n a^(2n+1) / (2n+1)!!: all terms are positive
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(small.alias("t"), small.alias("s")),
+                         lambda s, n: F.struct((s["t"] * 2.0 * small * small / (2 * n + 1)).alias("t"),
+                                               (s["s"] + s["t"] * 2.0 * small * small / (2 * n + 1)).alias("s")))["s"]
+    inner = 1.0 - 2.0 / math.sqrt(math.pi) * F.exp(-small * small) * series
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), large, lambda s, n: large + n / 2.0 / s)
+    outer = F.exp(-large * large) / (math.sqrt(math.pi) * fraction)
+    upper = F.when(a < 1.5, inner).otherwise(outer)
+    return F.when(x < 0, 2.0 - upper).otherwise(upper)
+
+
+def two_sided_p(z):
+    """Two-sided normal p-value ``erfc(|z| / sqrt(2))``; null for a null z."""
+    z = F.col(z) if isinstance(z, str) else z
+    return F.when(z.isNotNull() & ~F.isnan(z), erfc(F.abs(z) / math.sqrt(2.0)))
 
 
 # ------------------------------------------------------------------ J1
 def retention_by_variant(players: DataFrame, metrics: Sequence[str] = ("retention_1", "retention_7"),
                          active_col: str = "sum_gamerounds") -> DataFrame:
     """Retention % per variant for all users (ITT) and active users (per-protocol), in one pass."""
-    active = F.col(active_col) > 0
-    x = players.select("version", active.alias("__active"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    itt = x.groupBy("version").agg(F.lit("itt").alias("population"),
-                                   F.count(F.lit(1)).alias("users"),
-                                   *[_r(F.avg(m) * 100).alias(m) for m in metrics])
-    pp = x.where("__active").groupBy("version").agg(F.lit("active").alias("population"),
-                                                    F.count(F.lit(1)).alias("users"),
-                                                    *[_r(F.avg(m) * 100).alias(m) for m in metrics])
-    return itt.unionByName(pp).orderBy("population", "version")
+    active = F.coalesce(F.col(active_col) > 0, F.lit(False))
+    groups = F.explode(F.when(active, F.array(F.lit("itt"), F.lit("active"))).otherwise(F.array(F.lit("itt"))))
+    return players.select("version", groups.alias("population"), *[F.col(m).cast("double").alias(m) for m in metrics]) \
+        .groupBy("version", "population").agg(F.count(F.lit(1)).alias("users"), *[_r(F.avg(m) * 100).alias(m) for m in metrics]) \
+        .orderBy("population", "version")
 
 
 # ------------------------------------------------------------------ J2..J6
@@ -101,41 +114,72 @@ def proportion_summary(players: DataFrame, metrics: Sequence[str] = ("retention_
         _r(t_lo * 100).alias("treatment_ci_low"), _r(t_hi * 100).alias("treatment_ci_high"),
         _r((diff - Z_95 * se_diff) * 100).alias("diff_ci_low"), _r((diff + Z_95 * se_diff) * 100).alias("diff_ci_high"),
         _r(2.0 * (F.asin(F.sqrt(p_c)) - F.asin(F.sqrt(p_t)))).alias("cohens_h"),
+        *([_r(two_sided_p(z)).alias("p")] if with_p else []),
     )
-    if with_p:
-        out = out.withColumn("p", _r(two_sided_p(F.col("z"))))
     return out.orderBy("metric")
 
 
 # ------------------------------------------------------------------ J7
-# Cumulative Poisson(1) probabilities for k = 0..7 (replicate weights).
+# Cumulative Poisson(1) probabilities for k = 0..12 (replicate weights).
 POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+HASH_PRIME = (1 << 31) - 1
+
+
+def poisson_cuts() -> list[int]:
+    """Hash values below the k-th cut draw a weight of k or less."""
+    return [math.floor(c * HASH_PRIME) for c in POISSON1_CDF]
+
+
+def replicate_hash(user, replicate, seed: int):
+    """Two quadratic steps modulo a prime, in 64-bit integers that every engine has; spread over 0..prime - 1."""
+    x = (user % HASH_PRIME * 1103 + replicate * 7919 + seed) % HASH_PRIME
+    x = (x * x + 12345 * x + 1) % HASH_PRIME
+    return (x * x + 54321 * x + 7) % HASH_PRIME
+
 
+def _replicate_sums(metrics: Sequence[str], replicates: int, seed: int):
+    """Per task: for every arm and metric the sums of the weights and of the weighted values, one array entry a replicate."""
+    def run(batches):
+        cuts, b = np.array(poisson_cuts(), np.int64), np.arange(replicates, dtype=np.int64)
+        sums: dict = {}
+        for batch in batches:
+            arms = np.array(batch.column("arm").to_pylist(), object)
+            users = batch.column("userid").to_numpy(zero_copy_only=False).astype(np.int64)
+            w = np.searchsorted(cuts, replicate_hash(users[:, None], b[None, :], seed), "right").astype(np.float64)
+            for m in metrics:
+                y = batch.column(m).to_numpy(zero_copy_only=False).astype(np.float64)
+                for arm in set(arms.tolist()):
+                    rows = (arms == arm) & ~np.isnan(y)
+                    held = sums.setdefault((arm, m), np.zeros((2, replicates)))
+                    held[0] += w[rows].sum(0)
+                    held[1] += w[rows].T @ y[rows]
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+                                          pa.array([sums[k][0].tolist() for k in keys], pa.list_(pa.float64())),
+                                          pa.array([sums[k][1].tolist() for k in keys], pa.list_(pa.float64()))], names=["arm", "metric", "w", "wy"])
 
-def poisson_weight(user_col: str, replicate_col: str, seed: int = 42):
-    """Poisson(1) replicate weight from a uniform hash of (user, replicate, seed)."""
-    u = F.pmod(F.xxhash64(F.col(user_col), F.col(replicate_col), F.lit(seed)), F.lit(1_000_000_007)).cast("double") \
-        / 1_000_000_007.0
-    w = F.lit(len(POISSON1_CDF))
-    for k in reversed(range(len(POISSON1_CDF))):
-        w = F.when(u < POISSON1_CDF[k], F.lit(k)).otherwise(w)
-    return w
+    return run
 
 
 def bootstrap_mean_ci(players: DataFrame, metrics: Sequence[str] = ("retention_1", "retention_7"),
                       replicates: int = 200, seed: int = 42, arm_col: str = "version") -> DataFrame:
-    """Poisson-bootstrap 95 % interval of each metric's mean per arm (chart error bars)."""
-    long = players.unpivot(["userid", arm_col], list(metrics), "day", "retained") \
-        .select("userid", arm_col, F.regexp_replace("day", "retention_", "Day ").alias("day"),
-                F.col("retained").cast("double").alias("y"))
-    rep = long.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rep = rep.withColumn("w", poisson_weight("userid", "b", seed))
-    means = rep.groupBy(arm_col, "day", "b").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w").cast("double")).alias("m"))
-    point = long.groupBy(arm_col, "day").agg(F.avg("y").alias("mean"))
-    ci = means.groupBy(arm_col, "day").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return point.join(ci, [arm_col, "day"]).select(
-        arm_col, "day", _r("mean").alias("mean"), _r(F.col("q")[0]).alias("ci_low"), _r(F.col("q")[1]).alias("ci_high")
+    """Poisson-bootstrap 95 % interval of each metric's mean per arm (chart error bars).
+
+    Every task sums all replicates of its users into arrays, so no user row is repeated and
+    arms x metrics x tasks rows are shuffled. Weights are whole numbers, so sums of 0/1
+    metrics are exact. Players without an id or a value take no part in the replicates.
+    """
+    x = players.where(F.col("userid").isNotNull()).select(F.col("userid").cast("long").alias("userid"), F.col(arm_col).cast("string").alias("arm"),
+                                                          *[F.col(m).cast("double").alias(m) for m in metrics])
+    partial = x.mapInArrow(_replicate_sums(metrics, replicates, seed), "arm string, metric string, w array<double>, wy array<double>")
+    merged = partial.select("arm", "metric", F.posexplode(F.arrays_zip("w", "wy")).alias("b", "s")).groupBy("arm", "metric", "b") \
+        .agg(F.try_divide(F.sum("s.wy"), F.sum("s.w")).alias("m"))
+    ci = merged.groupBy("arm", "metric").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    point = x.groupBy("arm").agg(*[F.avg(m).alias(m) for m in metrics]).unpivot(["arm"], list(metrics), "metric", "mean") \
+        .withColumnsRenamed({"arm": "__arm", "metric": "__metric"})
+    return point.join(ci, F.col("arm").eqNullSafe(F.col("__arm")) & (F.col("metric") == F.col("__metric"))).select(
+        F.col("arm").alias(arm_col), F.regexp_replace("metric", "retention_", "Day ").alias("day"), _r("mean").alias("mean"),
+        _r(F.col("q")[0]).alias("ci_low"), _r(F.col("q")[1]).alias("ci_high")
     ).orderBy("day", arm_col)
 
 

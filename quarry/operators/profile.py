@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.prefix import range_numbered
+from quarry.plans.prefix import keyed_running, range_numbered
 
 DIGITS = 6
 
@@ -28,29 +28,42 @@ def _r(c):
     return F.round(c, DIGITS)
 
 
-def describe(df: DataFrame, columns: Sequence[str], exact: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Count, mean, std, min, quartiles, max per numeric column.
+def quantiles(df: DataFrame, columns: Sequence[str], q: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles (as pandas and ``quantile_cont``) of many columns: (column_name, q0, q1, ...).
 
-    Quartiles come from ``percentile_approx`` sketches by default (mergeable,
-    bounded memory, rank error <= 1/accuracy). ``exact=True`` uses the exact
-    ``percentile``, whose final merge holds every distinct value of a column
-    in one task - only for columns known to have few distinct values.
+    Distributed selection: all columns' values are counted by (column, value) with map-side
+    partial counts, one segmented scan in (column, value) order gives the counts up to each
+    value, and per quantile the two values around its rank are picked by a grouped
+    aggregate. No column's values meet in one task. Nulls take no part.
     """
-    q = [0.25, 0.5, 0.75]
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns]))
+    counts = df.select(cells.alias("c")).select("c.*").where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = keyed_running(counts, ["column_name"], ["v"], {"upto": F.col("n")})
+    totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
+    ranked = upto.join(F.broadcast(totals), "column_name")  # one row a column
+    picks = []
+    for i, share in enumerate(q):
+        at = (F.col("total") - 1) * F.lit(float(share))
+        for name, rank in ((f"lo{i}", F.floor(at)), (f"hi{i}", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v"))).alias(name))
+        picks.append(F.max(at - F.floor(at)).alias(f"part{i}"))
+    found = ranked.groupBy("column_name").agg(*picks)
+    return found.select("column_name", *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(q))])
+
+
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, mean, std, min, exact quartiles, max per numeric column; a column without values has nulls."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        pct = F.percentile(x, F.array(*[F.lit(v) for v in q])) if exact else \
-            F.percentile_approx(x, F.array(*[F.lit(v) for v in q]), accuracy)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), pct.alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
-    one = df.agg(*aggs)
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    one = x.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), _r(F.col(f"m{i}")).alias("mean"),
-                     _r(F.col(f"s{i}")).alias("std"), F.col(f"lo{i}").alias("min"),
-                     _r(F.col(f"q{i}")[0]).alias("p25"), _r(F.col(f"q{i}")[1]).alias("p50"),
-                     _r(F.col(f"q{i}")[2]).alias("p75"), F.col(f"hi{i}").alias("max")) for i, c in enumerate(columns)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+                     _r(F.col(f"s{i}")).alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")) for i, c in enumerate(columns)]
+    moments = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    quartiles = quantiles(x, columns, [0.25, 0.5, 0.75])
+    return moments.join(quartiles, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", _r("q0").alias("p25"), _r("q1").alias("p50"), _r("q2").alias("p75"), "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -120,8 +133,12 @@ def value_shares(df: DataFrame, column: str, by: str | None = None) -> DataFrame
     """``value_counts(normalize=True) * 100`` globally or within ``by``."""
     keys = [by, column] if by else [column]
     c = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by) if by else Window.partitionBy()  # over the small grouped result
-    return c.select(*keys, "n", _r(F.col("n") * 100.0 / F.sum("n").over(w)).alias("pct")).orderBy(*keys)
+    if by:
+        t = df.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__total"))
+        c = c.join(t, F.col(by).eqNullSafe(F.col("__by"))).withColumn("__total", F.col("__total").cast("double"))
+    else:
+        c = c.withColumn("__total", df.agg(F.count(F.lit(1)).cast("double")).scalar())
+    return c.select(*keys, "n", _r(F.col("n") * 100.0 / F.col("__total")).alias("pct")).orderBy(*keys)
 
 
 def conditional_rates(df: DataFrame, features: Sequence[str], label: str, positive) -> DataFrame:

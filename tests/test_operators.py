@@ -370,6 +370,51 @@ def test_forecast_of_teams_without_a_game(spark):
     assert got[3].elo_home is None and got[3].over_under_predicted is None and got[3].team_winner_ats == "A (+1.0)"
 
 
+def test_erfc_to_twelve_digits(spark):
+    import math
+
+    xs = [i / 37 for i in range(-200, 900)]
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+    got = {r.x: r.y for r in df.select("x", experiment.erfc(F.col("x")).alias("y")).collect()}
+    assert got[None] is None and all(got[x] == pytest.approx(math.erfc(x), rel=1e-12, abs=1e-300) for x in xs)
+
+
+def test_bootstrap_shuffles_one_row_per_task_and_arm(spark):
+    """Against sums in Python; every task gives one row per arm and metric, whatever its users."""
+    import numpy as np
+
+    rows = [(i, "ab"[i % 3 == 0], i % 2 == 0, None if i % 5 == 0 else i % 7 == 0) for i in range(500)] + [(None, "a", True, True)]
+    df = spark.createDataFrame(rows, "userid long, version string, retention_1 boolean, retention_7 boolean").repartition(5)
+    part = df.where("userid IS NOT NULL").select("userid", F.col("version").alias("arm"), F.col("retention_1").cast("double").alias("y"))
+    sums = part.mapInArrow(experiment._replicate_sums(["y"], 40, 1), "arm string, metric string, w array<double>, wy array<double>").collect()
+    assert len(sums) <= 2 * 5
+    cuts = experiment.poisson_cuts()
+    weight = lambda u, b: sum(experiment.replicate_hash(u, b, 1) >= c for c in cuts)
+    for arm in "ab":
+        for b in (0, 17, 39):
+            mine = [r for r in rows if r[1] == arm and r[0] is not None]
+            assert sum(r.w[b] for r in sums if r.arm == arm) == sum(weight(r[0], b) for r in mine)
+            assert sum(r.wy[b] for r in sums if r.arm == arm) == sum(weight(r[0], b) for r in mine if r[2])
+    assert 0.9 < np.mean([weight(u, b) for u in range(200) for b in range(40)]) < 1.1
+    out = experiment.bootstrap_mean_ci(df, replicates=60).collect()
+    assert len(out) == 4 and all(r.ci_low <= r["mean"] + 0.05 and r["mean"] - 0.05 <= r.ci_high for r in out)
+
+
+def test_quartiles_of_spread_columns(spark):
+    """Exact, with ties, nulls, a column without values, and one value in most rows."""
+    import numpy as np
+
+    from quarry.operators import profile
+
+    rows = [(float(i * 37 % 101), 5 if i % 10 else i, None, None if i % 4 else i / 3) for i in range(331)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double")
+    got = {r.column_name: r for r in profile.describe(df, ["a", "b", "c", "d"]).collect()}
+    for i, c in enumerate("abcd"):
+        values = [r[i] for r in rows if r[i] is not None]
+        want = [round(float(np.quantile(values, q)), 6) if values else None for q in (0.25, 0.5, 0.75)]
+        assert [got[c].p25, got[c].p50, got[c].p75] == want and got[c]["count"] == len(values)
+
+
 def test_hot_team_lags_spread_over_blocks(spark):
     """Block-halo lags split one key into blocks: every block is its own window task."""
     from quarry.plans.prefix import lagged
