@@ -44,7 +44,7 @@ def erfc(x):
     fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), large, lambda s, n: large + n / 2.0 / s)
     outer = F.exp(-large * large) / (math.sqrt(math.pi) * fraction)
     upper = F.when(a < 1.5, inner).otherwise(outer)
-    return F.when(x < 0, 2.0 - upper).otherwise(upper)
+    return F.when(x.isNotNull(), F.when(x < 0, 2.0 - upper).otherwise(upper))
 
 
 def two_sided_p(z):
