@@ -15,7 +15,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: Bytes of a word that is encoded by scans.
 SHORT = 48
 #: Distinct words that a Python worker remembers; beyond, it starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 #: Characters of text that are cut into words at once.
 AT_ONCE = 1 << 19
 NO_RANK = np.iinfo(np.int32).max
@@ -59,7 +59,11 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Merges and tokens of a byte-level BPE file (``tokenizers`` JSON without normaliser or prefix space)."""
+    """Merges and tokens of a byte-level BPE file (``tokenizers`` JSON without normaliser or prefix space).
+
+    Read once on the driver; tasks get the arrays: a hash table of pairs and the tokens' bytes
+    in one piece. What only long words or decoding need is made from them when first used.
+    """
 
     def __init__(self, spec: dict):
         letters = byte_letters()
@@ -76,7 +80,6 @@ class Vocabulary:
             keys.append(ids[a] << 32 | ids[b])
             merged.append(ids[a + b])
         self.merged = np.array([*merged, 0], np.int32)
-        self.rank = {k: r for r, k in reversed(list(enumerate(keys)))}
         self.size = 1 << max(4, (4 * len(keys)).bit_length())
         self._fill(np.array(keys, np.int64))
         added = spec.get("added_tokens") or []
@@ -86,11 +89,27 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") \
             if self.added else None
         n = max([*ids.values(), *self.added.values()]) + 1
-        self.bytes = [b""] * n
+        tokens = [b""] * n
         for t, i in ids.items():
-            self.bytes[i] = bytes(letters[c] for c in t)
+            tokens[i] = bytes(letters[c] for c in t)
         for t, i in self.added.items():
-            self.bytes[i] = t.encode()
+            tokens[i] = t.encode()
+        self.raw, self.ends = b"".join(tokens), np.cumsum([len(t) for t in tokens], dtype=np.int64)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("rank", "bytes")}
+
+    @cached_property
+    def rank(self) -> dict[int, int]:
+        """Pair -> rank."""
+        held = self.keys != -1
+        return dict(zip(self.keys[held].tolist(), self.ranks[held].tolist(), strict=True))
+
+    @cached_property
+    def bytes(self) -> list[bytes]:
+        """The bytes of each token."""
+        ends = self.ends.tolist()
+        return [self.raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -233,14 +252,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(spec: str) -> Vocabulary:
-    return Vocabulary(json.loads(spec))
-
-
-def read_spec(path: str) -> str:
-    """A vocabulary file's content; it is small and goes to the tasks with the function that they run."""
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, read on the driver; its size does not depend on the data."""
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        return Vocabulary(json.load(f))
 
 
 def _batches(column: pa.Array) -> Iterator[list[str]]:
@@ -274,10 +289,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     is replaced.
     """
     docs = docs.drop(ids_col)
-    shared = df_broadcast(docs, read_spec(path))
+    shared = df_broadcast(docs, vocabulary(path))
 
     def run(batches):
-        encoder = Encoder(vocabulary(shared.value))
+        encoder = Encoder(shared.value)
         for batch in batches:
             ids = [x for group in _batches(batch.column(text_col)) for x in encoder.many(group)]
             yield _with_column(batch, pa.array(ids, pa.binary()), ids_col)
@@ -288,10 +303,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of each row's token ids (null: empty)."""
     df = df.drop(text_col)
-    shared = df_broadcast(df, read_spec(path))
+    shared = df_broadcast(df, vocabulary(path))
 
     def run(batches):
-        v = vocabulary(shared.value)
+        v = shared.value
         for batch in batches:
             texts = [v.decode(x.as_py() or b"") for x in batch.column(ids_col)]
             yield _with_column(batch, pa.array(texts, pa.string()), text_col)

@@ -81,7 +81,7 @@ def _moved(conv, last, first):
 def _keyed(shared, end_ids: bytes):
     """Streams ordered turns: path digests, token ids of head, text and end, and the tokens of each."""
     def run(batches):
-        encoder = bpe.Encoder(bpe.vocabulary(shared.value))
+        encoder = bpe.Encoder(shared.value)
         conv, key, at, first = None, b"", 0, True
         for batch in batches:
             n = batch.num_rows
@@ -182,11 +182,10 @@ def pack(rows: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col:
     empty results.
     """
     spark = rows.sparkSession
-    spec = bpe.read_spec(vocabulary)
-    words = bpe.vocabulary(spec)
+    words = bpe.vocabulary(vocabulary)
     controls = checked(tuple(dict.fromkeys([*controls, *words.added])))
     end_ids = bpe.Encoder(words).many([END])[0]
-    shared = bpe.df_broadcast(rows, spec)
+    shared = bpe.df_broadcast(rows, words)
     turns = turns_of(rows, conv_col, turn_col, role_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(turns.dtypes)["conv"]
@@ -255,7 +254,7 @@ def pack(rows: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col:
 def _read(shared, controls: tuple[str, ...]):
     """Streams the nodes of conversations in order; decodes, checks and parses each turn, and digests the conversation."""
     def run(batches):
-        words = bpe.vocabulary(shared.value)
+        words = shared.value
         conv, first, held = None, True, None
         out = [[] for _ in range(6)]
 
@@ -313,9 +312,9 @@ def read_back(packed: Packed, vocabulary: str, conv_col: str = "conv_id", contro
     Each conversation gathers the nodes in its attention intervals, in order; the turns are
     decoded, parsed and unescaped, and the tokens under the loss mask decoded by themselves.
     """
-    spec = bpe.read_spec(vocabulary)
-    controls = checked(tuple(dict.fromkeys([*controls, *bpe.vocabulary(spec).added])))
-    shared = bpe.df_broadcast(packed.nodes, spec)
+    words = bpe.vocabulary(vocabulary)
+    controls = checked(tuple(dict.fromkeys([*controls, *words.added])))
+    shared = bpe.df_broadcast(packed.nodes, words)
     spans = packed.ends.select(F.col(conv_col).alias("conv"), "tree", F.explode("attends").alias("x")) \
         .select("conv", "tree", F.col("x.chain").alias("chain"), F.col("x.start").alias("lo"), F.col("x.end").alias("hi"))
     nodes = packed.nodes.select("tree", "chain", "start", "end", "position", "token_ids", (F.col("learn_from") - F.col("start")).cast("int").alias("low"),

@@ -10,7 +10,7 @@ from quarry.llm import bpe, chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string, tree string, position long, `end` long"
 FILE = queries.BPE_FILE
-WORDS = bpe.vocabulary(bpe.read_spec(FILE))
+WORDS = bpe.vocabulary(FILE)
 
 
 def said(rows):

@@ -118,7 +118,7 @@ def test_bpe_matches_the_library(spark, odd, none, documents):
 
 
 def test_bpe_long_words_and_other_alphabets():
-    v = bpe.vocabulary(bpe.read_spec(queries.BPE_FILE))
+    v = bpe.vocabulary(queries.BPE_FILE)
     lib = Tokenizer.from_file(queries.BPE_FILE)
     texts = ["ab" * 400, "\u65e5\u672c\u8a9e \U0001f600 12\u0661", "don't  \n\n we'll<|endoftext|>x", "\u0558 a\x85b\x1cc", " " * 90 + "end"]
     for t, ids in zip(texts, bpe.Encoder(v).many(texts), strict=True):
