@@ -30,8 +30,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Wide one-pass aggregates (profiles, correlation matrices) keep whole-stage codegen.
     "spark.sql.codegen.maxFields": "4000",
-    # Rows sent to Python at once: bounds the memory of workers on long texts.
+    # Rows and bytes sent to Python at once: bounds the memory of workers on long texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
