@@ -132,3 +132,26 @@ def n1_snapshot_stream(spark, sf):
 @register("n2_price_alert_stream", f"SELECT * FROM ({PAGE_SQL}) s WHERE price < {ALERT_PRICE}")
 def n2_price_alert_stream(spark, sf):
     return _stream(spark, sf, alerts=True)
+
+
+PRODUCT_SQL = with_fixtures(_page_sql(pages.PRODUCT_TITLE, pages.PRICE_SPAN).replace("FROM pages", "FROM product_pages"), "product_pages")
+
+
+@register("a9_priced_products", PRODUCT_SQL)
+def a9_priced_products(spark, sf):
+    """Title and price of product pages that carry the reference's elements."""
+    return pages.extract_fields(fx.product_pages(spark, sf), SNAPSHOT_DATE)
+
+
+@register("n1_n2_product_stream", f"""
+SELECT 'snapshot' AS sink, * FROM ({PRODUCT_SQL}) s UNION ALL SELECT 'alert', * FROM ({PRODUCT_SQL}) a WHERE price < {ALERT_PRICE}""")
+def n1_n2_product_stream(spark, sf):
+    """One stream over four page files, two files a batch; both sinks, read back after a second run that finds nothing new."""
+    source, base = files.scratch_path(spark, "product-pages"), files.scratch_path(spark, "product-stream")
+    fx.product_pages(spark, sf).repartition(4, "page_id").write.parquet(source)
+    for _ in range(2):
+        schema = snap.run_with_alerts(snap.page_stream(spark, source, max_files=2), SNAPSHOT_DATE, f"{base}/snapshots", f"{base}/alerts",
+                                      f"{base}/checkpoint", ALERT_PRICE)
+    both = [snap.read_sink(spark, f"{base}/{folder}", schema).select(F.lit(name).alias("sink"), "*")
+            for name, folder in (("snapshot", "snapshots"), ("alert", "alerts"))]
+    return both[0].unionByName(both[1])

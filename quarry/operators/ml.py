@@ -1,4 +1,4 @@
-"""Supervised learning with ``pyspark.ml``.
+"""Supervised learning with ``pyspark.ml``.
 
 All training is distributed MLlib (tree ensembles aggregate split statistics
 per partition; no pandas/scikit-learn on the driver). Outputs are small
@@ -15,14 +15,13 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,29 +175,3 @@ def random_search(data: DataFrame, draws: int = 5, folds: int = 4, max_iter: int
         rows, "draw int, step_size double, max_depth int, subsampling_rate double, rmse double")
     best = df.agg(F.min("rmse")).scalar()
     return df.withColumn("is_best", F.col("rmse") == best).orderBy("draw")
-
-
-# ------------------------------------------------------------------ K11, K12
-def decision_tree_report(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
-                         categorical: Sequence[str] = ()) -> DataFrame:
-    """Single decision tree on a string label (indexed) with categorical features; confusion counts."""
-    idx = [StringIndexer(inputCol=c, outputCol=c + "_idx", handleInvalid="keep") for c in categorical]
-    lab = StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip")
-    feats = [c + "_idx" if c in categorical else c for c in features]
-    pipe = Pipeline(stages=[*idx, lab, VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"),
-                            DecisionTreeClassifier(maxDepth=5, seed=SEED)])
-    model = pipe.fit(train)
-    pred = model.transform(test)
-    labels = model.stages[len(idx)].labels
-    mapping = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(float(i)), F.lit(name))])
-    return confusion(pred).select(mapping[F.col("label")].alias("actual"), mapping[F.col("prediction")].alias("predicted"),
-                                  "n").orderBy("actual", "predicted")
-
-
-def linear_regression(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Least-squares fit; coefficients per feature plus intercept and R^2."""
-    data = assemble(train, features, label)
-    m = LinearRegression(maxIter=50).fit(data)
-    rows = [(f, round(float(c), DIGITS)) for f, c in zip(features, m.coefficients.toArray().tolist())]
-    rows += [("(intercept)", round(float(m.intercept), DIGITS)), ("(r2)", round(float(m.summary.r2), DIGITS))]
-    return train.sparkSession.createDataFrame(rows, "term string, estimate double")

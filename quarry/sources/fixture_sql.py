@@ -209,6 +209,8 @@ SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS schedule_date,
        CASE WHEN o_orderkey % 13 <> 0 THEN CAST(20 + o_orderkey % 70 AS INTEGER) END AS weather_temperature,
        CAST(o_orderkey % 25 AS INTEGER) AS weather_wind_mph,
        CASE o_orderkey % 7 WHEN 0 THEN 'Rain' WHEN 1 THEN 'DOME' WHEN 2 THEN 'Snow | Fog' WHEN 3 THEN 'rain showers' END AS weather_detail,
+       CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 100 AS INTEGER) END AS weather_humidity,
+       'Stadium ' || CAST(c_nationkey AS VARCHAR) AS stadium,
        CAST(1300 + (c_nationkey * 37) % 400 AS DOUBLE) AS team_home_elo_pre,
        CAST(1300 + (((c_nationkey + 1 + o_orderkey % 24) % 25) * 37) % 400 AS DOUBLE) AS team_away_elo_pre
 FROM orders JOIN customer ON o_custkey = c_custkey""")
@@ -263,3 +265,14 @@ SELECT event_type || '_' || CAST(k % 5 AS VARCHAR) AS key, k - 10 AS id,
        upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || ' ' || CAST(k AS VARCHAR) AS name,
        (event_id % 2) * 1000000000000 + event_id AS priority
 FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '(-?\\d+)', 1) AS INTEGER) AS k FROM events) e""")
+
+_add("product_pages", """
+SELECT page_id, 'https://shop.example.com/p/' || CAST(page_id AS VARCHAR) AS url,
+       '<html lang="en"><body>'
+       || CASE WHEN page_id % 17 = 0 THEN '' ELSE '<span id="productTitle" class="t">' || chr(10) || '  <b>' || p_name || '</b> </span>' END
+       || CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 13 = 0 THEN '<span class="a-price-whole">sold out</span>'
+               ELSE '<span class="x a-price-whole"> $' || format('{:,}', cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || ' </span>' END
+       || '</body></html>' AS html
+FROM (SELECT p_partkey AS page_id, p_name,
+             CAST(round(round(CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN p_retailprice % 40 ELSE p_retailprice * 10 END, 2) * 100) AS BIGINT) AS cents
+      FROM part) p""")

@@ -349,6 +349,8 @@ def games(spark: SparkSession, sf: str) -> DataFrame:
         (k % 25).cast("int").alias("weather_wind_mph"),
         F.when(k % 7 == 0, "Rain").when(k % 7 == 1, "DOME").when(k % 7 == 2, "Snow | Fog")
         .when(k % 7 == 3, "rain showers").alias("weather_detail"),
+        F.when(k % 5 != 0, (k % 100).cast("int")).alias("weather_humidity"),
+        F.concat(F.lit("Stadium "), home.cast("string")).alias("stadium"),
         (1300 + (home * 37) % 400).cast("double").alias("team_home_elo_pre"),
         (1300 + (away * 37) % 400).cast("double").alias("team_away_elo_pre"),
     )
@@ -456,3 +458,20 @@ def champion_docs(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.concat(F.lit('{"data": {"'), key, F.lit('": {"id": '), cid.cast("string"), F.lit(', "name": "'), name,
                    F.lit('"}}}'))
     return e.select(doc.alias("json"), ((F.col("event_id") % 2) * 1_000_000_000_000 + F.col("event_id")).alias("priority"))
+
+
+# ------------------------------------------------------------------ product pages
+def product_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One product page a part: title element, price span with thousands separators; some without a price or with words for one."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_retailprice")
+    k = F.col("p_partkey")
+    price = F.round(F.when(k % 3 == 0, F.col("p_retailprice")).when(k % 3 == 1, F.col("p_retailprice") % 40).otherwise(F.col("p_retailprice") * 10), 2)
+    cents = F.round(price * 100).cast("long")
+    whole = (cents / 100).cast("long")
+    text = F.concat(F.when(whole >= 1000, F.concat((whole / 1000).cast("long").cast("string"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0")))
+                    .otherwise(whole.cast("string")), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    span = F.when(k % 11 == 0, F.lit("")).when(k % 13 == 0, F.lit('<span class="a-price-whole">sold out</span>')) \
+        .otherwise(F.concat(F.lit('<span class="x a-price-whole"> $'), text, F.lit(" </span>")))
+    title = F.when(k % 17 == 0, F.lit("")).otherwise(F.concat(F.lit('<span id="productTitle" class="t">\n  <b>'), F.col("p_name"), F.lit("</b> </span>")))
+    return p.select(k.alias("page_id"), F.concat(F.lit("https://shop.example.com/p/"), k.cast("string")).alias("url"),
+                    F.concat(F.lit('<html lang="en"><body>'), title, span, F.lit("</body></html>")).alias("html"))
