@@ -159,33 +159,55 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 # ------------------------------------------------------------------ I-P1
 def profile_columns(df: DataFrame) -> DataFrame:
-    """Column profile: type, null count/share and exact single-column key candidates.
+    """Column profile: type, null count/share, smallest and largest value, exact single-column key candidates.
 
     The cells are counted by (column, value) with map-side partial counts, then by
     column, so every column gets the exact test in one pass and no value of a column
-    has to fit into one task. A column of an empty table is no key.
+    has to fit into one task. Extremes compare by the column's own type and are given
+    as text. A column of an empty table is no key.
     """
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value"))
                                           for i, c in enumerate(df.columns)])).alias("cell")).select("cell.*")
     values = cells.groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
     found = values.groupBy("i").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"),
                                     F.count("value").alias("distinct"))
-    names = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)],
-                                            "i int, column_name string, column_type string")
+    ends = df.agg(*[f(c).cast("string").alias(f"{name}{i}") for i, c in enumerate(df.columns) for name, f in (("lo", F.min), ("hi", F.max))])
+    names = ends.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column_name"), F.lit(t).alias("column_type"),
+                                                     F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"))
+                                            for i, (c, t) in enumerate(df.dtypes)])).alias("c")).select("c.*")
     rows, nulls = F.coalesce("rows", F.lit(0)), F.coalesce("nulls", F.lit(0))
     return names.join(found, "i", "left").select(
         "column_name", "column_type", rows.alias("row_count"), nulls.alias("null_count"),
-        F.coalesce(F.try_divide(nulls.cast("double"), rows.cast("double")), F.lit(0.0)).alias("null_pct"),
+        F.coalesce(F.try_divide(nulls.cast("double"), rows.cast("double")), F.lit(0.0)).alias("null_pct"), "min_value", "max_value",
         F.coalesce(F.col("distinct") == F.col("rows"), F.lit(False)).alias("is_key_candidate"))
 
 
-def composite_key_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows with all ``columns`` non-null vs distinct tuples among them."""
-    nn = F.lit(True)
-    for c in columns:
-        nn = nn & F.col(c).isNotNull()
-    x = df.where(nn)
-    return x.agg(F.count(F.lit(1)).alias("c_all"),
-                 F.countDistinct(F.struct(*columns)).alias("c_distinct")) \
-        .withColumn("is_key_candidate", F.col("c_all") == F.col("c_distinct")) \
-        .withColumn("key_columns", F.lit(",".join(columns)))
+def composite_key_search(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
+    """D5 for many candidate keys in one shuffle: rows with all columns non-null, distinct tuples among them, whether it is a key.
+
+    Each row gives one (candidate, 128-bit hash of its tuple) per candidate, counted with
+    map-side partial counts. A hash that occurs once is one tuple; only tuples whose hash
+    occurs again are compared whole, so the counts are exact.
+    """
+    def entries(with_tuple: bool):
+        parts = []
+        for i, cols in enumerate(candidates):
+            known = F.lit(True)
+            for c in cols:
+                known = known & F.col(c).isNotNull()
+            texts = [F.col(c).cast("string") for c in cols]
+            fields = [F.lit(i).alias("i"), F.xxhash64(*texts).alias("h1"), F.xxhash64(F.lit(i + 1), *reversed(texts)).alias("h2")]
+            if with_tuple:
+                fields.append(F.array(*texts).alias("tuple"))
+            parts.append(F.when(known, F.struct(*fields)))
+        return df.select(F.explode(F.filter(F.array(*parts), lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+    counts = entries(False).groupBy("i", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    sure = counts.groupBy("i").agg(F.sum("n").alias("c_all"), F.count_if(F.col("n") == 1).alias("once"))
+    again = entries(True).join(counts.where("n > 1").select("i", "h1", "h2"), ["i", "h1", "h2"], "left_semi") \
+        .groupBy("i", "tuple").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.count(F.lit(1)).alias("more"))
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(",".join(c)) for c in candidates])).alias("i", "key_columns"))
+    distinct = F.coalesce("once", F.lit(0)) + F.coalesce("more", F.lit(0))
+    every = F.coalesce("c_all", F.lit(0))
+    return names.join(sure, "i", "left").join(again, "i", "left").select(
+        "key_columns", every.alias("c_all"), distinct.alias("c_distinct"), (every == distinct).alias("is_key_candidate"))
