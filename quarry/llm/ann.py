@@ -8,7 +8,8 @@ by one range-partitioned sort. The candidates of a query are the vectors within
 exact cosine. Places are cut into blocks of ``BLOCK`` vectors, and a query visits
 the blocks of its window, so a task holds one block and streams its queries.
 
-Equal vectors are one point of the index that keeps its ``k + 1`` smallest ids.
+Equal vectors, and multiples by powers of two, are one point of the index that keeps its
+``k + 1`` smallest ids; of other equally near points all stay until ids decide.
 ``window`` is a share of the points: recall then holds at every size, and a query
 is compared with at most ``2 * window * curves`` of the points.
 """
@@ -26,6 +27,8 @@ from quarry.sources.files import materialize
 
 CURVES, WINDOW = 32, 0.01
 DIMS, BITS, BLOCK = 8, 6, 1024
+#: Points this close to the last one kept stay too, until exact scores and ids decide.
+EVEN = 1e-12
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -39,6 +42,12 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (usual.dim if usual else 0))
 
 
+def to_scale(rows: DataFrame) -> DataFrame:
+    """``vec`` divided by a power of two near its largest component: exact, so cosines stay and such multiples become equal."""
+    top = F.array_max(F.transform("vec", F.abs))
+    return rows.withColumn("vec", F.transform("vec", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(top)))))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -94,11 +103,10 @@ def _scan(dim: int, k: int):
                         ids, held = [np.concatenate(ids)], [np.concatenate(held)]
                     for a in range(i, j, 1024):
                         s = m[a:min(j, a + 1024)] @ held[0].T
-                        best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k + 1]
-                        q = np.repeat(point[a:min(j, a + 1024)], best.shape[1])
+                        least = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] if s.shape[1] > k + 1 else np.full(len(s), -2.0)
+                        row, best = np.nonzero(s >= least[:, None] - EVEN)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(q), pa.array(ids[0][best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel())],
-                            names=["query", "point", "near"])
+                            [pa.array(point[a:min(j, a + 1024)][row]), pa.array(ids[0][best]), pa.array(s[row, best])], names=["query", "point", "near"])
                 i = j
 
     return run
@@ -109,12 +117,12 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     """The ``k`` nearest found of each query: query_id, rank (from 1), the neighbour's id, and score, its exact cosine.
 
     ``queries`` is a condition on the id column; a query's candidates are all rows
-    but its own (rows with its id). Ties go to the smaller id. Vectors that are
+    but its own (rows with its id); an id with several vectors counts with its nearest. Ties go to the smaller id. Vectors that are
     null, zero, hold null or non-finite components, have another dimension than
     most, or no id, take no part. Repeated rows count once; other columns play no
     part; an empty table gives an empty result.
     """
-    rows = materialize(valid(vectors, id_col, vec_col))
+    rows = materialize(to_scale(valid(vectors, id_col, vec_col)))
     asks = rows.select(F.col("id").alias(id_col), "vec").where(queries).select(F.col(id_col).alias("query_id"), "vec").distinct()
     few = rows.select("id", "vec").withColumn("place", F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))) \
         .where(F.col("place") <= k + 1)
@@ -136,9 +144,9 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
         .repartition(parts, "curve", "block").sortWithinPartitions("curve", "block", "kind")
     found = both.select("curve", "block", "kind", "point", "vec").mapInArrow(_scan(dim or 1, k), "query long, point long, near double") \
         .groupBy("query", "point").agg(F.max("near").alias("near"))
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "point")
-    # k + 2 points: k + 1 hold k neighbours beside the query's own point, one more for rounding at the edge.
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 2).drop("r")
+    best = Window.partitionBy("query").orderBy(F.desc("near")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # k + 1 points hold k neighbours beside the query's own point; those as near as the last of them stay too.
+    found = found.withColumn("least", F.nth_value("near", k + 1).over(best)).where(F.col("least").isNull() | (F.col("near") >= F.col("least") - EVEN)).drop("least")
     found = materialize(found)
     side = lambda p, v: points.select(F.col("point").alias(p), F.col("vec").alias(v))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -146,6 +154,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     exact = found.join(side("query", "qv"), "query").join(points.select("point", F.col("vec").alias("pv"), "ids"), "point") \
         .select(F.col("query").alias("point"), score.alias("score"), F.explode("ids").alias("near_id"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "near_id")
-    return asking.join(exact, "point").where(F.col("near_id") != F.col("query_id")).dropDuplicates(["query_id", "near_id"]) \
+    return asking.join(exact, "point").where(F.col("near_id") != F.col("query_id")) \
+        .groupBy("query_id", "near_id").agg(F.max("score").alias("score")) \
         .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k) \
         .select("query_id", "rank", F.col("near_id").alias(id_col), "score")

@@ -270,6 +270,20 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_ties_and_repeated_ids(spark):
+    """Equal cosines by power-of-two and other multiples, more of them than are kept: the smallest ids; other columns and names play no part."""
+    schema = "vec_id long, embedding array<float>, score double, point string, near double"
+    rng = np.random.default_rng(8)
+    rows = [(0, [3.0, 4.0, 0.0, 0.0])] + [(120 - i, [0.0, 0.5 * 2.0 ** i, 0.0, 0.0]) for i in range(20)]
+    rows += [(200 + i, [float(c) for c in -np.abs(rng.normal(size=4))]) for i in range(40)]
+    got = ann.nearest(spark.createDataFrame([(*r, None, None, None) for r in rows], schema), F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [101, 102, 103, 104, 105] and {r.score for r in got} == {0.8}
+    rows = [(0, [1.0, 0.0])] + [(30 - i, [float(3 * i + 1), 0.0]) for i in range(20)] + [(50, [0.0, 1.0]), (50, [1.0, 0.0]), (50, [-1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 11, 1.0), (0, 2, 12, 1.0), (0, 3, 13, 1.0), (50, 1, 0, 1.0), (50, 2, 11, 1.0),
+                                                                              (50, 3, 12, 1.0)]
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.NET/en/x?q#f"), (2, "http://example.net/de/"), (3, "http://b.example.com/de/1"), (4, None),
                                    (5, "nothing"), (6, "https://c.org/fr/x"), (6, "https://c.org/fr/x"), (7, "http://net"), (None, "x://y.org/en")],
