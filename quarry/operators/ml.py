@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,11 +24,12 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.prefix import keyed_running
 from quarry.session import ensure_checkpoint_dir
+from quarry.sources.files import materialize
 
 SEED = 42
 DIGITS = 6
@@ -37,10 +40,13 @@ def _r(c):
 
 
 # ------------------------------------------------------------------ K1, K2
-def train_test(df: DataFrame, weights=(0.75, 0.25), seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """K1: seeded random split (75/25 by default)."""
-    train, test = df.randomSplit(list(weights), seed=seed)
-    return train, test
+def train_test(df: DataFrame, keys: Sequence[str], share: float = 0.75, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """K1: seeded split by a hash of each row's ``keys`` (75/25 by default): the same rows under any partitioning.
+
+    Rows that agree in all keys fall on the same side.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return df.where(part), df.where(~part)
 
 
 def season_split(df: DataFrame, season_col: str, first: int, last: int) -> tuple[DataFrame, DataFrame]:
@@ -74,17 +80,16 @@ def importances(model, features: Sequence[str], spark, digits: int = 3) -> DataF
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def fit_forest(train: DataFrame, num_trees: int = 20, max_depth: int = 5, seed: int = SEED):
-    """K3: random forest classifier."""
+def fit_forest(train: DataFrame, num_trees: int = 100, max_depth: int = 30, seed: int = SEED):
+    """K3: random forest of 100 trees; 30 levels are the most that the learner grows, so data end its trees first."""
     ensure_checkpoint_dir(train.sparkSession)
-    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, checkpointInterval=10).fit(train)
+    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, checkpointInterval=10, cacheNodeIds=True).fit(train)
 
 
-def fit_gbt(train: DataFrame, max_iter: int = 20, max_depth: int = 4, step: float = 0.1, seed: int = SEED):
-    """K8: gradient-boosted trees classifier (binary)."""
+def fit_gbt(train: DataFrame, max_iter: int = 100, max_depth: int = 6, step: float = 0.3, seed: int = SEED):
+    """K8: gradient-boosted trees classifier (binary) at the boosting library's default sizes: 100 rounds, depth 6, step 0.3."""
     ensure_checkpoint_dir(train.sparkSession)
-    return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed,
-                         subsamplingRate=0.8, checkpointInterval=10).fit(train)
+    return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed, checkpointInterval=10).fit(train)
 
 
 def model_report(model, test: DataFrame, features: Sequence[str], name: str) -> DataFrame:
@@ -127,31 +132,83 @@ def logistic_pipeline(train: DataFrame, test: DataFrame, max_iter: int = 1000) -
 
 
 # ------------------------------------------------------------------ K9
-def cross_validated_logloss(data: DataFrame, folds: int = 5, max_iter: int = 20, seed: int = SEED) -> DataFrame:
-    """K9: k-fold cross-validated log loss of boosted trees."""
-    ensure_checkpoint_dir(data.sparkSession)
-    gbt = GBTClassifier(maxIter=max_iter, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed, checkpointInterval=10)
-    ev = MulticlassClassificationEvaluator(metricName="logLoss")
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        numFolds=folds, seed=seed)
-    m = cv.fit(data)
-    return data.sparkSession.createDataFrame([(folds, round(float(m.avgMetrics[0]), DIGITS))],
-                                              "folds int, mean_logloss double")
-
-
-def fold_accuracy(x: DataFrame, folds: int = 5, max_iter: int = 20, seed: int = SEED) -> DataFrame:
-    """K9: accuracy of each fold (``fold`` column from ``hash_folds``) and their mean."""
-    data = x
-    rows = []
-    for f in range(folds):
-        model = fit_gbt(x.where(F.col("fold") != f), max_iter=max_iter, seed=seed)
-        rows.append((f, round(_accuracy(model.transform(x.where(F.col("fold") == f))), DIGITS)))
+def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], folds: int, seed: int = SEED) -> DataFrame:
+    """``fold`` 0..folds-1 by the rank of a hash of the keys within the class: every class is spread evenly, to one row."""
+    drawn = df.withColumn("__draw", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    ranked = keyed_running(drawn, [label], ["__draw", *keys], {}, count_name="__rank")
+    return ranked.withColumn("fold", F.pmod(F.col("__rank"), F.lit(folds)).cast("int")).drop("__draw", "__rank")
+
+
+def _share(df: DataFrame, parallelism: int) -> DataFrame:
+    """Rows of one of several fits that run side by side: together they fill the cores."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism // parallelism))
+
+
+def _side_by_side(spark, work, items, parallelism: int) -> list:
+    """``work`` of every item, several Spark fits at a time."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
+def stopped(means: Sequence[float], patience: int) -> tuple[int, int]:
+    """(best round, rounds looked at): the search ends when ``patience`` rounds in a row bring no smaller mean."""
+    best = 0
+    for i, m in enumerate(means):
+        if m < means[best]:
+            best = i
+        if i - best >= patience:
+            return best, i + 1
+    return best, len(means)
+
+
+def cross_validated_logloss(data: DataFrame, rounds: int = 1000, step: float = 0.01, max_depth: int = 4, patience: int = 50,
+                            subsample: float = 0.8, columns: float = 0.8, seed: int = SEED, parallelism: int = 5) -> DataFrame:
+    """K9: mean and spread of the held-out log loss over the folds (column ``fold``) after every round, with early stopping.
+
+    A round's loss is read on the held-out fold by one pass over it for all rounds. Long searches
+    are tried with a tenth and a third of the rounds first, and the curve ends once ``patience``
+    rounds bring no smaller mean, so a search that stops early fits few rounds. The rows are
+    written once and shared by the fits, which run side by side.
+    """
     spark = data.sparkSession
-    df = spark.createDataFrame(rows, "fold int, accuracy double")
+    ensure_checkpoint_dir(spark)
+    held = materialize(data)
+    folds = sorted(r.fold for r in held.select("fold").distinct().collect())
+    for grown in sorted({rounds // 10, rounds // 3, rounds}) if rounds >= 10 * patience else [rounds]:
+        def curve(f: int, grown: int = grown) -> list[float]:
+            gbt = GBTClassifier(maxIter=grown, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
+                                featureSubsetStrategy=str(columns), seed=seed, checkpointInterval=10)
+            model = gbt.fit(_share(held.where(F.col("fold") != f), parallelism))
+            return [x / 2.0 for x in model.evaluateEachIteration(held.where(F.col("fold") == f))]  # the learner's loss is twice the log loss
+
+        curves = _side_by_side(spark, curve, folds, parallelism)
+        means = [sum(c) / len(c) for c in zip(*curves, strict=True)]
+        best, looked = stopped(means, patience)
+        if looked < grown or grown == rounds:
+            break
+    rows = []
+    for i in range(looked):
+        at = [c[i] for c in curves]
+        spread = (sum((x - means[i]) ** 2 for x in at) / len(at)) ** 0.5
+        rows.append((i + 1, round(means[i], DIGITS), round(spread, DIGITS), i == best))
+    return spark.createDataFrame(rows, "round int, mean_logloss double, std_logloss double, is_best boolean")
+
+
+def fold_accuracy(x: DataFrame, folds: int = 5, seed: int = SEED, parallelism: int = 5, **sizes) -> DataFrame:
+    """K9: accuracy of each fold (column ``fold``) and their mean (fold -1) of boosted trees at the sizes of :func:`fit_gbt`."""
+    spark = x.sparkSession
+    held = materialize(x)
+
+    def one(f: int):
+        model = fit_gbt(_share(held.where(F.col("fold") != f), parallelism), seed=seed, **sizes)
+        return f, round(_accuracy(model.transform(held.where(F.col("fold") == f))), DIGITS)
+
+    df = spark.createDataFrame(_side_by_side(spark, one, range(folds), parallelism), "fold int, accuracy double")
     return df.unionByName(df.agg(F.lit(-1).alias("fold"), _r(F.avg("accuracy")).alias("accuracy")))
 
 
 # ------------------------------------------------------------------ K10
+# The search space.
 SEARCH_SPACE = {
     "stepSize": [round(0.01 * i, 2) for i in range(1, 101)],
     "maxDepth": list(range(2, 12)),
@@ -159,19 +216,32 @@ SEARCH_SPACE = {
 }
 
 
-def random_search(data: DataFrame, draws: int = 5, folds: int = 4, max_iter: int = 20, seed: int = SEED) -> DataFrame:
-    """``draws`` random parameter sets, ``folds``-fold CV of a boosted-tree regressor, best RMSE."""
-    ensure_checkpoint_dir(data.sparkSession)
+def drawn(draws: int, seed: int = SEED) -> list[dict]:
+    """Random parameter sets over the whole space."""
     rng = random.Random(seed)
-    reg = GBTRegressor(maxIter=max_iter, seed=seed, checkpointInterval=10)
-    maps = [{reg.stepSize: rng.choice(SEARCH_SPACE["stepSize"]), reg.maxDepth: min(rng.choice(SEARCH_SPACE["maxDepth"]), 6),
-             reg.subsamplingRate: rng.choice(SEARCH_SPACE["subsamplingRate"])} for _ in range(draws)]
-    cv = CrossValidator(estimator=reg, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="rmse"),
-                        numFolds=folds, seed=seed, parallelism=4)
-    m = cv.fit(data)
-    rows = [(i, float(p[reg.stepSize]), int(p[reg.maxDepth]), float(p[reg.subsamplingRate]), round(float(v), DIGITS))
-            for i, (p, v) in enumerate(zip(maps, m.avgMetrics))]
-    df = data.sparkSession.createDataFrame(
-        rows, "draw int, step_size double, max_depth int, subsampling_rate double, rmse double")
-    best = df.agg(F.min("rmse")).scalar()
-    return df.withColumn("is_best", F.col("rmse") == best).orderBy("draw")
+    return [{k: rng.choice(v) for k, v in SEARCH_SPACE.items()} for _ in range(draws)]
+
+
+def random_search(data: DataFrame, draws: int = 5, rounds: int = 200, seed: int = SEED, parallelism: int = 4) -> DataFrame:
+    """``draws`` random parameter sets, cross-validated (column ``fold``) boosted-tree regressors of ``rounds`` rounds, best RMSE.
+
+    The assembled rows are written once with their folds; all (draw, fold) trials read them
+    and run side by side. RMSE is the root of the mean of the folds' squared errors.
+    """
+    spark = data.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = materialize(data)
+    folds = sorted(r.fold for r in held.select("fold").distinct().collect())
+    sets = drawn(draws, seed)
+
+    def trial(at: tuple[int, int]) -> float:
+        i, f = at
+        reg = GBTRegressor(maxIter=rounds, seed=seed, checkpointInterval=10, **sets[i])
+        model = reg.fit(_share(held.where(F.col("fold") != f), parallelism))
+        return RegressionEvaluator(metricName="mse").evaluate(model.transform(held.where(F.col("fold") == f)))
+
+    trials = [(i, f) for i in range(draws) for f in folds]
+    mse = dict(zip(trials, _side_by_side(spark, trial, trials, parallelism), strict=True))
+    rmse = [(sum(mse[i, f] for f in folds) / len(folds)) ** 0.5 for i in range(draws)]
+    rows = [(i, float(p["stepSize"]), int(p["maxDepth"]), float(p["subsamplingRate"]), round(rmse[i], DIGITS), rmse[i] == min(rmse)) for i, p in enumerate(sets)]
+    return spark.createDataFrame(rows, "draw int, step_size double, max_depth int, subsampling_rate double, rmse double, is_best boolean")

@@ -146,3 +146,36 @@ def test_forest_beats_class_balance(spark, sf_small):
     assert shares.count() >= 2
     base = fx.matches(spark, sf_small).groupBy("winner").count().agg(F.max("count") / F.sum("count")).first()[0]
     assert acc > base
+
+
+def test_folds_are_stratified_and_repeatable(spark, sf_small):
+    from quarry.catalog import learning
+    from quarry.operators import ml
+    from quarry.sources import fixtures as fx
+
+    m = fx.matches(spark, sf_small)
+    folds = ml.stratified_folds(m, "winner", learning.MATCH_KEYS, 5)
+    per = {}
+    for r in folds.groupBy("winner", "fold").count().collect():
+        per.setdefault(r.winner, []).append(r["count"])
+    assert all(len(n) == 5 and max(n) - min(n) <= 1 for n in per.values())
+    key = lambda df: sorted(map(tuple, df.select(*learning.MATCH_KEYS, "fold").collect()))
+    assert key(folds) == key(ml.stratified_folds(m.repartition(7), "winner", learning.MATCH_KEYS, 5))
+    train, test = ml.train_test(m, learning.MATCH_KEYS)
+    again, _ = ml.train_test(m.repartition(5), learning.MATCH_KEYS)
+    assert train.count() + test.count() == m.count() and train.exceptAll(again).isEmpty() and 0.7 < train.count() / m.count() < 0.8
+
+
+def test_early_stopping_and_drawn_sets(spark, sf_small):
+    from quarry.catalog import learning
+    from quarry.operators import ml
+
+    assert ml.stopped([5.0, 4.0, 3.0, 3.5, 3.4, 3.3], 3) == (2, 6) and ml.stopped([5.0, 4.0, 4.1, 4.2, 1.0], 2) == (1, 4)
+    assert ml.stopped([3.0, 2.0, 1.0], 50) == (2, 3)
+    curve = ml.cross_validated_logloss(learning._folded(spark, sf_small, 3), rounds=6, step=0.1, parallelism=3).collect()
+    assert [r.round for r in curve] == list(range(1, 7)) and [r.is_best for r in curve].count(True) == 1
+    assert curve[-1].mean_logloss < curve[0].mean_logloss < 0.7
+    found = ml.random_search(learning._folded(spark, sf_small, 2), draws=2, rounds=2).collect()
+    sets = ml.drawn(2)
+    assert [(r.step_size, r.max_depth, r.subsampling_rate) for r in found] == [(s["stepSize"], s["maxDepth"], s["subsamplingRate"]) for s in sets]
+    assert sum(r.is_best for r in found) == 1 and {s["maxDepth"] for s in ml.drawn(200)} == set(range(2, 12))
