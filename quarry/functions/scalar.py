@@ -100,15 +100,31 @@ def fmt_money(x: ColumnOrName) -> Column:
 
 
 def money_compact(x: ColumnOrName) -> Column:
+    """``$1.2M``, ``$3.4K`` or ``$56``; the exact value is rounded half-even, as Python formats."""
     v = _c(x)
     a = F.abs(v)
+
+    def digits(y: Column, pattern: str) -> Column:
+        return F.call_function("format_number", y, F.lit(pattern))
+
     return (
-        F.when(a >= 1_000_000, F.concat(F.lit("$"), F.format_string("%.1f", v / 1_000_000), F.lit("M")))
-        .when(a >= 1_000, F.concat(F.lit("$"), F.format_string("%.1f", v / 1_000), F.lit("K")))
-        .otherwise(F.concat(F.lit("$"), F.format_string("%.0f", v)))
+        F.when(a >= 1_000_000, F.concat(F.lit("$"), digits(v / 1_000_000, "0.0"), F.lit("M")))
+        .when(a >= 1_000, F.concat(F.lit("$"), digits(v / 1_000, "0.0"), F.lit("K")))
+        .otherwise(F.concat(F.lit("$"), digits(v, "0")))
     )
 
 
 def week_label(week: ColumnOrName, is_playoff: ColumnOrName) -> Column:
     """``W{week}-PO`` / ``W{week}-REG``."""
     return F.concat(F.lit("W"), _c(week).cast("string"), F.when(_c(is_playoff), F.lit("-PO")).otherwise(F.lit("-REG")))
+
+
+# ---------------------------------------------------------------- portable draws
+HASH_PRIME = (1 << 31) - 1
+
+
+def replicate_hash(key, replicate, seed: int):
+    """Two quadratic steps modulo a prime, in 64-bit integers that every engine has; spread over 0..prime - 1 (keys from 0)."""
+    x = (key % HASH_PRIME * 1103 + replicate * 7919 + seed) % HASH_PRIME
+    x = (x * x + 12345 * x + 1) % HASH_PRIME
+    return (x * x + 54321 * x + 7) % HASH_PRIME

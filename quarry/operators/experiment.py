@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.scalar import HASH_PRIME, replicate_hash
+
 Z_95 = 1.959963984540054   # fixed value: two-sided 95 % normal quantile
 ALPHA = 0.05
 DIGITS = 6
@@ -122,7 +124,6 @@ def proportion_summary(players: DataFrame, metrics: Sequence[str] = ("retention_
 # ------------------------------------------------------------------ J7
 # Cumulative Poisson(1) probabilities for k = 0..12 (replicate weights).
 POISSON1_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
-HASH_PRIME = (1 << 31) - 1
 
 
 def poisson_cuts() -> list[int]:
@@ -130,13 +131,6 @@ def poisson_cuts() -> list[int]:
     return [math.floor(c * HASH_PRIME) for c in POISSON1_CDF]
 
 
-def replicate_hash(user, replicate, seed: int):
-    """Two quadratic steps modulo a prime, in 64-bit integers that every engine has; spread over 0..prime - 1."""
-    x = (user % HASH_PRIME * 1103 + replicate * 7919 + seed) % HASH_PRIME
-    x = (x * x + 12345 * x + 1) % HASH_PRIME
-    return (x * x + 54321 * x + 7) % HASH_PRIME
-
-
 def _replicate_sums(metrics: Sequence[str], replicates: int, seed: int):
     """Per task: for every arm and metric the sums of the weights and of the weighted values, one array entry a replicate."""
     def run(batches):

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.aggs import exact_avg, money_sum, ratio_of_sums
-from quarry.functions.scalar import month_start
+from quarry.functions.aggs import exact_ratio, exact_sum, money_div, money_sum, ratio_of_sums
+from quarry.functions.scalar import month_start, replicate_hash
 
 
 def ledger(bets: DataFrame, costs: DataFrame) -> DataFrame:
@@ -90,9 +90,13 @@ def profit_by_team(led: DataFrame, legs: DataFrame, events: DataFrame, teams: Da
     ev = events.select("event_id", "home_team_id", "away_team_id")
     x = exposure_through_legs(led, legs, ev).withColumn(
         "team_id", selected_team("selection", "home_team_id", "away_team_id"))
-    t = teams.select("team_id", "team_name")  # a dimension: AQE broadcasts it after measuring it
-    return (x.join(t, "team_id")
-            .groupBy("team_name").agg(*_profit_aggs())
+    # Legs are reduced to one row a team (map-side first) before the team's name is looked up.
+    sums = ["stake_amount", "gross_profit", "net_profit"]
+    by_team = x.where(F.col("team_id").isNotNull()).groupBy("team_id").agg(*[exact_sum(c).alias(c) for c in sums])
+    total = {c: F.sum(c) for c in sums}
+    return (by_team.join(teams.select("team_id", "team_name"), "team_id")
+            .groupBy("team_name").agg(*[F.round(total[c], 2).cast("double").alias(a) for c, a in zip(sums, ("handle", "gross_profit", "net_profit"), strict=True)],
+                                      exact_ratio(total["gross_profit"], total["stake_amount"]).alias("hold_pct"))
             .where(F.col("handle") > min_handle)
             .orderBy(F.desc("net_profit")))
 
@@ -112,15 +116,20 @@ def promo_profitability(led: DataFrame) -> DataFrame:
 
 def customer_group_differences(led: DataFrame, customers: DataFrame) -> DataFrame:
     """I-K6: by segment, with distinct customers (D4) and average stake."""
-    x = led.join(customers.select("customer_id", "segment"), "customer_id")
+    # Bets are reduced to one row a customer first, so each customer is counted once without a distinct over bets.
+    sums = ["stake_amount", "gross_profit", "net_profit"]
+    by_customer = led.groupBy("customer_id").agg(F.count(F.lit(1)).alias("bets"), F.count("stake_amount").alias("staked"),
+                                                 *[exact_sum(c).alias(c) for c in sums])
+    x = by_customer.join(customers.select("customer_id", "segment"), "customer_id")
+    total = {c: F.sum(c) for c in sums}
     return (x.groupBy("segment")
-            .agg(F.count(F.lit(1)).alias("bets"),
+            .agg(F.sum("bets").alias("bets"),
                  F.countDistinct("customer_id").alias("customers"),
-                 money_sum("stake_amount").alias("handle"),
-                 exact_avg("stake_amount").alias("avg_stake"),
-                 money_sum("gross_profit").alias("gross_profit"),
-                 money_sum("net_profit").alias("net_profit"),
-                 ratio_of_sums("gross_profit", "stake_amount").alias("hold_pct"))
+                 F.round(total["stake_amount"], 2).cast("double").alias("handle"),
+                 money_div(total["stake_amount"], F.sum("staked")).alias("avg_stake"),
+                 F.round(total["gross_profit"], 2).cast("double").alias("gross_profit"),
+                 F.round(total["net_profit"], 2).cast("double").alias("net_profit"),
+                 exact_ratio(total["gross_profit"], total["stake_amount"]).alias("hold_pct"))
             .orderBy(F.desc("net_profit")))
 
 
@@ -139,5 +148,5 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """exactly ``n`` rows, repeatable for a seed: the ``n`` smallest hashes of (key, seed)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """exactly ``n`` rows, repeatable for a seed on any engine: the ``n`` smallest integer hashes of (key, seed); ties by key."""
+    return df.orderBy(replicate_hash(F.col(key).cast("long"), 0, seed), F.col(key)).limit(n)
