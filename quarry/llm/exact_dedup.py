@@ -48,6 +48,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_duplicates(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the row with the smallest id.
+
+    Rows are told apart by id and text, so an id with several texts keeps those that stay;
+    of rows with the same id and text one stays, the one whose columns hash lowest.
+    """
+    keep = exact_duplicates(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("__keep"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("__id"), F.sha2(normalised(F.col(text_col)), 256).alias("__digest"),
+                       F.xxhash64(*docs.columns).alias("__hash"))
+    stay = rows.join(keep, rows["__id"].eqNullSafe(keep["__keep"]) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    return stay.groupBy("__id", "__digest").agg(F.min_by("row", "__hash").alias("row")).select("row.*")
