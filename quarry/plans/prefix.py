@@ -40,18 +40,28 @@ def ordered_parts(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
                        .withColumns({_PART: F.spark_partition_id(), _AT: at}))
 
 
-def _carries(done: DataFrame, keys: Sequence[str], measures: Sequence[str], tag: str) -> DataFrame:
-    """(part, first key, totals that its first key has from earlier parts): one row a part."""
-    key = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in keys])
-    ends = done.groupBy(_PART).agg(F.min_by(key, _AT).alias("first"), F.max_by(key, _AT).alias("last"))
-    tail = done.join(F.broadcast(ends), _PART).where(key.eqNullSafe(F.col("last"))).groupBy(_PART, "first", "last") \
-        .agg(*[F.sum(m).alias(m) for m in measures])
-    so_far = Window.partitionBy("last").orderBy(_PART)
+def _key(columns: Sequence[str], of: str | None = None) -> Column:
+    """The values of a key's columns as one value, from the row or from the struct column ``of``."""
+    return F.struct(F.lit(0).alias("_"), *[(F.col(f"{of}.{c}") if of else F.col(c)).alias(c) for c in columns])
+
+
+def _carries(done: DataFrame, levels: dict[str, list[str]], measures: Sequence[str]) -> DataFrame:
+    """One row a part: its first key, and per level and measure the total that the first key has from earlier parts.
+
+    Levels are ever longer prefixes of the same order; all are read in one pass over the parts.
+    """
+    full = max(levels.values(), key=len)
+    ends = done.groupBy(_PART).agg(F.min_by(_key(full), _AT).alias("__first"), F.max_by(_key(full), _AT).alias("__last"))
+    tail = done.join(F.broadcast(ends), _PART).groupBy(_PART, "__first", "__last").agg(
+        *[F.sum(F.when(_key(level).eqNullSafe(_key(level, "__last")), F.col(m))).alias(m + tag) for tag, level in levels.items() for m in measures])
     before = Window.orderBy(_PART)  # one row a part
-    tail = tail.select(_PART, "first", "last", *[F.sum(m).over(so_far).alias(m) for m in measures])
-    goes_on = F.lag("last").over(before).eqNullSafe(F.col("first"))
-    return tail.select(_PART, F.col("first").alias(f"__first{tag}"),
-                       *[F.when(goes_on, F.lag(m).over(before)).alias(f"{m}{tag}") for m in measures])
+    carries = []
+    for tag, level in levels.items():
+        so_far = Window.partitionBy(_key(level, "__last")).orderBy(_PART)
+        tail = tail.withColumns({f"__c_{m}{tag}": F.sum(m + tag).over(so_far) for m in measures})
+        goes_on = F.lag(_key(level, "__last")).over(before).eqNullSafe(_key(level, "__first"))
+        carries += [F.when(goes_on, F.lag(f"__c_{m}{tag}").over(before)).alias(f"__c_{m}{tag}") for m in measures]
+    return tail.select(_PART, "__first", *carries)
 
 
 def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column],
@@ -77,19 +87,15 @@ def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     if frame == "range":
         return _range_running(df, keys, order, dict(sums), count_name)
     done = ordered_parts(df.withColumns(measures), [*keys, *reset_keys, *order])
-    levels = [("", keys)] + ([(reset_suffix, [*keys, *reset_keys])] if reset_keys else [])
-    out, results = done, []
-    for tag, level in levels:
-        out = out.join(F.broadcast(_carries(done, level, list(measures), tag or "_all")), _PART)
-    for tag, level in levels:
+    levels = {"": keys, **({reset_suffix: [*keys, *reset_keys]} if reset_keys else {})}
+    out, results = done.join(F.broadcast(_carries(done, levels, list(measures))), _PART), []
+    for tag, level in levels.items():
         w = Window.partitionBy(_PART, *level).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0)
-        goes_on = F.struct(F.lit(0).alias("_"), *[F.col(k) for k in level]).eqNullSafe(F.col(f"__first{tag or '_all'}"))
+        out = out.withColumns({f"__r_{m}{tag}": F.sum(m).over(w) for m in measures})
+        goes_on = _key(level).eqNullSafe(_key(level, "__first"))
         for m in measures:
-            carry = F.when(goes_on, F.col(m + (tag or "_all")))
-            name = m.removeprefix("__m_") + tag
-            out = out.withColumn(f"__r_{name}", F.sum(m).over(w))
-            local = F.col(f"__r_{name}")
-            results.append(F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(local + carry).alias(name))
+            local, carry = F.col(f"__r_{m}{tag}"), F.when(goes_on, F.col(f"__c_{m}{tag}"))
+            results.append(F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(local + carry).alias(m.removeprefix("__m_") + tag))
     return out.select(*df.columns, *results)
 
 
