@@ -16,3 +16,15 @@ def test_merge_with_a_column_null_throughout_is_an_equi_join(spark):
     assert "NestedLoop" not in _plan(merged) and "Cartesian" not in _plan(merged)
     assert sorted(merged.select("game_id", "result", "total", "extra").collect(), key=str) == sorted(
         [(1, "Over", 5, None), (2, None, 6, None), (2, None, 6, None), (1, None, None, 7), (3, None, None, 8)], key=str)
+
+
+def test_parts_of_ordered_scans_grow_in_number_not_in_size(spark, monkeypatch):
+    from quarry.plans import prefix
+
+    monkeypatch.setattr(prefix, "ROWS_PER_PART", 50)
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), "id", F.lit(1).alias("one"))
+    done = prefix.ordered_parts(df, ["k", "id"])
+    assert max(r["count"] for r in done.groupBy("__part").count().collect()) <= 150  # 500 with the session's 4 parts
+    run = prefix.lagged(prefix.keyed_running(df, ["k"], ["id"], {"s": F.col("one")}, count_name="idx"), ["k"], "idx", {"p": ("id", 1)}, rows=2000)
+    assert run.rdd.getNumPartitions() >= 40
+    assert run.where("s <> idx OR idx <> floor(id / 3) + 1 OR NOT p <=> if(id < 3, null, id - 3)").count() == 0
