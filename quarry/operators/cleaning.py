@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.prefix import bounded
+
 # Recode of the vacancy flag.
 VACANT_RECODE = {"Y": "Yes", "N": "No"}
 DEDUP_KEYS = ("ParcelID", "PropertyAddress", "SalePrice", "SaleDate", "LegalReference")
@@ -33,10 +35,15 @@ def standardize_date(df: DataFrame, col: str = "SaleDate", out: str = "SaleDateC
 
 
 def fill_from_peer(df: DataFrame, key: str, col: str, order: str) -> DataFrame:
-    """I-DC2: fill NULL ``col`` from another row with the same ``key`` (lowest ``order`` that has a value)."""
+    """I-DC2: fill NULL ``col`` from another row with the same ``key`` (lowest ``order`` that has a value).
+
+    The rows are dealt by the key to as many partitions as their number needs: the sorts
+    behind the join and behind a later grouping by the key hold one partition each.
+    """
     donors = (df.where(F.col(col).isNotNull())
               .groupBy(key).agg(F.min_by(col, order).alias("__peer_value")))
-    return (df.join(donors, key, "left")
+    rows = df.count()
+    return (bounded(df, rows, key).join(bounded(donors, rows, key), key, "left")
             .withColumn(col, F.coalesce(F.col(col), F.col("__peer_value")))
             .drop("__peer_value")
             .select(*df.columns))

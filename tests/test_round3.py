@@ -28,3 +28,14 @@ def test_parts_of_ordered_scans_grow_in_number_not_in_size(spark, monkeypatch):
     run = prefix.lagged(prefix.keyed_running(df, ["k"], ["id"], {"s": F.col("one")}, count_name="idx"), ["k"], "idx", {"p": ("id", 1)}, rows=2000)
     assert run.rdd.getNumPartitions() >= 40
     assert run.where("s <> idx OR idx <> floor(id / 3) + 1 OR NOT p <=> if(id < 3, null, id - 3)").count() == 0
+
+
+def test_fill_from_peer_has_more_tasks_for_more_rows(spark, monkeypatch):
+    from quarry.operators import cleaning
+    from quarry.plans import prefix
+
+    monkeypatch.setattr(prefix, "ROWS_PER_PART", 50)
+    df = spark.range(2000).select("id", (F.col("id") % 500).cast("string").alias("k"), F.when(F.col("id") >= 1500, F.col("id").cast("string")).alias("v"))
+    out = cleaning.fill_from_peer(df, "k", "v", "id")
+    assert out.where("NOT v <=> CAST(id % 500 + 1500 AS STRING)").count() == 0 and out.count() == 2000
+    assert out.where(F.spark_partition_id() > 3).count() > 1000  # 4 tasks by the session's setting
