@@ -1,6 +1,6 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Learning: words and word beginnings of a bounded sample of labelled texts are
+Learning: words and word beginnings of all labelled training texts are
 counted by label, near copies once; those that stand almost only in toxic texts
 and there often enough, and shorter beginnings before longer ones, make the
 lexicon. Scoring: words of the lexicon are searched in the text, and tokens that look
@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,8 +29,8 @@ from quarry.llm.bpe import df_broadcast
 from quarry.llm.words import grams, hash_words, mix, signed
 from quarry.sources.files import materialize
 
-#: Labelled rows to learn from, about; they are chosen by a hash of their id.
-MAX_LABELLED = 12_000
+#: Entries that a task counts before it hands its counts on.
+MOST_COUNTED = 400_000
 #: Toxic texts that hold an entry, and the share of toxic ones among its texts, at least.
 SUPPORT, PRECISION = 5, 0.97
 #: Lengths of word beginnings that can be entries.
@@ -55,9 +56,10 @@ def words(text: str) -> list[str]:
     return _LETTERS.findall(text)
 
 
-def entries(word: str) -> list[str]:
+@lru_cache(100_000)
+def entries(word: str) -> tuple[str, ...]:
     """What a word can match: itself (marked by a final blank) and its beginnings."""
-    return [word + " ", *[word[:n] for n in STEMS if len(word) >= n]]
+    return (word + " ", *[word[:n] for n in STEMS if len(word) >= n])
 
 
 def odd_tokens(text: str) -> set[str]:
@@ -172,15 +174,11 @@ class Lexicon:
         return 1 - math.prod(1 - self.precision[e] for e in found) if found else self.rest
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str,
-                    max_labelled: int) -> DataFrame:
-    """(text, toxic) of about ``max_labelled`` labelled training rows, chosen by hash."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(text, toxic) of all labelled training rows."""
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()) \
         .groupBy(F.col(id_col).alias("known")).agg(F.max(label_col).alias("toxic"))
-    n = known.count()
-    share = min(1.0, max_labelled / max(n, 1))
-    some = materialize(known.where(F.pmod(F.xxhash64("known"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    return docs.join(F.broadcast(some), docs[id_col] == some["known"]).select(F.col(text_col).alias("text"), "toxic")
+    return docs.join(known, docs[id_col] == known["known"]).select(F.col(text_col).alias("text"), "toxic")
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
@@ -206,26 +204,37 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 
 def learn(sample: DataFrame) -> Lexicon:
-    """The lexicon of a bounded sample (text, toxic)."""
+    """The lexicon of the labelled texts (text, toxic)."""
     sample = materialize(without_copies(sample.select("text", F.col("toxic").cast("int").alias("toxic"))))
 
     def count(batches):
-        toxic, clean, chars = Counter(), Counter(), Counter()
+        toxic, clean, texts = Counter(), Counter(), Counter()
+
+        def counted():
+            keys = list(toxic.keys() | clean.keys())
+            for i in range(0, len(keys), 100_000):
+                k = keys[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(["entry"] * len(k)), pa.array(k), pa.array([toxic[x] for x in k], pa.int64()),
+                                                  pa.array([clean[x] for x in k], pa.int64())], names=["kind", "key", "t", "c"])
+            chars: Counter = Counter()
+            for w, n in texts.items():
+                padded = f"^^{w}$"
+                for i in range(len(padded) - 2):
+                    chars[padded[i:i + 3]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(["chars"] * len(chars), pa.string()), pa.array(list(chars), pa.string()),
+                                              pa.array(list(chars.values()), pa.int64()), pa.array([0] * len(chars), pa.int64())],
+                                             names=["kind", "key", "t", "c"])
+            for held in (toxic, clean, texts):
+                held.clear()
+
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
                 ws = set(words((text.as_py() or "").lower()))
-                (toxic if label.as_py() == 1 else clean).update({e for w in ws for e in entries(w)})
-                for w in ws:
-                    padded = f"^^{w}$"
-                    chars.update(padded[i:i + 3] for i in range(len(padded) - 2))
-        keys = list(toxic.keys() | clean.keys())
-        for i in range(0, len(keys), 100_000):
-            k = keys[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(["entry"] * len(k)), pa.array(k), pa.array([toxic[x] for x in k], pa.int64()),
-                                              pa.array([clean[x] for x in k], pa.int64())], names=["kind", "key", "t", "c"])
-        yield pa.RecordBatch.from_arrays([pa.array(["chars"] * len(chars), pa.string()), pa.array(list(chars), pa.string()),
-                                          pa.array(list(chars.values()), pa.int64()), pa.array([0] * len(chars), pa.int64())],
-                                         names=["kind", "key", "t", "c"])
+                texts.update(ws)
+                (toxic if label.as_py() == 1 else clean).update(set().union(*map(entries, ws)))
+                if len(toxic) + len(clean) > MOST_COUNTED:
+                    yield from counted()
+        yield from counted()
 
     sums = materialize(sample.mapInArrow(count, "kind string, key string, t long, c long").groupBy("kind", "key")
                        .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
@@ -242,9 +251,10 @@ def learn(sample: DataFrame) -> Lexicon:
     shared = df_broadcast(sample, set(chosen))
 
     def rest(batches):
+        known = shared.value
         for batch in batches:
             left = [y.as_py() for x, y in zip(batch.column("text"), batch.column("toxic"), strict=True)
-                    if not any(e in shared.value for w in words((x.as_py() or "").lower()) for e in entries(w))]
+                    if all(known.isdisjoint(entries(w)) for w in set(words((x.as_py() or "").lower())))]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32())], names=["toxic"])
 
     missed, left = sample.mapInArrow(rest, "toxic int").agg(F.sum("toxic"), F.count(F.lit(1))).first()
@@ -253,7 +263,7 @@ def learn(sample: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+          label_col: str = "toxic") -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1).
 
     ``train`` says, over the columns of ``labels``, which labels may be learned
@@ -263,7 +273,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     ``toxicity`` is replaced; an empty table gives an empty result.
     """
     docs = docs.drop("toxicity")
-    lexicon = learn(labelled_sample(docs, labels, train, id_col, text_col, label_col, max_labelled))
+    lexicon = learn(labelled_texts(docs, labels, train, id_col, text_col, label_col))
     shared = df_broadcast(docs, (lexicon.precision, lexicon.restorer.tri, lexicon.rest))
 
     def run(batches):

@@ -39,3 +39,18 @@ def test_fill_from_peer_has_more_tasks_for_more_rows(spark, monkeypatch):
     out = cleaning.fill_from_peer(df, "k", "v", "id")
     assert out.where("NOT v <=> CAST(id % 500 + 1500 AS STRING)").count() == 0 and out.count() == 2000
     assert out.where(F.spark_partition_id() > 3).count() > 1000  # 4 tasks by the session's setting
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    from quarry.llm import toxicity
+
+    docs = spark.range(13_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.labelled_texts(docs, labels, F.lit(True), "doc_id", "text", "toxic").count() == 13_000
+    rows = [(f"{'vile' if i % 3 == 0 else 'kind'} word{i % 11} n{chr(97 + i % 26)}", int(i % 3 == 0)) for i in range(90)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    whole = toxicity.learn(sample)
+    monkeypatch.setattr(toxicity, "MOST_COUNTED", 3)  # counts handed on many times sum to the same
+    parts = toxicity.learn(sample)
+    assert whole.precision == parts.precision and whole.restorer.tri == parts.restorer.tri
+    assert any(e.startswith("vile") for e in whole.precision)
