@@ -54,3 +54,66 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     parts = toxicity.learn(sample)
     assert whole.precision == parts.precision and whole.restorer.tri == parts.restorer.tri
     assert any(e.startswith("vile") for e in whole.precision)
+
+
+def _votes(spark, rows: int):
+    """Rows of two numbers and a label that follows one of them, in one partition as a file of one row group gives them."""
+    from quarry.operators import ml
+
+    df = spark.range(rows).select((F.col("id") % 50).cast("double").alias("x"), F.pmod(F.hash("id"), F.lit(7)).cast("double").alias("z"),
+                                  ((F.col("id") % 50 > 20) != (F.col("id") % 11 == 0)).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
+    return ml.assemble(df.coalesce(1), ["x", "z"], "y", keep=["fold"])
+
+
+def test_fits_deal_their_rows_over_all_tasks(spark, monkeypatch):
+    from quarry.operators import ml
+
+    monkeypatch.setattr(ml, "TASK_ROWS", (100, 1000))
+    one = _votes(spark, 3000)
+    with ml.dealt(one) as rows:
+        per = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert rows.rdd.getNumPartitions() == len(per) == 4 and max(per) - min(per) <= 4
+        assert rows.exceptAll(one).isEmpty() and one.exceptAll(rows).isEmpty()
+    seen = []
+    fit = ml.RandomForestClassifier.fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    model = ml.fit_forest(one, num_trees=5, max_depth=4)
+    assert seen == [4] and ml._accuracy(model.transform(one)) > 0.88
+    monkeypatch.setattr(ml, "TASK_ROWS", (100, 300))  # more tasks than cores for many rows
+    with ml.dealt(one) as rows:
+        assert rows.rdd.getNumPartitions() == 10
+
+
+def test_forest_of_many_rows_is_fitted_in_parts(spark, monkeypatch):
+    from quarry.operators import ml
+
+    rows = _votes(spark, 2000)
+    whole = ml.fit_forest(rows, num_trees=20, max_depth=5)
+    monkeypatch.setattr(ml, "FOREST_CELLS", 2000 * 7)
+    parts = ml.fit_forest(rows, num_trees=20, max_depth=5)
+    assert [p.getNumTrees for p in parts.parts] == [6, 7, 7] and len({str(t.toDebugString) for t in parts.trees}) > 7
+    assert abs(parts.featureImportances.toArray() - whole.featureImportances.toArray()).max() < 0.1
+    assert abs(parts.featureImportances.toArray().sum() - 1) < 1e-9
+    assert abs(ml._accuracy(parts.transform(rows)) - ml._accuracy(whole.transform(rows))) < 0.02
+    same = ml.Forest([whole, whole]).transform(rows).withColumnRenamed("prediction", "twice")
+    pairs = whole.transform(rows).select("features", "prediction").distinct().join(same.select("features", "twice").distinct(), "features")
+    assert pairs.count() > 0 and pairs.where("prediction <> twice").count() == 0
+
+
+def test_large_fits_run_one_by_one_on_all_tasks(spark, monkeypatch):
+    from quarry.operators import ml
+
+    monkeypatch.setattr(ml, "TASK_ROWS", (100, 10_000))
+    rows = _votes(spark, 3000)
+    side_by_side = ml.fold_accuracy(rows, folds=3, max_iter=3).collect()
+    seen = []
+    monkeypatch.setattr(ml, "_side_by_side", lambda s, work, items, parallelism: seen.append(parallelism) or [work(i) for i in items])
+    share = ml._share
+    monkeypatch.setattr(ml, "_share", lambda df, side: seen.append(share(df, side).rdd.getNumPartitions()) or share(df, side))
+    monkeypatch.setattr(ml, "SIDE_ROWS", 3000)
+    assert ml.fold_accuracy(rows, folds=3, max_iter=3).collect() == side_by_side  # without sampling, the models are the same
+    assert seen == [1, 4, 4, 4]
+    seen.clear()
+    assert len(ml.cross_validated_logloss(rows, rounds=2).collect()) == 2 and seen == [1, 4, 4, 4]
+    seen.clear()
+    assert len(ml.random_search(rows, draws=1, rounds=1).collect()) == 1 and seen == [1, 4, 4, 4]
