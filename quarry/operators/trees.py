@@ -20,6 +20,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.ml import dealt, fits_at_once
 from quarry.session import ensure_checkpoint_dir
 from quarry.sources.files import drop_table, materialize, scratch_path
 
@@ -168,12 +169,20 @@ def complexity_table(train: DataFrame, features: Sequence[str], label: str, keys
 
     Each fold's tree is grown on the other folds; its subtrees at the geometric means of
     neighbouring cp values are scored on the fold by one aggregate. The rows are written
-    once and shared by all fits, which run side by side.
+    once and shared by all fits, which run side by side while their rows are few.
     """
     spark = train.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "folds")
     rows = materialize(stratified_folds(train.where(F.col(label).isNotNull()).select(label, *dict.fromkeys([*features, *keys])), label, keys, folds), path)
+    with dealt(rows) as even:
+        found = _cross_validated(even, features, label, cp, folds, fits_at_once(even, parallelism))
+    drop_table(spark, path)
+    return found
+
+
+def _cross_validated(rows: DataFrame, features: Sequence[str], label: str, cp: float, folds: int, parallelism: int) -> tuple[Tree, DataFrame]:
+    spark = rows.sparkSession
     tree = grow(rows, features, label)
     root = tree.root.errors
     steps = sorted({a / root for a in alphas(tree.root)} if root else {0.0}, reverse=True)
@@ -196,7 +205,6 @@ def complexity_table(train: DataFrame, features: Sequence[str], label: str, keys
         share = wrong / root if root else 0.0
         spread = math.sqrt(wrong * (1 - wrong / n)) / root if root and n else 0.0
         out.append((round(step, 6), sub.leaves() - 1, round(total(sub, 0.0) / root, 6) if root else 0.0, round(share, 6), round(spread, 6)))
-    drop_table(spark, path)
     return tree, spark.createDataFrame(out, "cp double, n_split int, rel_error double, x_error double, x_std double")
 
 

@@ -117,3 +117,20 @@ def test_large_fits_run_one_by_one_on_all_tasks(spark, monkeypatch):
     assert len(ml.cross_validated_logloss(rows, rounds=2).collect()) == 2 and seen == [1, 4, 4, 4]
     seen.clear()
     assert len(ml.random_search(rows, draws=1, rounds=1).collect()) == 1 and seen == [1, 4, 4, 4]
+
+
+def test_large_tree_folds_run_one_by_one_on_all_tasks(spark, monkeypatch):
+    from quarry.operators import ml, trees
+
+    df = spark.range(2000).select("id", (F.col("id") % 40).cast("double").alias("x"),
+                                  F.when((F.col("id") % 40 > 12) != (F.col("id") % 9 == 0), "yes").otherwise("no").alias("y")).coalesce(1)
+    _, before = trees.complexity_table(df, ["x"], "y", ["id"], folds=4)
+    pools, tasks = [], []
+    pool, grow = trees.ThreadPool, trees.grow
+    monkeypatch.setattr(trees, "ThreadPool", lambda n: pools.append(n) or pool(n))
+    monkeypatch.setattr(trees, "grow", lambda rows, *a: tasks.append(rows.rdd.getNumPartitions()) or grow(rows, *a))
+    monkeypatch.setattr(ml, "TASK_ROWS", (100, 10_000))
+    monkeypatch.setattr(ml, "SIDE_ROWS", 2000)
+    _, table = trees.complexity_table(df, ["x"], "y", ["id"], folds=4)
+    assert pools == [1] and tasks == [4] * 5
+    assert table.collect() == before.collect()  # few distinct values: all are split points under any dealing
