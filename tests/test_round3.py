@@ -134,3 +134,18 @@ def test_large_tree_folds_run_one_by_one_on_all_tasks(spark, monkeypatch):
     _, table = trees.complexity_table(df, ["x"], "y", ["id"], folds=4)
     assert pools == [1] and tasks == [4] * 5
     assert table.collect() == before.collect()  # few distinct values: all are split points under any dealing
+
+
+def test_texts_without_a_label_are_not_shuffled(spark):
+    from quarry.llm import toxicity
+
+    docs = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("de").alias("lang"))
+    docs = docs.unionByName(docs.where("doc_id = 7"))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(1, 41), 5, 9999]] + [(None, 1), (50, None)], "doc_id long, toxic int")
+    known = labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("known")).distinct()
+    left = toxicity._perhaps_known(docs, known, "doc_id")
+    assert left.columns == docs.columns and 41 <= left.count() <= 45 and left.where("doc_id <= 40").count() == 41
+    want = sorted([(f"text {i}", i % 2) for i in range(1, 41)] + [("text 7", 1)])
+    for change in ("long", "string", "int"):  # ids of two kinds are joined without the mask
+        some = toxicity.labelled_texts(docs, labels.withColumn("doc_id", F.col("doc_id").cast(change)), F.lit(True), "doc_id", "text", "toxic")
+        assert sorted(map(tuple, some.collect())) == want
