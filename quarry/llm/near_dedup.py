@@ -7,16 +7,19 @@ the coordinates at random (``1 / threshold`` of them on average) and the sets go
 on to the child that shares the value there. Sets as similar as the threshold
 stay together in a critical branching process, others part quickly. A node of
 at most ``LEAF`` sets is compared exhaustively, larger nodes branch again, and
-what is left after ``LEVELS`` is compared exhaustively as well. A bit sketch and
+what is left after ``LEVELS`` is compared exhaustively as well, or earlier, once
+the nodes left are not too large and hold no more pairs than ``LEAF`` a set. A bit sketch and
 the set sizes discard pairs that are far from the threshold; the others are
 confirmed on the full shingle sets.
 
 Only components are asked for, so pairs that are connected already need no look.
 At level ``STARS`` the sets of every node are compared with one of them, which
 connects groups of copies by a star each; the exhaustive comparison then takes
-the pairs between components. A large node within one component is done; one that
-a component fills but for at most ``LEAF`` sets has just these compared with the
-component, once for all nodes. So a group of thousands of copies never costs all its pairs.
+the pairs between components. A large node within one component is done. One that a
+component fills but for at most ``LEAF`` sets, or to a share of ``1 / DENSE``, does not
+branch on: the sets outside are compared with the component, once for all nodes, in
+blocks of ``BLOCK`` sets that a task holds at once and of which only links come out. So
+a group of thousands of copies makes neither rows for all its pairs nor ever more nodes.
 
 With ``t`` trees a pair just at the threshold is missed with probability
 ``(1 - s) ** t``, ``s`` being 0.47 for nodes that end on level 2 and 0.37 on
@@ -37,6 +40,8 @@ from quarry.llm.words import grams, hash_words, mix, seeded, signed
 from quarry.sources.files import materialize
 
 COORDINATES, TREES, LEAF, STARS, LEVELS = 128, 16, 128, 3, 10
+#: A node that one component fills to this part at least ends; sets of a block.
+DENSE, BLOCK = 4, 128
 #: Shingles whose minhashes are computed at once.
 PIECE = 1 << 15
 #: Bits of the mask that keeps texts without a candidate from being shingled anew.
@@ -239,17 +244,30 @@ class _Links:
         return pairs.join(x, "a", "left").join(y, "b", "left") \
             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm candidate pairs (a, b, agree): first the best one of each set, then all that these have not connected."""
+    def link(self, new: DataFrame) -> None:
+        """Take confirmed pairs (a, b), a written table, into the components."""
+        if not new.isEmpty():
+            self.links = new if self.links is None else self.links.unionByName(new)
+            self.comp = components(self.links)
+
+    def add(self, pairs: DataFrame, met: DataFrame | None = None) -> None:
+        """Confirm candidate pairs (a, b, agree): first the best one of each set, then all that these have not connected.
+
+        Before them come the sets that ``met`` (node, met, wide) a component, by blocks.
+        """
         found = self.apart(pairs.distinct())
         if self.seen is not None:
             found = found.join(self.seen, ["a", "b"], "left_anti")
         found = materialize(found)
-        if found.isEmpty():
+        sides = None if met is None or met.isEmpty() else materialize(_sides(met, self))
+        if found.isEmpty() and sides is None:
             return
-        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+        ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+        ends = (ends if sides is None else ends.unionByName(sides.select("node"))).distinct()
         needed = materialize(self.facts.join(ends, "node").select("node", "low", "n", "d1", "d2"))
         sets = materialize(full_sets(self.docs, needed, self.shingle))
+        if sides is not None:
+            self.link(materialize(_block_links(sides, sets, self.threshold)))
         best = found.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
         for some in (best, found.select("a", "b").join(best, ["a", "b"], "left_anti")):
             some = materialize(self.apart(some))
@@ -257,30 +275,88 @@ class _Links:
                 continue
             new = materialize(confirm(some, sets, self.threshold))
             self.seen = some if self.seen is None else self.seen.unionByName(some)
-            if not new.isEmpty():
-                self.links = new if self.links is None else self.links.unionByName(new)
-                self.comp = components(self.links)
+            self.link(new)
+
 
+def _sides(met: DataFrame, links: _Links) -> DataFrame:
+    """(met, node, left, of, others): per component, the sets outside (left) and what they are compared with, dealt into blocks.
 
-def _open(large: DataFrame, links: _Links, sketches: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the large nodes: the rows of those to branch; the pairs of those that one component all but fills; who met which component.
+    ``of`` is the block of the row on its side, ``others`` the number of blocks on the other one. Sets outside
+    that came from nodes with many such sets (``wide``) are compared with each other as well.
+    """
+    left = met.select("met", "node", F.lit(True).alias("left"))
+    members = links.labelled(links.facts.select("node")).join(met.select(F.col("met").alias("comp")).distinct(), "comp")
+    right = members.select(F.col("comp").alias("met"), "node").unionByName(met.where("wide").select("met", "node")) \
+        .select("met", "node", F.lit(False).alias("left"))
+    rows = left.unionByName(right)
+    blocks = lambda side: F.ceil(F.sum(F.when(F.col("left") == F.lit(side), 1).otherwise(0)) / BLOCK)
+    counts = rows.groupBy("met").agg(blocks(True).alias("lefts"), blocks(False).alias("rights"))
+    own, other = (F.when(F.col("left"), F.col(x)).otherwise(F.col(y)) for x, y in (("lefts", "rights"), ("rights", "lefts")))
+    return rows.join(counts, "met").select("met", "node", "left", F.pmod(F.xxhash64("node"), own).alias("of"), other.alias("others"))
+
+
+def _block_links(sides: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Confirmed links (a, b) between the two sides of every pair of blocks: enough to connect what they connect."""
+    p, q = threshold
 
-    A node within one component is done. Where at most ``LEAF`` sets lie outside
-    the largest component, these are compared with that component, once however
-    many nodes they share with it, and with each other; that ends the node.
+    def compare(block: pa.Table) -> pa.Table:
+        left = block.column("left").to_numpy().astype(bool)
+        node = block.column("node").to_numpy()
+        held = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("shingles")]
+        size = np.array([len(x) for x in held])
+        right = np.flatnonzero(~left)
+        up = np.arange(len(node))  # a forest over the rows
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        a, b = [], []
+        if len(right):
+            values = np.concatenate([held[i] for i in right])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(right)), size[right])[order]
+            for i in np.flatnonzero(left):
+                lo, hi = np.searchsorted(values, held[i]), np.searchsorted(values, held[i], "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(right))
+                near = q * both >= p * (size[i] + size[right] - both)
+                for j in right[near & (node[right] != node[i])]:
+                    if (x := top(i)) != (y := top(j)):
+                        up[x] = y
+                        a.append(min(node[i], node[j]))
+                        b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    dealt = sides.join(sets, "node").withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    i, j = (F.when(F.col("left"), F.col(x)).otherwise(F.col(y)) for x, y in (("of", "meets"), ("meets", "of")))
+    return dealt.select("met", i.alias("i"), j.alias("j"), "left", "node", "shingles") \
+        .groupBy("met", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _open(large: DataFrame, links: _Links, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the large nodes: the rows of those to branch; pairs of sets outside the component that all but fills a node; who met which component.
+
+    A node within one component is done. One with at most ``LEAF`` sets outside the
+    largest component, or where this fills a good part, ends: the sets outside have met
+    the component, with which they are compared once however many nodes they share with
+    it. They are compared with each other too, in pairs or, when many (``wide``), in blocks.
     """
     rows = links.labelled(large.select(ROW))
     parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n_part"))
     nodes = parts.groupBy("bucket").agg(F.sum("n_part").alias("total"), F.max("n_part").alias("most"),
                                         F.max_by("comp", "n_part").alias("main")).where("total > most")
     rows = materialize(rows.join(nodes, "bucket"))
-    outside = rows.where((F.col("total") - F.col("most") <= LEAF) & (F.col("comp") != F.col("main")))
-    met = materialize(outside.select(F.col("main").alias("bucket"), *ROW[1:]).distinct())
-    members = links.labelled(sketches).select(F.col("comp").alias("bucket"), *ROW[1:])
-    others = outside.select(*ROW, "comp")
-    pairs = pairs_of(met, members, threshold).unionByName(
-        pairs_of(others, others, threshold, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode"))))
-    return rows.where(F.col("total") - F.col("most") > LEAF).select(ROW), pairs, met.select("node", F.col("bucket").alias("met"))
+    few = F.col("total") - F.col("most") <= LEAF
+    ends = few | (F.col("most") * DENSE >= F.col("total"))
+    outside = rows.where(ends & (F.col("comp") != F.col("main")))
+    met = materialize(outside.groupBy("node", F.col("main").alias("met")).agg(F.max(~few).alias("wide")))
+    others = outside.where(few).select(*ROW, "comp")
+    pairs = pairs_of(others, others, threshold, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode")))
+    return rows.where(~ends).select(ROW), pairs, met
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -306,30 +382,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = materialize(classes)
     single = materialize(full.select(F.col("row").alias("node"), "b1", "b2", "sig").join(facts.select("node", "n"), "node"))
 
-    links = _Links(own, facts, shingle, threshold)
-    rows, levels, crossing, met = branch(single, ratio, trees), [], [], None
+    links, sets = _Links(own, facts, shingle, threshold), facts.count()
+    rows, levels, ends, crossing, met = branch(single, ratio, trees), [], [], [], None
     for level in range(1, LEVELS + 1):
         rows = materialize(rows)
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
         levels.append(materialize(rows.join(sizes, "bucket")))
         if level == STARS:
-            stars = [pairs_of(x.where("node = pivot").select(ROW), x.where("node != pivot").select(ROW), ratio)
-                     for x in [*[y.where(F.col("size") <= LEAF) for y in levels[:-1]], levels[-1]]]
-            links.add(reduce(DataFrame.unionByName, stars))
+            stars = reduce(DataFrame.unionByName, [*[y.where(F.col("size") <= LEAF) for y in levels[:-1]], levels[-1]])
+            links.add(pairs_of(stars.where("node = pivot").select(ROW), stars.where("node != pivot").select(ROW), ratio))
         large = levels[-1].where(F.col("size") > LEAF).select(ROW)
         if level >= STARS:
-            large, pairs, more = _open(large, links, single.drop("sig"), ratio)
+            large, pairs, more = _open(large, links, ratio)
             crossing.append(pairs)
             met = more if met is None else met.unionByName(more)
-            if large.isEmpty():
+            held = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.sum(F.col("c") * F.col("c"))).first()
+            if held[0] is None:
+                break
+            if level == LEVELS or held[0] <= LEAF * LEAF // 8 and held[1] <= LEAF * sets:
+                ends.append(large)
                 break
-        if level == LEVELS:
-            crossing.append(_crossing(large, links, met, ratio))
-            break
         paths = large.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
         rows = branch(single.join(paths, "node"), ratio, trees)
-    crossing += [_crossing(x.where(F.col("size") <= LEAF).select(ROW), links, met, ratio) for x in levels]
-    links.add(reduce(DataFrame.unionByName, crossing))
+    ends += [x.where(F.col("size") <= LEAF).select(ROW) for x in levels]
+    met = materialize(met.groupBy("node", "met").agg(F.max("wide").alias("wide")))
+    crossing.append(_crossing(reduce(DataFrame.unionByName, ends), links, met, ratio))  # no bucket is on two levels
+    links.add(reduce(DataFrame.unionByName, crossing), met)
 
     tree = links.labelled(facts.select("n", "d1", "d2", "node", "low"))
     lows = tree.groupBy("comp").agg(F.min("low").alias("component_id"))
