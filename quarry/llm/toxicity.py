@@ -47,6 +47,8 @@ SUBSTITUTE, SKIP, REPEAT, MISREAD = 1.5, 0.7, 0.7, 12.0
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+€£(¡*~^_.\-'`]+[^\W\d_]|[0-9@$!|+€£(¡]+[^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1\1")
+# Signs around a word that take no part in a match of ``_ODD``.
+_BEFORE, _AFTER = ".,;:?-'\"`*~^_)[]{}<>%&=#/\\", ".,;:?!-'\"`*~^_()[]{}<>%&=#/\\"
 _TWICE = re.compile(r"(.)\1+")
 _SIGNS = r"[\s" + re.escape("".join(sorted(BETWEEN))) + "]"
 _APART = re.compile(rf"(?<![^\W_])(?:(?:[^\W_]|[@$!|+€£(¡]){_SIGNS}{{1,3}}){{2,}}(?:[^\W_]|[@$!|+€£(¡])(?![^\W_])")
@@ -64,11 +66,20 @@ def entries(word: str) -> tuple[str, ...]:
     return (word + " ", *[word[:n] for n in STEMS if len(word) >= n])
 
 
+def _thrice(text: str) -> bool:
+    """Whether a letter or digit stands three times running."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero((a[2:] == a[1:-1]) & (a[1:-1] == a[:-2]))
+    return any(chr(x).isalnum() for x in np.unique(a[at]))
+
+
 def odd_tokens(text: str) -> set[str]:
     """What looks disguised in a lower-case text: tokens and their parts between signs, runs of letters apart and their parts between gaps."""
     out = set()
-    for token in text.split():
-        if not token.isalpha() or _ODD.search(token):
+    thrice = _thrice(text)
+    for token in set(text.split()):
+        plain = token.lstrip(_BEFORE).rstrip(_AFTER).isalpha()  # only a letter three times running is odd then
+        if (thrice or not plain) and _ODD.search(token):
             out.update(x for x in (token, *_INNER.split(token)) if _ODD.search(x))
     for m in _APART.finditer(text):
         run = m.group()
@@ -107,6 +118,7 @@ class Restorer:
         """The likeliest letters of a whole token; with ``ends``, words may end at its signs and come with blanks between them."""
         if (token, ends) in self.seen:
             return self.seen[token, ends]
+        costs = self.costs
         paths: dict[str, tuple[float, tuple]] = {"^^": (0.0, ("", None))}  # the letters read: the last one, and those before it
         for c in token:
             new: dict[str, tuple[float, tuple]] = {}
@@ -115,16 +127,21 @@ class Restorer:
             sign = c in BETWEEN or c.isspace()
             skip = SKIP if sign else MISREAD if c.isalnum() else 2 * SUBSTITUTE
             for state, (cost, text) in paths.items():
-                moves = [(state, cost + skip, text)]
+                k, at = cost + skip, new.get(state)
+                if at is None or k < at[0]:
+                    new[state] = (k, text)
                 if ends and sign and state != "^^":
-                    moves.append(("^^", cost + skip + self.cost(state, "$"), (" ", text)))
+                    k, at = cost + skip + self.cost(state, "$"), new.get("^^")
+                    if at is None or k < at[0]:
+                        new["^^"] = (k, (" ", text))
                 for letter, extra in options:
-                    if text[0] == letter:
-                        moves.append((state, cost + REPEAT, text))
-                    moves.append((state[1] + letter, cost + extra + self.cost(state, letter), (letter, text)))
-                for s, k, t in moves:
-                    if s not in new or k < new[s][0]:
-                        new[s] = (k, t)
+                    if text[0] == letter and cost + REPEAT < new[state][0]:
+                        new[state] = (cost + REPEAT, text)
+                    step = costs.get(state + letter)
+                    k, s = cost + extra + (self.cost(state, letter) if step is None else step), state[1] + letter
+                    at = new.get(s)
+                    if at is None or k < at[0]:
+                        new[s] = (k, (letter, text))
             paths = new if len(new) <= 60 else dict(sorted(new.items(), key=lambda x: x[1][0])[:60])
         _, text = min((cost + self.cost(s, "$"), i, t) for i, (s, (cost, t)) in enumerate(paths.items()))[::2]
         letters = []
@@ -233,8 +250,8 @@ def learn(sample: DataFrame) -> Lexicon:
             keys = list(toxic.keys() | clean.keys())
             for i in range(0, len(keys), 100_000):
                 k = keys[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(["entry"] * len(k)), pa.array(k), pa.array([toxic[x] for x in k], pa.int64()),
-                                                  pa.array([clean[x] for x in k], pa.int64())], names=["kind", "key", "t", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(["entry"] * len(k)), pa.array(k), pa.array([toxic.get(x, 0) for x in k], pa.int64()),
+                                                  pa.array([clean.get(x, 0) for x in k], pa.int64())], names=["kind", "key", "t", "c"])
             chars: Counter = Counter()
             for w, n in texts.items():
                 padded = f"^^{w}$"
