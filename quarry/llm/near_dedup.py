@@ -419,11 +419,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _crossing(rows: DataFrame, links: _Links, met: DataFrame, ratio: float) -> DataFrame:
-    """All pairs within a node that no component holds together yet and whose set and component have not met."""
+    """All pairs within a node that no component holds together yet and whose set and component have not met.
+
+    Copies share nodes of many trees and levels; a pair comes out of the first node that it shares only.
+    """
     known = met.groupBy("node").agg(F.collect_set("met").alias("met"))
-    rows = links.labelled(rows).join(known, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
+    sets = rows.groupBy("node", "n", "b1", "b2").agg(F.collect_set("bucket").alias("buckets"))
+    sets = links.labelled(sets).join(known, "node", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
+    rows = sets.withColumn("bucket", F.explode("buckets")).withColumn("here", F.col("bucket"))
     new = ~F.expr("array_contains(xmet, ycomp)") & ~F.expr("array_contains(ymet, xcomp)")
-    return pairs_of(rows, rows, ratio, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode")) & new)
+    first = F.col("xhere") == F.array_min(F.array_intersect("xbuckets", "ybuckets"))
+    return pairs_of(rows, rows, ratio, (F.col("xcomp") != F.col("ycomp")) & (F.col("xnode") < F.col("ynode")) & new & first)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
