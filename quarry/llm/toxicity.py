@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -247,9 +248,8 @@ def learn(sample: DataFrame) -> Lexicon:
         toxic, clean, texts = Counter(), Counter(), Counter()
 
         def counted():
-            keys = list(toxic.keys() | clean.keys())
-            for i in range(0, len(keys), 100_000):
-                k = keys[i:i + 100_000]
+            keys = chain(clean, (x for x in toxic if x not in clean))
+            while k := list(islice(keys, 100_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(["entry"] * len(k)), pa.array(k), pa.array([toxic.get(x, 0) for x in k], pa.int64()),
                                                   pa.array([clean.get(x, 0) for x in k], pa.int64())], names=["kind", "key", "t", "c"])
             chars: Counter = Counter()
@@ -271,6 +271,7 @@ def learn(sample: DataFrame) -> Lexicon:
                 if len(toxic) + len(clean) > MOST_COUNTED:
                     yield from counted()
         yield from counted()
+        entries.cache_clear()  # the worker goes on to other stages
 
     sums = materialize(sample.mapInArrow(count, "kind string, key string, t long, c long").groupBy("kind", "key")
                        .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
@@ -293,6 +294,7 @@ def learn(sample: DataFrame) -> Lexicon:
             left = [y.as_py() for x, y in zip(batch.column("text"), batch.column("toxic"), strict=True)
                     if all(map(unknown, set(words((x.as_py() or "").lower()))))]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32())], names=["toxic"])
+        entries.cache_clear()
 
     missed, left = sample.mapInArrow(rest, "toxic int").agg(F.sum("toxic"), F.count(F.lit(1))).first()
     rate = ((missed or 0) + 0.1) / (left + 1)
